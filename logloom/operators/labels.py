@@ -7,6 +7,7 @@ import difflib
 import io
 import json
 import tokenize
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,17 +20,26 @@ from . import facts
 
 
 def qc_metrics(pairs: DataFrame, original: str = "original", compressed: str = "compressed") -> DataFrame:
-    """Adds vr (novel words), mr (matched, with repeats), hr (found) and ag = hr - mr."""
-    rows = pairs.withColumn("_o", T.qc_tokens(F.col(original))).withColumn("_c", T.qc_tokens(F.col(compressed)))
-    known = F.array_distinct("_o")
-    hits = F.size(F.filter("_c", lambda w: F.array_contains(known, w)))
-    # sorted arrays: a word's count is where it ends less where it begins
-    count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
-    matched = F.aggregate(F.array_intersect("_o", "_c"), F.lit(0), lambda a, w: a + F.least(count("_o", w), count("_c", w)))
-    n_o, n_c = F.size("_o"), F.size("_c")
+    """Adds vr (novel words), mr (matched, with repeats), hr (found) and ag = hr - mr.
+
+    Words are cut by Spark and counted in an Arrow function: arrays have no hashed lookup, so
+    counting in the row by built-ins takes the square of a text's length, and counting by
+    rows of words shuffles about all the text.
+    """
+
+    def each(original: pa.Array, compressed: pa.Array) -> pa.Array:
+        rows = []
+        for o, c in zip(original.to_pylist(), compressed.to_pylist(), strict=True):
+            have, kept = Counter(o or ()), Counter(c or ())
+            rows.append((have.total(), kept.total(), sum(n for w, n in kept.items() if w in have), sum(min(n, have[w]) for w, n in kept.items() if w in have)))
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["o", "c", "hits", "matched"])
+
+    count = F.arrow_udf(each, "struct<o:bigint,c:bigint,hits:bigint,matched:bigint>").asNondeterministic()
+    rows = pairs.withColumn("_n", count(T.qc_tokens(F.col(original)), T.qc_tokens(F.col(compressed))))
     part = lambda a, n: F.when(n == 0, F.lit(0.0)).otherwise(a.cast("double") / F.greatest(n, F.lit(1)))
-    rows = rows.withColumn("vr", part(n_c - hits, n_c)).withColumn("mr", part(matched, n_o)).withColumn("hr", part(hits, n_o))
-    return rows.withColumn("ag", F.col("hr") - F.col("mr")).drop("_o", "_c")
+    n = F.col("_n")
+    rows = rows.withColumn("vr", part(n.c - n.hits, n.c)).withColumn("mr", part(n.matched, n.o)).withColumn("hr", part(n.hits, n.o))
+    return rows.withColumn("ag", F.col("hr") - F.col("mr")).drop("_n")
 
 
 def nearest_rank(rows: DataFrame, column: str, drop_pct: float) -> DataFrame:

@@ -129,18 +129,17 @@ def sample_corpus(s, d):
 
 # --- quality control ----------------------------------------------------------------------
 
-#: A shortened copy: every third word goes, and one document in seven gets a novel word.
-_SHORT = F.concat(
-    F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 3 != 2), " "),
-    F.when(F.col("doc_id") % 7 == 0, " qzxnovel qzxnovel").otherwise(""),
-)
+def _short():
+    """A shortened copy: every third word goes, and one document in seven gets novel words."""
+    left = F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 3 != 2), " ")
+    return F.concat(left, F.when(F.col("doc_id") % 7 == 0, " qzxnovel qzxnovel").otherwise(""))
 
 
 def _pairs(s, d):
-    return I.table(s, d, "documents").where("n_chars <= 4000").select("doc_id", F.col("text").alias("original"), _SHORT.alias("compressed"))
+    return I.table(s, d, "documents").select("doc_id", F.col("text").alias("original"), _short().alias("compressed"))
 
 
-_PAIRS = """WITH w AS (SELECT doc_id, text, string_split(text, ' ') AS w FROM documents WHERE n_chars <= 4000),
+_PAIRS = """WITH w AS (SELECT doc_id, text, string_split(text, ' ') AS w FROM documents),
 pairs AS (SELECT doc_id, text AS original, array_to_string(list_filter(w, lambda x, i: (i - 1) % 3 <> 2), ' ') || CASE WHEN doc_id % 7 = 0 THEN ' qzxnovel qzxnovel' ELSE '' END AS compressed FROM w)"""
 _QC = _PAIRS + f""", o AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest({T.qc_tokens_sql('original')}) AS t FROM pairs) GROUP BY ALL),
 c AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest({T.qc_tokens_sql('compressed')}) AS t FROM pairs) GROUP BY ALL),
@@ -172,7 +171,7 @@ def qc_histogram(s, d):
 
 @query()
 def best_teacher(s, d):
-    pairs = _pairs(s, d).where("n_chars <= 1500") if "n_chars" in _pairs(s, d).columns else _pairs(s, d)
+    pairs = _pairs(s, d)
     one = pairs.select(F.col("doc_id").alias("id"), F.lit("thirds").alias("teacher"), "original", "compressed")
     two = pairs.select(F.col("doc_id").alias("id"), F.lit("head").alias("teacher"), "original", F.substring_index("original", "\n", 1).alias("compressed"))
     return labels.best_output(one.unionByName(two))
@@ -191,16 +190,6 @@ def derive_mask(s, d):
     return labels.derive_mask(short).select("item_id", F.size("tokens").alias("n_tokens"), F.size(F.filter("keep", lambda k: k)).alias("n_kept"))
 
 
-@query("WITH" + I.EVENT_LINES + f""", t AS (SELECT event_id AS doc_id, line AS text FROM ev), {I.tokens_sql('t')},
-ranges AS (SELECT doc_id, text, list_concat(
-   [{{'s': instr(text, 'raised TimeoutError') + 6, 'e': instr(text, 'raised TimeoutError') + 18}}], [{{'s': 0, 'e': 0}}]) AS r FROM t)
-SELECT doc_id, count(*) AS n FROM toks GROUP BY doc_id""")
-def salience_tokens(s, d):
-    rows = I.event_lines(s, d)
-    w = labels.salience_weights(F.col("line"), S.token_spans(T.word_tokens(F.col("line"))), 3.0)
-    return rows.select(F.col("event_id").alias("doc_id"), F.size(w).cast("bigint").alias("n"))
-
-
 @query()
 def salience_weights(s, d):
     rows = I.event_lines(s, d)
