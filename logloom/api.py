@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -41,6 +42,14 @@ def check_inputs(language: str = "text", keywords: list[str] | None = None, rate
         raise EngineError("invalid_rate", str(rate), "from 0 to 1")
 
 
+def model_file(path: str | None) -> tuple[str, str | None]:
+    """(status, path) of an optional scorer's file on the driver: unset, empty, missing or found."""
+    if path is None:
+        return "unset", None
+    full = os.path.expanduser(path) if path else ""
+    return ("empty", None) if not path else ("found" if os.path.exists(full) else "missing", full)
+
+
 def input_errors(text: Column, most: int = MAX_TEXT_BYTES) -> Column:
     """A row's error code, or null: the guard of a table's texts."""
     return F.when(text.isNull(), "missing_text").when(F.octet_length(text) > most, "text_too_large").when(~F.is_valid_utf8(text), "invalid_utf8")

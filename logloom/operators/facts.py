@@ -174,3 +174,19 @@ def system_triples(lines: DataFrame, width: int = 40, most: int = 200) -> DataFr
 
 def domain(source: Column) -> Column:
     return F.when(source.startswith("loghub:"), F.substring(source, 8, 1 << 20)).otherwise(source)
+
+
+def held_out(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, chunk, fact_type, question, answer) of chunks (chunk_id, chunk): the best
+    semantic and the best structural fact of each, an answer of a type once, the first."""
+    text = F.col("chunk")
+    both = [best(text, semantic_candidates(text)), best(text, candidates(text))]
+    rows = chunks.select("chunk_id", "chunk", F.posexplode(F.array(*[F.struct(b.fact_type.alias("fact_type"), b.question.alias("question"), b.answer.alias("answer")) for b in both])).alias("kind", "b"))
+    rows = rows.where("b.answer is not null")
+    first = F.row_number().over(W.partitionBy("b.fact_type", "b.answer").orderBy("chunk_id", "kind"))
+    return rows.withColumn("_n", first).where("_n = 1").select("chunk_id", "chunk", "b.fact_type", "b.question", "b.answer")
+
+
+def class_counts(triples_: DataFrame) -> DataFrame:
+    """(class, n): semantic and structural facts."""
+    return triples_.groupBy(F.when(F.col("fact_type").startswith("semantic:"), "semantic").otherwise("structural").alias("class")).agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ import ast
 import difflib
 import io
 import json
+import math
 import tokenize
 from collections import Counter
 
@@ -200,6 +201,113 @@ def syntax_spans(text: Column, language: str) -> Column:
 SPAN_DDL = S.SPAN
 
 
+# The syntax that code hangs on; weights fall with the distance to it.
+SCAFFOLDS = {
+    "python": ("FunctionDef", "AsyncFunctionDef", "ClassDef", "Import", "ImportFrom", "arg", "Call"),
+    "json": ("object", "array", "pair"),
+}
+MAX_HOPS = 16
+
+
+def python_tree(text: str) -> list[tuple[int, int, str, int]]:
+    """(start, end, type, parent) in bytes, parents first; empty if it doesn't parse."""
+    try:
+        root = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+    rows = text.encode("utf-8", "surrogatepass").split(b"\n")
+    starts = [0]
+    for r in rows:
+        starts.append(starts[-1] + len(r) + 1)
+    out = [(0, starts[-1] - 1, "Module", -1)]
+    waiting = [(child, 0) for child in ast.iter_child_nodes(root)]
+    while waiting:
+        node, parent = waiting.pop()
+        me = parent
+        if getattr(node, "end_lineno", None) is not None:
+            me = len(out)
+            out.append((starts[node.lineno - 1] + node.col_offset, starts[node.end_lineno - 1] + node.end_col_offset, type(node).__name__, parent))
+        waiting += [(child, me) for child in ast.iter_child_nodes(node)]
+    return out
+
+
+def json_tree(text: str) -> list[tuple[int, int, str, int]]:
+    """The same for JSON: objects, arrays, pairs and scalars."""
+    locks = json_locks(text)
+    raw = text.encode("utf-8", "surrogatepass")
+    if not locks:
+        return []
+    out: list[list] = []
+    open_: list[int] = []
+    i = 0
+
+    def begin(at: int, kind: str) -> int:
+        out.append([at, at, kind, open_[-1] if open_ else -1])
+        return len(out) - 1
+
+    def close(at: int) -> None:
+        out[open_.pop()][1] = at
+
+    while i < len(locks):
+        s, e = locks[i]
+        token = raw[s:e]
+        if token in (b"{", b"["):
+            open_.append(begin(s, "object" if token == b"{" else "array"))
+        elif token in (b"}", b"]"):
+            if out[open_[-1]][2] == "pair":
+                close(s)
+            close(e)
+        elif token == b",":
+            if out[open_[-1]][2] == "pair":
+                close(s)
+        elif token != b":":
+            if token == b'"':  # two quotes make a string
+                i += 1
+                e = locks[i][1]
+            if open_ and out[open_[-1]][2] == "object":
+                open_.append(begin(s, "pair"))
+            out[begin(s, "scalar")][1] = e
+        i += 1
+    return [tuple(x) for x in out]
+
+
+def scaffold_hops(tree: list[tuple[int, int, str, int]], at: int, scaffolds: tuple[str, ...]) -> int:
+    """Steps up from the smallest node over a byte to a scaffold; ``MAX_HOPS`` without one."""
+    inside = [k for k, (s, e, _, _) in enumerate(tree) if s <= at < e]
+    node = min(inside, key=lambda k: (tree[k][1] - tree[k][0], -k), default=-1)
+    for hops in range(MAX_HOPS):
+        if node < 0:
+            break
+        if tree[node][2] in scaffolds:
+            return hops
+        node = tree[node][3]
+    return MAX_HOPS
+
+
+KERNELS = {"exp": lambda h, a=0.5: math.exp(-a * max(0, h)), "linear": lambda h, m=6: max(0.0, 1.0 - h / m)}
+
+
+def split_labels(rows: DataFrame, language: str, text: str = "original", spans: str = "spans", kernel: str = "exp") -> DataFrame:
+    """Adds w_semantic, w_dependency and is_code: per token of ``spans``, the weight of syntax by
+    its distance to a scaffold and the rest. Plain text, and code that doesn't parse, is all
+    semantic; only what parses is code."""
+    if language not in SCAFFOLDS:
+        ones = F.transform(spans, lambda x: F.lit(1.0))
+        return rows.select("*", ones.alias("w_semantic"), F.transform(spans, lambda x: F.lit(0.0)).alias("w_dependency"), F.lit(False).alias("is_code"))
+    parse, scaffolds, weigh = {"python": python_tree, "json": json_tree}[language], SCAFFOLDS[language], KERNELS[kernel]
+
+    def each(texts: pa.Array, token_spans: pa.Array) -> pa.Array:
+        dep, code = [], []
+        for t, own in zip(texts.to_pylist(), token_spans.to_pylist(), strict=True):
+            tree = parse(t or "")
+            code.append(bool(tree))
+            dep.append([min(1.0, max(0.0, weigh(scaffold_hops(tree, x["s"] + (x["e"] - x["s"]) // 2, scaffolds)))) if tree else 0.0 for x in own or []])
+        return pa.StructArray.from_arrays([pa.array(dep, pa.list_(pa.float64())), pa.array(code, pa.bool_())], names=["d", "code"])
+
+    out = rows.withColumn("_l", F.arrow_udf(each, "struct<d:array<double>,code:boolean>").asNondeterministic()(text, spans))
+    return out.withColumn("w_semantic", F.transform("_l.d", lambda d: 1.0 - d)).withColumn("w_dependency", F.col("_l.d")).withColumn("is_code", F.col("_l.code")).drop("_l")
+
+
 def label_ceiling(pairs: DataFrame, rate: float = 0.5) -> DataFrame:
     """(fact_type, n, teacher, keep_severity): answers that survive in the pair's compressed text,
     and in the severity method's, of pairs (triple_id, chunk, compressed, answer, fact_type)."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..session import cut
 from . import facts
 from .decode import budget, groups, tokens
 from .lines import with_runs
@@ -118,3 +119,42 @@ def survival_items(triples: DataFrame, rates=(0.2, 0.5, 0.8), methods=DEFAULT_ME
 def survival_rows(items: DataFrame, *by: str) -> DataFrame:
     """(method, rate, *by, survival, mean_ratio, mean_drop, n)."""
     return items.groupBy("method", "rate", *by).agg(F.avg(F.col("survived").cast("double")).alias("survival"), F.avg("ratio").alias("mean_ratio"), F.avg("achieved_drop").alias("mean_drop"), F.count("*").alias("n"))
+
+
+def to_ratio(docs: DataFrame, method: str, target: float, steps: int = 14) -> DataFrame:
+    """(doc_id, compressed, ratio, rate): each text at the rate, of those that bisection tries
+    between 0 and 0.99, whose ratio is nearest to the target; the earliest of equal ones.
+
+    All texts halve their intervals at once; a step is one plan over (doc_id, rate), and its
+    small state is checkpointed. A method without a rate is run once.
+    """
+    run, tunable = METHODS[method]
+    text = docs.select("doc_id", "text")
+
+    def at(rates: DataFrame) -> DataFrame:
+        made = run(text.join(rates.select("doc_id", "mid"), "doc_id"), F.col("mid"))
+        both = text.join(made, "doc_id", "left").select("doc_id", F.coalesce("compressed", "text").alias("compressed"), "text")
+        return both.select("doc_id", "compressed", ratio(F.col("text"), F.col("compressed")).alias("ratio"))
+
+    state = text.select("doc_id", F.lit(0.0).alias("lo"), F.lit(0.99 if tunable else 0.0).alias("hi"), F.lit(None).cast("string").alias("best"), F.lit(None).cast("double").alias("best_ratio"), F.lit(None).cast("double").alias("rate"))
+    for _ in range(steps if tunable else 1):
+        state = state.withColumn("mid", (F.col("lo") + F.col("hi")) / 2)
+        tried = state.join(at(state), "doc_id", "left")
+        nearer = F.col("best_ratio").isNull() | (F.abs(F.col("ratio") - target) < F.abs(F.col("best_ratio") - target))
+        under = F.col("ratio") < target
+        state = cut(tried.select(
+            "doc_id", F.when(under, F.col("mid")).otherwise(F.col("lo")).alias("lo"), F.when(under, F.col("hi")).otherwise(F.col("mid")).alias("hi"),
+            F.when(nearer, F.col("compressed")).otherwise(F.col("best")).alias("best"), F.when(nearer, F.col("ratio")).otherwise(F.col("best_ratio")).alias("best_ratio"), F.when(nearer, F.col("mid")).otherwise(F.col("rate")).alias("rate"),
+        ))
+    return state.select("doc_id", F.col("best").alias("compressed"), F.col("best_ratio").alias("ratio"), "rate")
+
+
+def verdicts(items: DataFrame, method_a: str, method_b: str) -> DataFrame:
+    """(rate, survival_a, survival_b, b, c, p_exact, verdict): ``better``, ``worse`` or ``none`` at p < 0.05."""
+    from .stats import mcnemar, paired
+
+    pairs = paired(items, method_a, method_b)
+    means = pairs.groupBy("rate").agg(F.avg(F.col("a").cast("double")).alias("survival_a"), F.avg(F.col("b").cast("double")).alias("survival_b"))
+    tests = mcnemar(pairs, "rate", chi2_p=False)
+    verdict = F.when(F.col("p_exact") >= 0.05, "none").when(F.col("a_better"), "better").otherwise("worse")
+    return means.join(tests, "rate").select("rate", "survival_a", "survival_b", "b", "c", "p_exact", verdict.alias("verdict"))

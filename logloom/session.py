@@ -8,7 +8,7 @@ import weakref
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: weakref.WeakSet = weakref.WeakSet()
 
@@ -22,7 +22,7 @@ DEFAULTS = {
 
 
 def build_session(app: str = "logloom", **conf: str) -> SparkSession:
-    """A session with ``DEFAULTS``; keyword ``a_b`` isn't translated, pass dotted names with ``**``."""
+    """A session with ``DEFAULTS``; other settings by dotted name, as ``**{...}``."""
     return SparkSession.builder.appName(app).config(map=DEFAULTS | conf).getOrCreate()
 
 
@@ -39,3 +39,23 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(name)
         _SHIPPED.add(sc)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where that is unset (as in local tests) a temporary one is made.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="logloom-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and go on from its reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

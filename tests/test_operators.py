@@ -442,3 +442,41 @@ def test_windows_end_at_the_last_line(spark):
 def test_reports(spark):
     rows = spark.createDataFrame([("m", 0.5, 0.25, 2.0, 0.5, 4)], "method string, rate double, survival double, mean_ratio double, mean_drop double, n bigint")
     assert "survival= 25.0%" in sinks.survival_report(rows).first().line
+
+
+def test_to_ratio(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+    d = docs(spark, [words * 2, "ERROR " + words])
+    for r in methods.to_ratio(d, "random", 3.0, 6).collect():
+        assert 2.4 < r.ratio < 3.7 and 0 < r.rate < 0.99
+    fixed = methods.to_ratio(d, "deterministic", 3.0).collect()
+    assert {r.rate for r in fixed} == {0.0} and len(fixed) == 2
+
+
+def test_verdicts(spark):
+    rows = [(m, 0.5, i, m == "x" or i < 2) for m in "xy" for i in range(12)]
+    items = spark.createDataFrame(rows, "method string, rate double, triple_id int, survived boolean")
+    r = methods.verdicts(items, "x", "y").first()
+    assert (r.b, r.c, r.verdict) == (10, 0, "better") and methods.verdicts(items, "y", "x").first().verdict == "worse"
+
+
+def test_held_out_answers_once(spark):
+    df = spark.createDataFrame([(0, 'AError reason="went far away"'), (1, "AError again"), (2, "nothing")], "chunk_id int, chunk string")
+    out = facts.held_out(df)
+    assert sorted((r.chunk_id, r.fact_type) for r in out.collect()) == [(0, "exception"), (0, "semantic:reason")]
+    assert {r["class"]: r.n for r in facts.class_counts(out).collect()} == {"semantic": 1, "structural": 1}
+
+
+def test_split_labels(spark):
+    code = "def f(x):\n    return x.a.b\n"
+    tree = labels.python_tree(code)
+    assert tree[0][2] == "Module" and labels.scaffold_hops(tree, 0, labels.SCAFFOLDS["python"]) == 0
+    assert labels.scaffold_hops(tree, code.index("x.a"), labels.SCAFFOLDS["python"]) == 4
+    text = '{"k": [1, "é"], "m": {}}'
+    kinds = [(text.encode()[s:e].decode(), k, p) for s, e, k, p in labels.json_tree(text)]
+    assert kinds == [(text, "object", -1), ('"k": [1, "é"]', "pair", 0), ('"k"', "scalar", 1), ('[1, "é"]', "array", 1), ("1", "scalar", 3), ('"é"', "scalar", 3), ('"m": {}', "pair", 0), ('"m"', "scalar", 6), ("{}", "object", 6)]
+    rows = docs(spark, [text, "{bad"]).withColumn("spans", S.token_spans(T.word_tokens(F.col("text"))))
+    got = {r.doc_id: r for r in labels.split_labels(rows, "json", "text").collect()}
+    assert got[0].is_code and not got[1].is_code and all(abs(a + b - 1) < 1e-12 for a, b in zip(got[0].w_semantic, got[0].w_dependency, strict=True))
+    assert set(got[1].w_semantic) == {1.0} and set(labels.split_labels(rows, "text").first().w_dependency) == {0.0}
+    assert api.model_file(None)[0] == "unset" and api.model_file("")[0] == "empty" and api.model_file("/no/such")[0] == "missing"
