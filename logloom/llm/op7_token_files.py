@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import cut, shared_dir, utf8
-from .op8_bpe import _SPACES
+from .pieces import Pieces
 
 MAGIC = b"PLN1"
 HEAD = struct.Struct("<4sIIIQIQ")
@@ -36,7 +36,8 @@ END_ID = 2
 CHUNK_IDS = 65_536
 #: A file ends after the document that brings it to so many ids.
 FILE_IDS = 1 << 20
-KEPT, KEPT_CHARS = 300_000, 64
+#: Pieces that are joined for one call of the library.
+JOINED = 1_024
 
 
 def to_planes(ids: np.ndarray, planes: int) -> list[bytes]:
@@ -101,10 +102,12 @@ class Image:
 
 
 class Encoder:
-    """The library's ids of whole texts; pieces between spaces are kept once encoded.
+    """The library's ids of pieces of texts.
 
-    The tokenizer's own pre-tokenizer never joins what a single space after a word parts,
-    so a text is cut there; texts with other runs of spaces go to the library uncut.
+    Pieces that are a word, with or without a space before it, are joined to long strings,
+    those without after a newline, and the library encodes these at less cost a piece. It
+    never merges across the beginning of such a piece, so the ids part where the bytes of
+    their tokens add up to those of the pieces.
     """
 
     def __init__(self, name: str):
@@ -113,24 +116,33 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
-        self.kept: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        if _SPACES.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        head, *rest = text.split(" ")
-        parts = [head, *[" " + x for x in rest]]
-        kept = self.kept
-        if fresh := list({p for p in parts if p not in kept}):
-            if len(kept) + len(fresh) > KEPT:
-                kept.clear()
-                fresh = list(set(parts))
-            got = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-            now = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(fresh, got, strict=True)}
-            out = b"".join([kept[p] if p in kept else now[p] for p in parts])
-            kept.update((p, x) for p, x in now.items() if len(p) <= KEPT_CHARS)
-            return out
-        return b"".join([kept[p] for p in parts])
+        vocab = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.size[i] = len(token)  # one character of a token's name is one byte
+        self.pieces = Pieces(self.encode, public_tokenizers.PATTERN)
+
+    def encode(self, parts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(parts)
+        plain, other = [], []
+        for i, p in enumerate(parts):
+            word = p[1:] if p[:1] == " " else p
+            (plain if word.isalpha() else other).append(i)
+        for i, e in zip(other, self.tokenizer.encode_batch_fast([parts[i] for i in other], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        for k in range(0, len(plain), JOINED):
+            group = plain[k : k + JOINED]
+            joined = [parts[i] if parts[i][0] == " " else "\n" + parts[i] for i in group]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(self.size[ids])
+            goals = np.cumsum([len(p.encode()) for p in joined])
+            stops = np.searchsorted(ends, goals)
+            if not (ends[stops] == goals).all():
+                raise ValueError("a token crosses pieces: the tokenizer isn't byte-level with this pattern")
+            data, stops = ids.tobytes(), (4 * (stops + 1)).tolist()
+            for i, p, a, b in zip(group, joined, [0, *stops[:-1]], stops, strict=True):
+                out[i] = data[a + 4 * (p[0] == "\n") : b]
+        return out
 
 
 @cache
@@ -152,19 +164,19 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     """
 
     def each(batches):
-        encode, names, sizes, parts, n, before, part = encoder(tokenizer), [], [], [], 0, 0, 0
-        end = np.array([end_id], "<u4").tobytes()
+        encode, names, sizes, parts, n, before, part = encoder(tokenizer).pieces.each, [], [], [], 0, 0, 0
+        end = np.array([end_id], "<u4")
 
         def image():
-            data = write_image(names, sizes, np.frombuffer(b"".join(parts), "<u4"), planes)
+            data = write_image(names, sizes, np.concatenate(parts), planes)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([n], pa.int64()), "image": pa.array([data], pa.binary())})
 
         for batch in batches:
-            for name, text, part in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "part")), strict=True):
-                ids = encode(text.decode("utf-8", "replace")) + end
+            keys, part = batch.column("id").to_pylist(), batch.column("part")[0].as_py() if len(batch) else part
+            for name, ids in zip(keys, encode(batch.column("text")), strict=True):
                 names.append(name)
-                sizes.append(len(ids) // 4)
-                parts.append(ids)
+                sizes.append(len(ids) + 1)
+                parts += [ids, end]
                 n += sizes[-1]
                 if n >= files_ids:
                     yield image()
