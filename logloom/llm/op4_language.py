@@ -16,7 +16,7 @@ UNDETERMINED = "und"
 #: About so many documents of a language teach the model, chosen by a hash of id and text.
 PER_LANGUAGE = 1_200
 MAX_LANGUAGES = 200
-#: A document is rejected where predictions of its score or less are right less often.
+#: Predictions that are right less often than this are not worth keeping.
 LEAST_ACCURACY = 0.5
 BINS = 1_000
 
@@ -71,17 +71,16 @@ def predictions(text: Column, model: dict | None) -> Column:
 def calibrate(scored: DataFrame, least: float = LEAST_ACCURACY) -> float:
     """The score below which documents are rejected, from (score, correct) of labelled rows.
 
-    Rows are counted by score in ``BINS`` bins, all of them; the threshold is the upper end
-    of the last bin up to which predictions were right less often than ``least``, 0 if none.
+    Rows are counted by score in ``BINS`` bins, all of them. Rejecting a row gains ``least``
+    and costs 1 if it was right, so the threshold is the upper end of the bin, from the
+    lowest scores up, at which the gain is greatest, the lowest such; 0 if none gains.
     """
     at = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1))
     bins = scored.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.count_if("correct").alias("right")).collect()
-    n, right = np.zeros(BINS), np.zeros(BINS)
+    gain = np.zeros(BINS + 1)
     for r in bins:
-        n[r.bin], right[r.bin] = r["n"], r["right"]
-    n, right = np.cumsum(n), np.cumsum(right)
-    bad = np.flatnonzero((n > 0) & (right < least * n))
-    return (int(bad[-1]) + 1) / BINS if len(bad) else 0.0
+        gain[r.bin + 1] = least * r["n"] - r["right"]
+    return int(np.argmax(np.cumsum(gain))) / BINS
 
 
 def held_out(key):
@@ -97,8 +96,8 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     column is never an input of a prediction. An empty table gives no rows.
     """
     model = train_language(docs, id_col, text_col, lang_col, held_out)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), held_out(id_col).alias("held_out"), predictions(utf8(text_col), model).alias("p"), *carry)
-    rows = cut(rows.select("doc_id", "lang", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), *carry))
-    taught = rows.where(~F.col("held_out") & F.col("lang").isNotNull() & (F.col("lang_pred") != UNDETERMINED))
-    least = calibrate(taught.select("score", (F.col("lang") == F.col("lang_pred")).alias("correct")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("_truth"), held_out(id_col).alias("held_out"), predictions(utf8(text_col), model).alias("p"), *carry)
+    rows = cut(rows.select("doc_id", "_truth", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), *carry))
+    taught = rows.where(~F.col("held_out") & F.col("_truth").isNotNull() & (F.col("lang_pred") != UNDETERMINED))
+    least = calibrate(taught.select("score", (F.col("_truth") == F.col("lang_pred")).alias("correct")))
     return rows.select("doc_id", "held_out", "lang_pred", "score", ((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least)).alias("rejected"), *carry)

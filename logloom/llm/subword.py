@@ -92,15 +92,20 @@ def bag(text: str, features: Features) -> tuple[np.ndarray, np.ndarray]:
     return found, (n / max(1, n.sum())).astype(np.float32)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], classes: int, features: Features, dim: int = 8, epochs: int = 8, rate: float = 20.0, batch: int = 16, seed: int = 7) -> dict:
-    """Bucket vectors and the output layer. Rows without features teach the bias only."""
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], classes: int, features: Features, dim: int = 8, epochs: int = 8, rate: float = 20.0, batch: int = 16, least_steps: int = 1_500, seed: int = 7) -> dict:
+    """Bucket vectors and the output layer. Rows without features teach the bias only.
+
+    Few rows are passed over more often than ``epochs`` times, until ``least_steps`` are made.
+    """
     rng = np.random.default_rng(seed)
     e = (rng.standard_normal((features.buckets, dim)) * 0.1).astype(np.float32)
     w = (rng.standard_normal((dim, classes)) * 0.1).astype(np.float32)
     y = np.asarray(labels, np.int64)
     prior = np.bincount(y, minlength=classes) + 1.0
     b = np.log(prior / prior.sum()).astype(np.float32)
-    steps, at = epochs * max(1, -(-len(bags) // batch)), 0
+    each = max(1, -(-len(bags) // batch))
+    epochs = max(epochs, -(-least_steps // each))
+    steps, at = epochs * each, 0
     for _ in range(epochs):
         order = rng.permutation(len(bags))
         for k in range(0, len(order), batch):
