@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import spans as S
 from .functions import text as T
 from .operators import arrays, decode, labels, lines, store, timeline
 
@@ -55,8 +54,11 @@ def input_errors(text: Column, most: int = MAX_TEXT_BYTES) -> Column:
     return F.when(text.isNull(), "missing_text").when(F.octet_length(text) > most, "text_too_large").when(~F.is_valid_utf8(text), "invalid_utf8")
 
 
-def _locks(docs: DataFrame, language: str, keywords: list[str]) -> Column:
-    return S.merge(F.concat(decode.keyword_spans(F.col("text"), keywords), labels.syntax_spans(F.col("text"), language)))
+def _locks(docs: DataFrame, language: str, keywords: list[str]) -> DataFrame:
+    found = decode.keyword_spans(docs, keywords)
+    if language.lower() in labels.PLAIN:
+        return found
+    return found.unionByName(decode.array_spans(docs, labels.syntax_spans(F.col("text"), language)))
 
 
 def lock_mask(docs: DataFrame, language: str = "text", keywords: list[str] | None = None) -> DataFrame:
@@ -79,9 +81,8 @@ def compress_log(docs: DataFrame, language: str = "text", keywords: list[str] |
         out = short.select("doc_id", F.col("text").alias("compressed"), F.lit(False).alias("used_model"))
     else:
         probs = F.arrow_udf(scorer, "array<double>")(T.word_tokens(F.col("text")))
-        rows = short.withColumn("_locks", _locks(short, language, keywords or [])).withColumn("_p", probs)
-        toks = decode.tokens(rows, keep=("_locks", "_p"))
-        scored = toks.where(F.col("i") < MAX_SCORED_TOKENS).select("doc_id", "i", "token", F.get("_p", F.col("i")).alias("prob"), S.overlaps(F.col("_locks"), F.col("s"), F.col("e")).alias("locked"))
+        toks = decode.locked(short, _locks(short, language, keywords or []), values=probs)
+        scored = toks.where(F.col("i") < MAX_SCORED_TOKENS).select("doc_id", "i", "token", F.col("value").alias("prob"), "locked")
         tail = toks.where(F.col("i") >= MAX_SCORED_TOKENS).select("doc_id", "i", "token", F.lit(False).alias("dropped"))
         done = decode.span_decode(scored, target_rate, span, reduce).select("doc_id", "i", "token", "dropped").unionByName(tail)
         made = decode.rebuilt(done).select("doc_id", "compressed")

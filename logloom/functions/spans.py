@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 SPAN = "array<struct<s:int,e:int>>"
 
@@ -43,3 +44,47 @@ def merge(spans: Column) -> Column:
 def overlaps(spans: Column, s: Column, e: Column) -> Column:
     """Whether a span of bytes shares a byte with one of the spans."""
     return F.exists(spans, lambda x: (x.s < e) & (x.e > s))
+
+
+# --- the same by rows, for texts of any length: arrays cost the square of their number ------
+
+
+def match_rows(docs: DataFrame, patterns: list[str] | tuple[str, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, s, e): a row a match of any pattern; ends are running sums in a window."""
+    text = F.col(text_col)
+
+    def lengths(k: int, pattern: str) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.lit(k).alias("k"), F.octet_length(g).alias("g"), F.octet_length(h).alias("n")))
+
+    if not patterns:
+        return docs.select(F.col(id_col).alias("doc_id"), F.lit(0).alias("s"), F.lit(0).alias("e")).limit(0)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.concat(*[lengths(k, p) for k, p in enumerate(patterns)])).alias("pos", "x"))
+    upto = W.partitionBy("doc_id", "x.k").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.select("doc_id", F.sum(F.col("x.g") + F.col("x.n")).over(upto).cast("int").alias("e"), F.col("x.n").alias("n"))
+    return rows.where("n > 0").select("doc_id", (F.col("e") - F.col("n")).alias("s"), "e")
+
+
+def merge_rows(rows: DataFrame) -> DataFrame:
+    """(doc_id, s, e): the union of each document's intervals, those that touch made one."""
+    w = W.partitionBy("doc_id").orderBy("s", "e")
+    reach = F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))
+    marked = rows.withColumn("_new", F.when(reach.isNull() | (F.col("s") > reach), 1).otherwise(0))
+    numbered = marked.withColumn("_g", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.groupBy("doc_id", "_g").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_g")
+
+
+def mark_overlaps(tokens: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """Adds ``name`` to tokens (doc_id, s, e, ...): whether a token shares a byte with a row of
+    ``rows`` (doc_id, s, e).
+
+    One sweep a document: spans stand at their start, tokens at their end, and a token
+    overlaps if a span that starts before the token's end ends after the token's start.
+    """
+    own = [c for c in tokens.columns if c != "doc_id"]
+    left = tokens.select("doc_id", *own, F.col("e").alias("_at"), F.lit(0).alias("_kind"))
+    right = rows.select("doc_id", *[F.col(c) if c in ("s", "e") else F.lit(None).cast(tokens.schema[c].dataType).alias(c) for c in own], F.col("s").alias("_at"), F.lit(1).alias("_kind"))
+    w = W.partitionBy("doc_id").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("_kind") == 1, F.col("e"))).over(w)
+    both = left.unionByName(right).withColumn(name, F.coalesce(reach > F.col("s"), F.lit(False)))
+    return both.where("_kind = 0").drop("_at", "_kind")

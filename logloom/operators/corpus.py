@@ -97,13 +97,23 @@ def water_fill(pools: dict[str, int], target: int, max_share: float = 0.25) -> d
     return out
 
 
+#: Parts that a corpus is ranked in before its first rows are ranked together.
+SELECT_PARTS = 64
+#: Templates that are packed to chunks in one sequence; a larger corpus is packed in blocks.
+BLOCK = 10_000
+
+
 def stable_select(rows: DataFrame, slots: dict[str, int], text: str = "text", corpus: str = "corpus", order: str = "ord") -> DataFrame:
     """As many rows of each corpus as it has slots: the first by SHA-1 of the text, then order."""
     if not slots:
         return rows.limit(0)
-    limit = F.create_map(*[F.lit(x) for kv in slots.items() for x in kv])
-    rank = F.row_number().over(W.partitionBy(corpus).orderBy(F.sha1(F.col(text).cast("binary")), order))
-    return rows.withColumn("_rank", rank).where(F.col("_rank") <= F.coalesce(limit[F.col(corpus)], F.lit(0))).drop("_rank")
+    # ranked in parts first, so that no task sorts a whole corpus: a part keeps its slots' worth
+    limit = F.coalesce(F.create_map(*[F.lit(x) for kv in slots.items() for x in kv])[F.col(corpus)], F.lit(0))
+    key = F.sha1(F.col(text).cast("binary"))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(text, order), F.lit(SELECT_PARTS)))
+    for by in ([corpus, "_part"], [corpus]):
+        rows = rows.withColumn("_rank", F.row_number().over(W.partitionBy(*by).orderBy(key, order))).where(F.col("_rank") <= limit)
+    return rows.drop("_rank", "_part")
 
 
 def stable_subsample(rows: DataFrame, k: int, *keys: str) -> DataFrame:
@@ -121,11 +131,20 @@ def split_bucket(path: Column, chunk_id: Column, val_frac: float, seed: int = 0)
 
 def sample(lines: DataFrame, target: int, max_share: float = 0.25, most: int = 512) -> tuple[DataFrame, DataFrame]:
     """(chosen chunks, stats by corpus) of lines (corpus, ord, line): templates once, trash out,
-    chunks packed, slots shared out, chunks chosen by hash."""
+    chunks packed, slots shared out, chunks chosen by hash.
+
+    Packing is a sequence, so a corpus of over ``BLOCK`` templates is dealt to blocks by a hash
+    of the template, each packed in its own order; a smaller one is packed as a whole.
+    """
     templates = template_dedup(lines)
     good = without_trash(templates)
+    sizes = {r.corpus: r["n"] for r in good.groupBy("corpus").agg(F.count("*").alias("n")).collect()}  # a handful
+    blocks = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, -(-n // BLOCK))])[F.col("corpus")] if sizes else F.lit(1)
+    good = good.withColumn("_block", F.pmod(F.xxhash64("key"), blocks))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x.line)
-    pool = chunked(good.groupBy("corpus").agg(F.array_join(ordered, "\n").alias("text")), most, "log", id_col="corpus").select(F.col("doc_id").alias("corpus"), F.col("chunk_id").alias("ord"), "text")
+    texts = good.groupBy("corpus", "_block").agg(F.array_join(ordered, "\n").alias("text"))
+    cut = chunked(texts.select(F.struct("corpus", "_block").alias("id"), "text"), most, "log", id_col="id")
+    pool = cut.select(F.col("doc_id.corpus").alias("corpus"), (F.col("doc_id._block") * (1 << 32) + F.col("chunk_id")).alias("ord"), "text")
     counts = {r.corpus: r["n"] for r in pool.groupBy("corpus").agg(F.count("*").alias("n")).collect()}
     slots = water_fill(counts, target, max_share)
     raw = lines.groupBy("corpus").agg(F.count("*").alias("raw_lines"))

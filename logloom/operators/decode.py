@@ -10,29 +10,40 @@ from ..functions import spans as S
 from ..functions import text as T
 
 
-def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, i, token, s, e): tokens that tile the text, with byte spans, a row a token.
+def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), values: Column | None = None) -> DataFrame:
+    """(doc_id, i, token, s, e, *keep): tokens that tile the text, with byte spans, a row a token.
 
-    Ends are running sums in a window, so long texts cost n log n, not the square.
+    Ends are running sums in a window, so long texts cost n log n, not the square. ``keep``
+    should be small, as each token carries it; ``values`` has an element a token and gives
+    the column ``value``.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.posexplode(T.word_tokens(F.col(text_col))).alias("i", "token"))
+    toks = T.word_tokens(F.col(text_col))
+    if values is None:
+        rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.posexplode(toks).alias("i", "token"))
+    else:
+        rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.posexplode(F.arrays_zip(toks.alias("t"), values.alias("v"))).alias("i", "x"))
+        rows = rows.select("doc_id", *keep, "i", F.col("x.t").alias("token"), F.col("x.v").alias("value"))
     e = F.sum(F.octet_length("token")).over(W.partitionBy("doc_id").orderBy("i").rowsBetween(W.unboundedPreceding, 0)).cast("int")
     return rows.withColumn("e", e).withColumn("s", F.col("e") - F.octet_length("token"))
 
 
-def keyword_spans(text: Column, keywords: list[str]) -> Column:
-    """Merged byte ranges of all keywords, found in the text itself."""
-    if not keywords:
-        return F.array().cast(S.SPAN)
-    quoted = lambda k: "".join(c if c.isalnum() or c == "_" else "\\" + c for c in k)
-    return S.merge(F.flatten(F.array(*[S.match_spans(text, quoted(k)) for k in keywords if k])))
+def quoted(keyword: str) -> str:
+    return "".join(c if c.isalnum() or c == "_" else "\\" + c for c in keyword)
 
 
-def locked(docs: DataFrame, spans: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keyword_spans(docs: DataFrame, keywords: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, s, e): byte ranges of all keywords, found in the text itself."""
+    return S.match_rows(docs, [quoted(k) for k in keywords if k], id_col, text_col)
+
+
+def array_spans(docs: DataFrame, spans: Column, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, s, e) of an array of spans a row."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode(spans).alias("x")).select("doc_id", "x.s", "x.e")
+
+
+def locked(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), values: Column | None = None) -> DataFrame:
     """Tokens of ``docs`` with ``locked``: whether a token shares a byte with one of ``spans``."""
-    rows = docs.withColumn("_spans", spans)
-    out = tokens(rows, id_col, text_col, keep=("_spans",))
-    return out.withColumn("locked", S.overlaps(F.col("_spans"), F.col("s"), F.col("e"))).drop("_spans")
+    return S.mark_overlaps(tokens(docs, id_col, text_col, keep, values), spans, "locked")
 
 
 def project(spans: Column, token_spans: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import spans as S
 from ..functions import text as T
 from ..session import cut
 from . import facts
@@ -57,11 +58,11 @@ def keep_severity(docs: DataFrame, rate: float | Column) -> DataFrame:
 def crc_scores(docs: DataFrame, floor: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Tokens with prob from the CRC-32 of the text's CRC-32 and the place; structural atoms locked."""
     seed = F.crc32(F.col("text").cast("binary"))
-    spans = facts.structural_spans(F.col("text")) if floor else F.array().cast("array<struct<s:int,e:int>>")
-    rows = tokens(docs.withColumn("_seed", seed).withColumn("_spans", spans), keep=("_seed", "_spans", *keep))
+    rows = docs.withColumn("_seed", seed)
+    toks = tokens(rows, keep=("_seed", *keep))
     crc = F.crc32(F.concat(F.col("_seed").cast("string"), F.lit(":"), F.col("i").cast("string")).cast("binary"))
-    held = F.exists("_spans", lambda x: (x.s < F.col("e")) & (x.e > F.col("s")))
-    return rows.select("doc_id", "i", "token", "s", "e", (1.0 - crc / float(1 << 32)).alias("prob"), held.alias("locked"), *keep)
+    toks = toks.withColumn("prob", 1.0 - crc / float(1 << 32)).drop("_seed")
+    return S.mark_overlaps(toks, S.match_rows(docs, facts.STRUCTURAL), "locked") if floor else toks.withColumn("locked", F.lit(False))
 
 
 def random_drop(docs: DataFrame, rate: float | Column, floor: bool = False, span: str | None = None) -> DataFrame:

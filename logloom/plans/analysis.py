@@ -52,8 +52,7 @@ def ip_spans(s, d):
 
 @query("WITH" + _raw_spans_sql("documents", "doc_id", "text", _KEYWORDS) + " SELECT id AS doc_id, s, e FROM merged")
 def keyword_intervals(s, d):
-    rows = I.table(s, d, "documents")
-    return rows.select("doc_id", F.explode(decode.keyword_spans(F.col("text"), _KEYWORDS)).alias("x")).select("doc_id", "x.s", "x.e")
+    return S.merge_rows(decode.keyword_spans(I.table(s, d, "documents"), _KEYWORDS))
 
 
 _CAND = []
@@ -129,14 +128,15 @@ _LOCKED = _TOKS + """, locked AS (
 
 @query(_LOCKED + " SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (locked) AS n_locked FROM locked GROUP BY doc_id")
 def lock_mask_word(s, d):
-    rows = decode.locked(I.table(s, d, "documents"), decode.keyword_spans(F.col("text"), _KEYWORDS))
+    docs = I.table(s, d, "documents")
+    rows = decode.locked(docs, decode.keyword_spans(docs, _KEYWORDS))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if("locked").alias("n_locked"))
 
 
 def _scored(s, d):
     """Tokens of event lines with a made-up drop score, structural atoms locked."""
     rows = I.event_lines(s, d).select(F.col("event_id").alias("doc_id"), F.col("line").alias("text"))
-    toks = decode.locked(rows, facts.structural_spans(F.col("text")))
+    toks = decode.locked(rows, S.match_rows(rows, facts.STRUCTURAL))
     return toks.withColumn("prob", ((F.length("token") * 37 + F.col("i") * 61) % 101) / 101.0)
 
 

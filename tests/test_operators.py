@@ -112,7 +112,7 @@ def test_greedy_skips_and_goes_on(spark):
 
 def test_span_decode_keeps_locks_and_rate(spark):
     d = docs(spark, ["ERROR: disk 10.0.0.1 is full and the node went away quietly tonight"])
-    toks = decode.locked(d, facts.structural_spans(F.col("text"))).withColumn("prob", F.lit(0.5))
+    toks = decode.locked(d, S.match_rows(d, facts.STRUCTURAL)).withColumn("prob", F.lit(0.5))
     out = decode.span_decode(toks, 0.5).collect()
     assert sum(r.dropped for r in out) <= round(0.5 * len(out))
     assert not any(r.dropped and r.locked for r in out)
