@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import utf8
+from .pieces import Pieces, gather
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Pieces between spaces whose ids a worker keeps, and the longest such piece. Memory bounds only.
-KEPT, KEPT_CHARS = 300_000, 64
 
 
 class RankQueue:
@@ -36,39 +35,77 @@ class RankQueue:
             if ranks == 1:
                 break
 
+    def _mark(self, rank: int) -> None:
+        for level in self.levels:
+            word, bit = rank >> 6, 1 << (rank & 63)
+            was = level[word]
+            level[word] = was | bit
+            if was:
+                break
+            rank = word
+
+    def _clear(self, rank: int) -> None:
+        for level in self.levels:
+            level[rank >> 6] &= ~(1 << (rank & 63))
+            if level[rank >> 6]:
+                break
+            rank >>= 6
+
+    def _least(self) -> int | None:
+        at = 0
+        for level in reversed(self.levels):
+            word = level[at]
+            if not word:
+                return None
+            at = at << 6 | (word & -word).bit_length() - 1
+        return at
+
     def push(self, rank: int, position: int) -> None:
         heap = self.heaps.get(rank)
         if heap is None:
             self.heaps[rank] = [position]
-            for level in self.levels:
-                word, bit = rank >> 6, 1 << (rank & 63)
-                was = level[word]
-                level[word] = was | bit
-                if was:
-                    break
-                rank = word
+            self._mark(rank)
         else:
             heappush(heap, position)
 
     def pop(self) -> tuple[int, int] | None:
         """The least rank and its leftmost position."""
-        at = 0
-        for level in reversed(self.levels):
-            word = level[at]
-            if not word:
-                return None
-            at = at << 6 | (word & -word).bit_length() - 1
-        heap = self.heaps[at]
+        if (rank := self._least()) is None:
+            return None
+        heap = self.heaps[rank]
         position = heappop(heap)
         if not heap:
-            del self.heaps[at]
-            rank = at
-            for level in self.levels:
-                level[rank >> 6] &= ~(1 << (rank & 63))
-                if level[rank >> 6]:
-                    break
-                rank >>= 6
-        return at, position
+            del self.heaps[rank]
+            self._clear(rank)
+        return rank, position
+
+    def add(self, rank: int, position: int) -> None:
+        """``push`` for buckets that are taken whole, so needn't be heaps."""
+        bucket = self.heaps.get(rank)
+        if bucket is None:
+            self.fill(rank, [position])
+        else:
+            bucket.append(position)
+
+    def fill(self, rank: int, positions: list[int]) -> None:
+        if rank in self.heaps:
+            self.heaps[rank] += positions
+        else:
+            self.heaps[rank] = positions
+            self._mark(rank)
+
+    def pop_bucket(self) -> tuple[int, list[int]] | None:
+        """The least rank and all its positions."""
+        if (rank := self._least()) is None:
+            return None
+        self._clear(rank)
+        return rank, self.heaps.pop(rank)
+
+
+#: Ids that are decoded at once; it bounds the index arrays.
+DECODED = 1 << 17
+#: Pre-tokens up to so many bytes share one queue; a longer one has its own.
+SHORT = 256
 
 
 class Bpe:
@@ -76,11 +113,108 @@ class Bpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.queue = RankQueue(max(ranks.values()) + 1)
-        self.bytes_of = {r: b for b, r in ranks.items()}
-        self.kept: dict[str, bytes] = {}
-
-    def piece(self, piece: bytes) -> list[int]:
+        self.n_ranks = max(ranks.values()) + 1
+        tokens: list[bytes] = [b""] * self.n_ranks
+        for b, r in ranks.items():
+            tokens[r] = b
+        self.octets = np.frombuffer(b"".join(tokens), np.uint8)
+        self.octet_count = np.fromiter(map(len, tokens), np.int64, self.n_ranks)
+        self.octet_start = np.cumsum(self.octet_count) - self.octet_count
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
+        self.pieces = Pieces(self.encode, pattern)
+
+    def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, -1 without one."""
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
+
+    def encode(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, each match of the pattern in it by itself."""
+        matches = [self.pattern.findall(p) for p in parts]
+        tokens = list({m for found in matches for m in found})
+        ids: dict[str, bytes] = {}
+        short, names = [], []
+        for t in tokens:
+            raw = t.encode("utf-8", "surrogatepass")
+            if (whole := self.ranks.get(raw)) is not None:
+                ids[t] = whole.to_bytes(4, "little")
+            elif len(raw) > SHORT:
+                ids[t] = np.array(self.long_piece(raw), "<u4").tobytes()
+            else:
+                short.append(raw)
+                names.append(t)
+        ids.update(zip(names, self.short_pieces(short), strict=True))
+        return [b"".join(map(ids.__getitem__, found)) for found in matches]
+
+    def short_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of many pre-tokens by one queue.
+
+        Symbols of all pieces lie in one array as linked lists. A bucket of the queue holds
+        the places of its rank's pairs in all pieces; of each piece the leftmost is merged,
+        its others wait in the bucket, so each piece meets its merges in its own order even
+        if a merge makes a pair of lower rank. Stale places are skipped.
+        """
+        if not pieces:
+            return []
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        owner = np.repeat(np.arange(len(pieces)), sizes)
+        sym, n = self.single[raw], len(raw)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ends = np.cumsum(sizes)
+        after[ends - 1] = -1
+        before[ends - sizes] = -1
+        pair = np.full(n, -1)
+        has = np.flatnonzero(after >= 0)
+        pair[has] = self.pair_rank(sym[has], sym[has + 1])
+        queue = RankQueue(self.n_ranks)
+        place = np.flatnonzero(pair >= 0)
+        place = place[np.argsort(pair[place], kind="stable")]
+        found, first = np.unique(pair[place], return_index=True)
+        for r, i, j in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(place)], strict=False):
+            queue.fill(r, place[i:j].tolist())
+        while (got := queue.pop_bucket()) is not None:
+            rank, waiting = got
+            at = np.array(waiting)
+            at = at[pair[at] == rank]
+            if not len(at):
+                continue
+            if len(at) > 1:
+                at = np.unique(at)
+                own = owner[at]
+                leftmost = np.ones(len(at), bool)
+                leftmost[1:] = own[1:] != own[:-1]
+                if not leftmost.all():
+                    queue.fill(rank, at[~leftmost].tolist())
+                    at = at[leftmost]
+            gone = after[at]
+            far = after[gone]
+            sym[at], pair[gone], sym[gone] = rank, -1, -1
+            after[at] = far
+            pair[at] = -1
+            more = far >= 0
+            left, right = at[more], far[more]
+            before[right] = left
+            head = before[at]
+            more = head >= 0
+            heads, tails = head[more], at[more]
+            places = np.concatenate([left, heads])
+            ranks = self.pair_rank(np.concatenate([sym[left], sym[heads]]), np.concatenate([sym[right], sym[tails]]))
+            pair[places] = ranks
+            for r, p in zip(ranks.tolist(), places.tolist(), strict=True):
+                if r >= 0:
+                    queue.add(r, p)
+        alive = sym >= 0
+        ids = sym[alive].astype("<u4").tobytes()
+        stops = (4 * np.cumsum(np.bincount(owner[alive], minlength=len(pieces)))).tolist()
+        return [ids[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def long_piece(self, piece: bytes) -> list[int]:
         """The ids of one pre-token, in time about proportional to its length.
 
         Symbols are a linked list over byte offsets. The queue holds (rank of the pair,
@@ -89,7 +223,7 @@ class Bpe:
         ranks = self.ranks
         if (whole := ranks.get(piece)) is not None:
             return [whole]
-        n, queue = len(piece), self.queue
+        n, queue = len(piece), RankQueue(self.n_ranks)
         end = list(range(1, n + 1))  # of the symbol that begins here
         before = list(range(-1, n - 1))
         pair: list[int | None] = [None] * n  # the rank that the queue holds for this offset
@@ -122,31 +256,11 @@ class Bpe:
         return out
 
     def ids(self, text: str) -> np.ndarray:
-        """The ids of a text, each match of the pattern by itself."""
-        if _SPACES.search(text):  # a run that the pattern sees as one
-            return np.frombuffer(b"".join(self._fresh(m[0]) for m in self.pattern.finditer(text)), "<u4")
-        head, *rest = text.split(" ")
-        parts = [head, *[" " + x for x in rest]]
-        kept, look = self.kept, self._look
-        return np.frombuffer(b"".join([kept[p] if p in kept else look(p) for p in parts]), "<u4")
-
-    def _fresh(self, part: str) -> bytes:
-        return np.array(self.piece(part.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-
-    def _look(self, part: str) -> bytes:
-        found = b"".join([self._fresh(m[0]) for m in self.pattern.finditer(part)])
-        if len(part) <= KEPT_CHARS:
-            if len(self.kept) >= KEPT:
-                self.kept.clear()
-            self.kept[part] = found
-        return found
+        return next(self.pieces.each(pa.array([text], pa.string())))
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-
-
-#: A space amid white space: only there does cutting before each space change the matches.
-_SPACES = regex.compile(r"\s (?:\s|\Z)|\A (?:\s|\Z)")
+        blocks = (ids[i : i + DECODED] for i in range(0, len(ids), DECODED))
+        return b"".join([gather(self.octets, self.octet_start[x], self.octet_count[x]).tobytes() for x in blocks])
 
 
 @cache
@@ -167,15 +281,20 @@ def encoded(text: Column, name: str = RANKS, with_ids: bool = False) -> Column:
     """
 
     def each(texts: pa.Array) -> pa.Array:
-        bpe = load(name)
-        ids = [bpe.ids(x.decode("utf-8", "replace")) for x in texts.to_pylist()]
-        columns = {
-            "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-            "ids_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
-            "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]),
-        }
+        bpe, ids, sha, back = load(name), [], [], []
+        for part, ends in bpe.pieces.batches(texts):
+            raw = part.astype("<u4").tobytes()
+            decoded = bpe.decode(part)
+            octets = np.concatenate([[0], np.cumsum(bpe.octet_count[part])])[ends].tolist()
+            stops = ends.tolist()
+            sha += [hashlib.sha256(raw[4 * i : 4 * j]).hexdigest() for i, j in zip([0, *stops[:-1]], stops, strict=True)]
+            back += [hashlib.sha256(decoded[i:j]).hexdigest() for i, j in zip([0, *octets[:-1]], octets, strict=True)]
+            ids.append((part, np.diff(ends, prepend=0)))
+        n = np.concatenate([np.empty(0, np.int64), *[x for _, x in ids]])
+        columns = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
         if with_ids:
-            columns["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([np.empty(0, "<u4"), *ids]).astype(np.int32)))
+            values = np.concatenate([np.empty(0, np.int32), *[x.astype(np.int32) for x, _ in ids]])
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values))
         return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
 
     kind = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string" + (",ids:array<int>" if with_ids else "") + ">"

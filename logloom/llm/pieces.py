@@ -17,7 +17,7 @@ import regex
 
 #: Pieces whose ids a worker keeps before it begins anew, the longest piece kept, and the
 #: bytes of texts encoded together. Bounds of memory only.
-KEPT, KEPT_CHARS, BATCH_BYTES = 800_000, 64, 24 << 20
+KEPT, KEPT_CHARS, BATCH_BYTES = 600_000, 64, 12 << 20
 #: White space in a row, which the pattern may see as one, or the mark that cuts are made at:
 #: such texts are cut by the pattern itself.
 _ODD = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]{2}|\x00"
