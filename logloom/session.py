@@ -12,12 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: weakref.WeakSet = weakref.WeakSet()
 
+#: Bytes of an Arrow batch, a quarter of Spark's own default: a worker holds its input, its
+#: output and what lies between several times over.
+ARROW_BATCH = 16 << 20
+
 #: Settings that every plan of this library is written for.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BATCH),
 }
 
 
@@ -27,8 +32,14 @@ def build_session(app: str = "logloom", **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once a context, so that workers can import it."""
+    """Send this package to the executors, once a context, so that workers can import it.
+
+    Also lowers the size of Arrow batches to ``ARROW_BATCH`` where it is at Spark's default.
+    """
     sc = spark.sparkContext
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size, "67108864b") == "67108864b":
+        spark.conf.set(size, str(ARROW_BATCH))
     if sc not in _SHIPPED:
         root = Path(__file__).resolve().parent
         fd, name = tempfile.mkstemp(prefix="logloom-", suffix=".zip")
