@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but ASCII white space. ``bytes.split()`` splits the same way.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (as in local tests) a temporary one is made.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="logloom-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(found)
-    return found
+from ..session import cut, shared_dir
 
+__all__ = ["WORD", "cut", "documents", "remainder", "shared_dir", "utf8", "values"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and go on from its reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: A word: a run of anything but ASCII white space. ``bytes.split()`` splits the same way.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -45,3 +30,9 @@ def remainder(key: Column | str, n: int) -> Column:
     """crc32 of the key's decimal text, modulo ``n``; null for a null key."""
     key = F.col(key) if isinstance(key, str) else key
     return F.crc32(key.cast("string").cast("binary")) % n
+
+
+def values(column: pa.Array, step: int = 256) -> Iterator:
+    """The values of an Arrow column, of which only a few at a time are Python objects."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()

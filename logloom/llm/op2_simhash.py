@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, utf8
+from .common import cut, utf8, values
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -59,7 +59,7 @@ def fingerprints(column: Column) -> Column:
     """The fingerprint of a binary column of UTF-8 texts."""
 
     def each(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(x) for x in texts.to_pylist()], pa.int64())
+        return pa.array([fingerprint(x) for x in values(texts)], pa.int64())
 
     return F.arrow_udf(each, "bigint").asNondeterministic()(column)
 

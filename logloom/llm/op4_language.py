@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import subword
-from .common import cut, remainder, utf8
+from .common import cut, remainder, utf8, values
 from .op3_quality import bags_of, fit
 
 FEATURES = subword.Features(bits=15, high=3, letters=True)
@@ -54,7 +54,7 @@ def predictions(text: Column, model: dict | None) -> Column:
 
     def each(texts: pa.Array) -> pa.Array:
         langs, scores = [], []
-        for x in texts.to_pylist():
+        for x in values(texts):
             s = x.decode("utf-8", "replace")
             if model is None or not any(map(str.isalpha, s)):
                 langs.append(UNDETERMINED)
