@@ -102,6 +102,9 @@ class RankQueue:
         return rank, self.heaps.pop(rank)
 
 
+#: Bytes of texts encoded together; nothing is kept beyond, as a worker may sit idle beside a
+#: full heap while later stages run.
+TOGETHER = 3 << 20
 #: Ids that are decoded at once; it bounds the index arrays.
 DECODED = 1 << 17
 #: Pre-tokens up to so many bytes share one queue; a longer one has its own.
@@ -125,7 +128,7 @@ class Bpe:
         keys = np.fromiter(pairs, np.int64, len(pairs))
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
-        self.pieces = Pieces(self.encode, pattern)
+        self.pieces = Pieces(self.encode, pattern, lasting=False, size=TOGETHER)
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of symbols, -1 without one."""
@@ -289,11 +292,11 @@ def encoded(text: Column, name: str = RANKS, with_ids: bool = False) -> Column:
             stops = ends.tolist()
             sha += [hashlib.sha256(raw[4 * i : 4 * j]).hexdigest() for i, j in zip([0, *stops[:-1]], stops, strict=True)]
             back += [hashlib.sha256(decoded[i:j]).hexdigest() for i, j in zip([0, *octets[:-1]], octets, strict=True)]
-            ids.append((part, np.diff(ends, prepend=0)))
+            ids.append((part.astype(np.int32) if with_ids else None, np.diff(ends, prepend=0)))
         n = np.concatenate([np.empty(0, np.int64), *[x for _, x in ids]])
         columns = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
         if with_ids:
-            values = np.concatenate([np.empty(0, np.int32), *[x.astype(np.int32) for x, _ in ids]])
+            values = np.concatenate([np.empty(0, np.int32), *[x for x, _ in ids]])
             columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values))
         return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
 
