@@ -165,7 +165,7 @@ def archive_nodes(s, d):
 
 @query(_ARCHIVE + " SELECT node_id, child_count, total_tokens, roles FROM nodes WHERE conv_id % 2 = 0")
 def node_describe(s, d):
-    wanted = timeline.nodes(_archived(s, d)).where("conv_id % 2 = 0").select("node_id")
+    wanted = timeline.nodes(_archived(s, d)).select("node_id")
     return wanted.join(_nodes(s, d), "node_id").select("node_id", "child_count", "total_tokens", "roles")
 
 
