@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..session import cut
+from .stats import numbered
 
 
 def template_dedup(lines: DataFrame, key: Column | None = None) -> DataFrame:
@@ -99,7 +101,7 @@ def water_fill(pools: dict[str, int], target: int, max_share: float = 0.25) -> d
 
 #: Parts that a corpus is ranked in before its first rows are ranked together.
 SELECT_PARTS = 64
-#: Templates that are packed to chunks in one sequence; a larger corpus is packed in blocks.
+#: Templates in line order that are packed to chunks in one sequence; a run begins after each so many.
 BLOCK = 10_000
 
 
@@ -133,18 +135,19 @@ def sample(lines: DataFrame, target: int, max_share: float = 0.25, most: int = 5
     """(chosen chunks, stats by corpus) of lines (corpus, ord, line): templates once, trash out,
     chunks packed, slots shared out, chunks chosen by hash.
 
-    Packing is a sequence, so a corpus of over ``BLOCK`` templates is dealt to blocks by a hash
-    of the template, each packed in its own order; a smaller one is packed as a whole.
+    Packing is a sequence, so a chunk begins anew at each ``BLOCK``-th template of a corpus in
+    line order: chunks hold neighbouring templates whatever the corpus' size.
     """
     templates = template_dedup(lines)
     good = without_trash(templates)
-    sizes = {r.corpus: r["n"] for r in good.groupBy("corpus").agg(F.count("*").alias("n")).collect()}  # a handful
-    blocks = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, -(-n // BLOCK))])[F.col("corpus")] if sizes else F.lit(1)
-    good = good.withColumn("_block", F.pmod(F.xxhash64("key"), blocks))
+    placed = numbered(cut(good), [F.col("corpus"), F.col("ord"), F.col("line"), F.col("key")], "_place")
+    before = placed.groupBy("corpus").agg(F.min("_place").alias("_first"))  # a handful
+    place = F.col("_place") - F.col("_first")
+    good = placed.join(F.broadcast(before), "corpus").withColumn("_block", F.floor(place / BLOCK).cast("long"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x.line)
     texts = good.groupBy("corpus", "_block").agg(F.array_join(ordered, "\n").alias("text"))
-    cut = chunked(texts.select(F.struct("corpus", "_block").alias("id"), "text"), most, "log", id_col="id")
-    pool = cut.select(F.col("doc_id.corpus").alias("corpus"), (F.col("doc_id._block") * (1 << 32) + F.col("chunk_id")).alias("ord"), "text")
+    chunks = chunked(texts.select(F.struct("corpus", "_block").alias("id"), "text"), most, "log", id_col="id")
+    pool = chunks.select(F.col("doc_id.corpus").alias("corpus"), (F.col("doc_id._block") * (1 << 32) + F.col("chunk_id")).alias("ord"), "text")
     counts = {r.corpus: r["n"] for r in pool.groupBy("corpus").agg(F.count("*").alias("n")).collect()}
     slots = water_fill(counts, target, max_share)
     raw = lines.groupBy("corpus").agg(F.count("*").alias("raw_lines"))

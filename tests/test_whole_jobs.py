@@ -1,5 +1,6 @@
 """Registered queries cover their whole tables."""
 
+from logloom.operators import corpus
 from logloom.plans import registry
 
 
@@ -9,3 +10,17 @@ def test_every_node_is_described(spark, sf):
     nodes = queries["archive_nodes"](spark, sf)
     assert nodes.where("conv_id % 2 = 1").count() > 0
     assert sorted(queries["node_describe"](spark, sf).select(*columns).collect()) == sorted(nodes.select(*columns).collect())
+
+
+def test_sample_packs_neighbours_at_every_size(spark, monkeypatch):
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:04}")
+    lines = {c: [f"{c} service {word(i)} handled its request" for i in range(n)] for c, n in (("x", 47), ("y", 8))}
+    df = spark.createDataFrame([(c, i, x) for c in lines for i, x in enumerate(lines[c])], "corpus string, ord bigint, line string").repartition(7)
+    whole = {c: corpus.sample(df.where(f"corpus = '{c}'"), 1_000, 1.0, 24)[0].orderBy("ord").collect() for c in lines}
+    monkeypatch.setattr(corpus, "BLOCK", 10)
+    for c in lines:
+        got = [r.text.split("\n") for r in corpus.sample(df, 1_000, 1.0, 24)[0].where(f"corpus = '{c}'").orderBy("ord").collect()]
+        assert sum(got, []) == lines[c]
+        runs = [lines[c][i : i + 10] for i in range(0, len(lines[c]), 10)]
+        size = len(whole[c][0].text.split("\n"))
+        assert got == [run[i : i + size] for run in runs for i in range(0, len(run), size)]
