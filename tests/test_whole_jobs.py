@@ -1,5 +1,8 @@
 """Registered queries cover their whole tables."""
 
+from pyspark.sql import functions as F
+
+from logloom.functions import text as T
 from logloom.operators import corpus
 from logloom.plans import registry
 
@@ -24,3 +27,13 @@ def test_sample_packs_neighbours_at_every_size(spark, monkeypatch):
         runs = [lines[c][i : i + 10] for i in range(0, len(lines[c]), 10)]
         size = len(whole[c][0].text.split("\n"))
         assert got == [run[i : i + size] for run in runs for i in range(0, len(run), size)]
+
+
+def test_every_chunk_has_a_mask(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 12")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.chunk_id): (r.n_tokens, r.n_kept) for r in registry.queries()["derive_mask"](spark, str(tmp_path)).collect()}
+    chunks = corpus.chunked(docs).select("doc_id", "chunk_id", F.size(T.word_tokens(F.col("text"))).alias("n")).collect()
+    assert {k: n for k, (n, _) in got.items()} == {(r.doc_id, r.chunk_id): r.n for r in chunks}
+    assert {i for i, _ in got} == {r.doc_id for r in docs.where("trim(text) <> ''").collect()}
+    assert all(0 < kept <= n for n, kept in got.values())
