@@ -303,7 +303,7 @@ def mcnemar_chi2(s, d):
 @query()
 def bootstrap_ci(s, d):
     few = I.table(s, d, "labels").select("toxic", (F.col("quality") == 1).alias("survived"))
-    return stats.bootstrap_ci(few, "toxic", resamples=200)
+    return stats.bootstrap_ci(few, "toxic")
 
 
 _GOLD = "WITH x AS (SELECT l.doc_id AS i, l.quality::BIGINT AS gold, ((d.n_chars * 7919) % 10007) / 10007.0::DOUBLE AS prob FROM labels l JOIN documents d USING (doc_id))"

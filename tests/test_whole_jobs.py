@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from logloom.functions import text as T
-from logloom.operators import corpus
+from logloom.operators import corpus, stats
 from logloom.plans import registry
 
 
@@ -37,3 +37,9 @@ def test_every_chunk_has_a_mask(spark, sf, tmp_path):
     assert {k: n for k, (n, _) in got.items()} == {(r.doc_id, r.chunk_id): r.n for r in chunks}
     assert {i for i, _ in got} == {r.doc_id for r in docs.where("trim(text) <> ''").collect()}
     assert all(0 < kept <= n for n, kept in got.values())
+
+
+def test_bootstrap_takes_all_resamples(spark, sf):
+    rows = spark.read.parquet(f"{sf}/labels.parquet").select("toxic", (F.col("quality") == 1).alias("survived"))
+    want = stats.bootstrap_ci(rows, "toxic", resamples=1000)
+    assert sorted(registry.queries()["bootstrap_ci"](spark, sf).collect()) == sorted(want.collect())
