@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import tempfile
+import threading
 import weakref
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,18 +59,52 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (as in local tests) a temporary one is made.
+    Only where that is unset and all runs on this machine (as in local tests) a temporary one
+    is made; on a cluster its absence raises, since executors don't share a driver's folders.
     """
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="logloom-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="logloom-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found
 
 
+_SCRATCH = threading.local()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and go on from its reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    for made in getattr(_SCRATCH, "open", []):
+        file = out._jdf.logicalPlan().rdd().getCheckpointFile()
+        if file.isDefined():
+            made.append(file.get())
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark reaches, if it is there."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the checkpoints that this thread's ``cut`` made within.
+
+    What is computed from them must be written by then.
+    """
+    stack = _SCRATCH.open = getattr(_SCRATCH, "open", [])
+    stack.append(made := [])
+    try:
+        yield
+    finally:
+        stack.remove(made)
+        for path in made:
+            remove(spark, path)
