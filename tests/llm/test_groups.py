@@ -78,18 +78,31 @@ def test_exact_groups(spark):
         assert (r.keep_id, r.group_size, r.kept) == (max(own), len(own), r.doc_id == max(own))
 
 
+def prose(rng, n):
+    return " ".join("".join(rng.choice("etaoinshrdlucmwfgyp") for _ in range(rng.randrange(1, 10))) for _ in range(n))
+
+
 def test_exact_groups_of_long_texts_by_chunks(spark):
     rng = random.Random(6)
-    base = " ".join(rng.choice(["the", "other", "words", "x" * 50, "end."]) for _ in range(6000))
+    base = prose(rng, 12_000)
     texts = [base, base, base + " ", " " + base, base[:9000] + "z" + base[9001:], "q" * 30000, "q" * 30000, "q" * 30001]
     cut = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", exact.chunks(F.col("t")).alias("c")).collect()
     assert all("".join(r.c) == texts[r.i] and len(r.c) > 1 for r in cut)
-    shared = set(cut[0].c) & set(cut[3].c)
-    assert len(shared) > len(cut[0].c) // 2  # cuts follow the content, not the offset
     rows = {r.doc_id: r for r in exact.exact_groups(M.table(spark, texts)).collect()}
     assert [rows[i].group_size for i in range(8)] == [2, 2, 1, 1, 1, 2, 2, 1]
 
 
+def test_cuts_follow_the_content(spark):
+    """After a prefix of any length nearly all chunks are the same ones."""
+    rng = random.Random(7)
+    bases = [prose(rng, 12_000), "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(20_000))]
+    for base in bases:
+        texts = [base] + [prose(rng, n)[:n] + base for n in (1, 37, 100, 300, 1000)]
+        first, *others = [r.c for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select(exact.chunks(F.col("t")).alias("c")).collect()]
+        assert all(len(set(first) & set(c)) > 0.9 * len(first) for c in others)
+        assert all(len(c) <= exact.MOST for c in first) and len(base.encode()) / len(first) < 3000
+
+
 def test_exact_groups_survive_a_weak_digest(spark):
     weak = lambda c: F.unhex(F.substring(F.sha2(c.cast("binary"), 256), 1, 1).cast("string"))  # noqa: E731  16 values
     texts = [f"text number {i % 40}" for i in range(60)]
