@@ -102,7 +102,8 @@ class Image:
 
 
 class Encoder:
-    """The library's ids of pieces of texts.
+    """The library's ids of pieces of texts, by its default call: the string of an added token
+    in a text is that token.
 
     Pieces that are a word, with or without a space before it, are joined to long strings,
     those without after a newline, and the library encodes these at less cost a piece. It
@@ -115,12 +116,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
+        special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         vocab = self.tokenizer.get_vocab()
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.size[i] = len(token)  # one character of a token's name is one byte
-        self.pieces = Pieces(self.encode, public_tokenizers.PATTERN)
+        self.pieces = Pieces(self.encode, public_tokenizers.PATTERN, special=special)
 
     def encode(self, parts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(parts)

@@ -43,10 +43,18 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 class Pieces:
     """Ids of texts, by an encoder of lists of pieces to little-endian 32-bit integers."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str, lasting: bool = True, size: int = BATCH_BYTES):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str, lasting: bool = True, size: int = BATCH_BYTES, special: tuple[str, ...] = ()):
         """``lasting``: whether pieces are kept from one Arrow batch to the next. ``size``: the
-        bytes of texts encoded together."""
+        bytes of texts encoded together. ``special``: strings that are a token wherever they
+        stand, and part what is before them from what follows."""
         self.encode, self.pattern, self.lasting, self.size, self.kept = encode, regex.compile(pattern), lasting, size, {}
+        self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+
+    def matches(self, text: str) -> list[str]:
+        """The pattern's matches, those of each part between special strings by themselves."""
+        if self.special is None:
+            return self.pattern.findall(text)
+        return [m for k, part in enumerate(self.special.split(text)) for m in ([part] if k % 2 else self.pattern.findall(part))]
 
     def cut(self, texts: pa.Array) -> pa.Array:
         """A list of pieces for each text: a line's first word, a space and a word, a newline."""
@@ -56,7 +64,7 @@ class Pieces:
         if not pc.any(odd).as_py():
             return lists
         kind = pa.list_(pa.string())
-        by_pattern = pa.array([self.pattern.findall(t) if o else None for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)], kind)
+        by_pattern = pa.array([self.matches(t) if o else None for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)], kind)
         return pc.if_else(odd, by_pattern, lists.cast(kind))
 
     def bare(self, piece: str) -> str:
