@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import os
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -30,7 +32,7 @@ def test_equals_sql(spark, sf, name):
 
 
 def test_licences(spark):
-    mit = op1_licences.KNOWN[0][1]
+    mit = "MIT License\n\n" + op1_licences._MIT
     texts = [mit, "  " + mit.upper().replace("SUBLICENSE", "SUB-LICENSE"), "MIT Licence\nCopyright (c) 2020 Someone\n" + mit.split("\n", 1)[1], mit + " and more", "some text\nReleased under the MIT Licence!\nCopyright 2021 A\nLicensed under the Apache Licence, version 2.0", None, "", "© all"]
     rows = {r.doc_id: r for r in op1_licences.scan_licences(M.table(spark, texts)).collect()}
     assert [rows[i].licence for i in range(8)] == ["MIT", "MIT", "MIT", None, None, None, None, None]
@@ -38,6 +40,28 @@ def test_licences(spark):
     assert op1_licences.scan_licences(M.table(spark).limit(0)).count() == 0
 
 
+def test_whole_licences_however_wrapped_and_titled(spark):
+    texts, names = [], []
+    for name, titles, text in op1_licences.WHOLE:
+        for width in (40, 72, 1000):
+            body = "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+            texts += [body, f"{titles[0]}\n\nCopyright (c) 1999-2020, A. Person\nAll rights reserved.\n\n{body}\n", f"  {titles[-1].upper()}\n© 2020 A\n{body}"]
+            names += [name] * 3
+    for path, name in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("MPL-2.0", "MPL-2.0")):
+        if os.path.exists(f"/usr/share/common-licenses/{path}"):
+            texts.append(open(f"/usr/share/common-licenses/{path}", encoding="utf-8").read())
+            names.append(name)
+    texts += [texts[0] + " and more", texts[0][:-20]]
+    rows = {r.doc_id: r.licence for r in op1_licences.scan_licences(M.table(spark, texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == [*names, None, None]
+
+
+def test_licences_of_repeated_rows(spark):
+    d = M.table(spark, ["Licensed under CC BY 4.0.\nLicensed under the MIT License.", "x", "x"], ids=[1, 1, None])
+    rows = sorted((r.line_licences, r.licence) for r in op1_licences.scan_licences(d.unionByName(d)).collect())
+    assert rows == [("", None)] * 4 + [("CC-BY-4.0,MIT", None)] * 2
+
+
 # --- sharding -----------------------------------------------------------------------------
 
 
@@ -155,9 +179,9 @@ RANKS = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(public
 TIK = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
 
-def odd_texts(n=1500):
+def odd_texts(n=1500, more=()):
     rng = random.Random(1)
-    parts = [" ", "  ", "\n", "\n\n", "\t", "a", "b,", "the", "é", "日本", "😀", "123", "'s", "'ll", " ", "!!", "$$$", "\r\n", "A", "\x1c", "　", "\0", "don't", "word.", "Word"]
+    parts = [" ", "  ", "\n", "\n\n", "\t", "a", "b,", "the", "é", "日本", "😀", "123", "'s", "'ll", " ", "!!", "$$$", "\r\n", "A", "\x1c", "　", "\0", "don't", "word.", "Word", *more]
     return ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(n)]
 
 
@@ -215,8 +239,7 @@ def test_bpe_query(spark):
 
 def test_file_encoder_equals_library():
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
-    texts = [t or "" for t in M.TEXTS] + odd_texts(800)
+    texts = [t or "" for t in M.TEXTS] + odd_texts(800) + odd_texts(800, ["<|endoftext|>", "<|", "|>", "<|endoftext|"])
     for t, got in zip(texts, op7_token_files.Encoder(op7_token_files.TOKENIZER).pieces.each(pa.array(texts)), strict=True):
         assert got.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t[:60])
 
@@ -235,7 +258,6 @@ def test_image_round_trip(planes, n):
 @pytest.mark.parametrize("planes", [4, 32])
 def test_token_files(spark, tmp_path, planes):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     rng = random.Random(0)
     ids = rng.sample(range(-50, 500), len(M.TEXTS))
     rows = op7_token_files.token_files(M.table(spark, ids=ids), str(tmp_path / "t"), planes=planes, files_ids=300).orderBy("doc_id").collect()
