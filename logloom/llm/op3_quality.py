@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import subword
 from .common import remainder, utf8, values
 
-FEATURES = subword.Features(bits=15, high=3, repeats=True)
+FEATURES = subword.Features(bits=15, high=3, words=2)
 #: At most so many labelled documents teach the model: those whose hashed id is least.
 MAX_TRAIN = 6_000
 
@@ -25,9 +25,10 @@ def bags_of(features: subword.Features):
     return F.arrow_udf(each, "struct<ids:binary,shares:binary>").asNondeterministic()
 
 
-def fit(rows: list, labels: list[int], classes: int, features: subword.Features, **how) -> dict:
-    bags = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.shares, np.float32)) for r in rows]
-    return subword.train(bags, labels, classes, features, **how)
+def fit(rows: list[tuple[bytes, bytes, int]], classes: int, features: subword.Features, **how) -> dict:
+    """A model of rows (ids, shares, class)."""
+    bags = [(np.frombuffer(ids, np.int32), np.frombuffer(part, np.float32)) for ids, part, _ in rows]
+    return subword.train(bags, [y for *_, y in rows], classes, features, **how)
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", held_out=None, max_train: int = MAX_TRAIN, features: subword.Features = FEATURES) -> dict | None:
@@ -42,11 +43,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
     ids = known.orderBy(F.xxhash64("id"), "id").limit(max_train).select("id", "y")
     picked = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).join(F.broadcast(ids), "id")  # max_train rows at most
-    rows = picked.select("id", "y", bags_of(features)("text").alias("b")).select("id", "y", "b.ids", "b.shares").limit(max_train).collect()
+    rows = picked.select("id", "y", F.xxhash64("id", "text").alias("h"), bags_of(features)("text").alias("b")).select("id", "y", "h", "b.ids", "b.shares").orderBy("h", "id").limit(max_train).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.id, r.ids))
-    return fit(rows, [int(r.y) for r in rows], 2, features)
+    return fit([(r.ids, r.shares, int(r.y)) for r in rows], 2, features)
 
 
 def score_quality(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,5 +69,10 @@ def held_out(key):
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, score, predicted, as ``score_quality`` has them.
+
+    The model is fitted outside the held-out third. Null, empty and repeated texts, repeated and
+    null ids and columns of other names have results as any other row has; no rows: no rows.
+    """
     model = train_quality(docs, labels, held_out=held_out)
     return score_quality(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")

@@ -25,18 +25,23 @@ def _table(letters: bool) -> np.ndarray:
     return np.fromiter((test(chr(i)) for i in range(0x110000)), bool, 0x110000)
 
 
+def is_letter(codes: np.ndarray) -> np.ndarray:
+    return _table(True)[codes]
+
+
 @dataclass(frozen=True)
 class Features:
     """How texts become buckets.
 
     ``letters``: fold case, and take runs of letters as words; else runs without white space.
-    ``repeats``: one more feature for each word that equals the word before it.
+    ``words``: the longest word n-gram, 1 or 2. A pair of neighbours is hashed without order, as
+    the exclusive or of its words, so that all pairs of a word and itself share a bucket.
     """
 
     bits: int = 15
     high: int = 3
     letters: bool = False
-    repeats: bool = False
+    words: int = 1
 
     @property
     def buckets(self) -> int:
@@ -81,8 +86,8 @@ class Features:
         edge = np.flatnonzero(mark)
         words = (sums[edge[1:]] - sums[edge[:-1]]) * back[edge[:-1]]
         out.append(self._fold(words, 0))
-        if self.repeats:
-            out.append(self._fold(np.zeros(int((words[1:] == words[:-1]).sum()), np.uint64), self.high + 1))
+        if self.words > 1:
+            out.append(self._fold(words[1:] ^ words[:-1], self.high + 1))
         return np.concatenate(out)
 
 
@@ -133,11 +138,14 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], classes:
     return {"scores": (e @ w).astype(np.float32), "bias": b, "features": features}
 
 
-def probabilities(text: str, model: dict) -> np.ndarray:
-    """Class probabilities; a text without words gets those of the bias."""
+def logits(text: str, model: dict) -> np.ndarray:
+    """The classes' logits; a text without words gets the bias."""
     z = model["bias"].astype(np.float64)
     ids = model["features"].of(text)
-    if len(ids):
-        z = z + model["scores"][ids].mean(0, dtype=np.float64)
+    return z + model["scores"][ids].mean(0, dtype=np.float64) if len(ids) else z
+
+
+def probabilities(text: str, model: dict) -> np.ndarray:
+    z = logits(text, model)
     p = np.exp(z - z.max())
     return p / p.sum()
