@@ -123,11 +123,10 @@ def thresholds(rows: DataFrame, wanted: dict[str, int]) -> dict[str, int]:
     active = {p for p, n in wanted.items() if n > 0}
     while shift and active:
         shift -= DIGIT.bit_length() - 1
-        own = F.lit(None).cast("long")
-        for p in active:
-            own = F.when(F.col("pattern") == p, F.lit(prefix[p])).otherwise(own)
+        opened = F.broadcast(rows.sparkSession.createDataFrame([(p, prefix[p]) for p in sorted(active)], "p string, own long"))  # at most ``MAX_PATTERNS``
+        under = (F.col("pattern") == F.col("p")) & (F.shiftrightunsigned("hash", shift + DIGIT.bit_length() - 1) == F.col("own"))
         digit = F.shiftrightunsigned("hash", shift)
-        sums = rows.where(F.shiftrightunsigned("hash", shift + DIGIT.bit_length() - 1) == own).groupBy("pattern", digit.alias("digit")).agg(F.sum("size").alias("n")).where("n > 0").collect()
+        sums = rows.join(opened, under, "left_semi").groupBy("pattern", digit.alias("digit")).agg(F.sum("size").alias("n")).where("n > 0").collect()
         by: dict[str, list] = {p: [] for p in active}
         for r in sums:
             by[r.pattern].append((r.digit, r.n))
