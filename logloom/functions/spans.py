@@ -1,49 +1,117 @@
-"""Byte spans of pattern matches and intervals over them, without UDFs."""
+"""Byte spans of pattern matches and intervals over them.
+
+Patterns are Spark's; running sums over a row's matches are numpy's, an Arrow batch at a time.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 SPAN = "array<struct<s:int,e:int>>"
+PARTS = "array<struct<k:int,g:int,n:int>>"
 
 
-def match_spans(text: Column, pattern: str, group: int | None = None) -> Column:
-    """Byte ranges (s, e) of all matches, in order.
-
-    Gaps are what ``split`` leaves between matches; hit i starts after gaps 0..i and hits
-    0..i-1, measured in UTF-8 bytes. The fold keeps the running end only and concatenates
-    nothing but the result. Empty matches are left out.
-    """
+def gaps(text: Column, pattern: str, kind: int = 0) -> Column:
+    """array<struct<k, g, n>> of a pattern's matches: the bytes before each since the last one, and its own."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return tile(F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.octet_length(g).alias("g"), F.octet_length(h).alias("n"))))
+    return F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.lit(kind).alias("k"), F.octet_length(g).alias("g"), F.octet_length(h).alias("n")))
+
+
+def _spans(parts: pa.Array, merged: bool) -> pa.Array:
+    """Running sums of all rows' parts at once; a kind starts at 0, and so does a row."""
+    parts = pa.concat_arrays([parts]) if parts.offset else parts
+    sizes = np.diff(parts.offsets.to_numpy())
+    row = np.repeat(np.arange(len(parts)), sizes)
+    k, g, n = (parts.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k", "g", "n"))
+    total = np.cumsum(g + n)
+    first = np.ones(len(row), bool)
+    first[1:] = (row[1:] != row[:-1]) | (k[1:] != k[:-1])
+    base = (total - g - n)[np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))] if len(row) else total
+    e = total - base
+    s = e - n
+    full = n > 0
+    row, s, e = row[full], s[full], e[full]
+    if merged and len(row):
+        order = np.lexsort((e, s, row))
+        row, s, e = row[order], s[order], e[order]
+        wide = int(e.max()) + 1
+        reach = np.maximum.accumulate(row * wide + e)
+        new = np.ones(len(row), bool)
+        new[1:] = row[1:] * wide + s[1:] > reach[:-1]
+        at = np.flatnonzero(new)
+        row, s, e = row[at], s[at], np.maximum.reduceat(e, at)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(parts)))])
+    pairs = pa.StructArray.from_arrays([pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["s", "e"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
 
 
 def tile(parts: Column) -> Column:
-    """Spans of parts struct<g, n>: a gap of g bytes, then n bytes."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    step = lambda a, p: F.struct((a.at + p.g + p.n).cast("int").alias("at"), F.concat(a.out, F.array(F.struct((a.at + p.g).cast("int").alias("s"), (a.at + p.g + p.n).cast("int").alias("e")))).alias("out"))
-    return F.filter(F.aggregate(parts, start, step, lambda a: a.out), lambda x: x.e > x.s)
+    """Spans of parts struct<k, g, n>, in order: a gap of g bytes, then n bytes; empty ones left out.
+
+    Sums run over an Arrow batch: a fold over an array copies what it has at each step.
+    """
+
+    def each(x: pa.Array) -> pa.Array:
+        return _spans(x, False)
+
+    return F.arrow_udf(each, SPAN).asNondeterministic()(F.coalesce(parts, F.array().cast(PARTS)))
+
+
+def merged_spans(parts: Column) -> Column:
+    """The union of the spans of parts, whose kinds each tile the text: those that overlap or touch made one."""
+
+    def each(x: pa.Array) -> pa.Array:
+        return _spans(x, True)
+
+    return F.arrow_udf(each, SPAN).asNondeterministic()(F.coalesce(parts, F.array().cast(PARTS)))
+
+
+def match_spans(text: Column, pattern: str) -> Column:
+    """Byte ranges (s, e) of all matches, in order."""
+    return tile(gaps(text, pattern))
 
 
 def token_spans(tokens: Column) -> Column:
     """Spans of tokens that tile their text."""
-    return tile(F.transform(tokens, lambda t: F.struct(F.lit(0).alias("g"), F.octet_length(t).alias("n"))))
+    return tile(F.transform(tokens, lambda t: F.struct(F.lit(0).alias("k"), F.lit(0).alias("g"), F.octet_length(t).alias("n"))))
 
 
 def merge(spans: Column) -> Column:
     """The union of intervals: sorted, those that overlap or touch made one."""
-    empty = F.array().cast(SPAN)
-    last = lambda a: F.element_at(a, -1)
-    joined = lambda a, x: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a).s.alias("s"), F.greatest(last(a).e, x.e).alias("e"))))
-    grow = lambda a, x: F.when((F.size(a) > 0) & (x.s <= F.get(a, F.size(a) - 1).e), joined(a, x)).otherwise(F.concat(a, F.array(x)))
-    return F.aggregate(F.array_sort(spans), empty, grow)
+    # each span is a kind of its own: a gap up to its start, then itself
+    return merged_spans(F.transform(spans, lambda x, i: F.struct(i.alias("k"), x.s.alias("g"), (x.e - x.s).alias("n"))))
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row, start and end of every span of a column of lists."""
+    lists = pa.concat_arrays([lists]) if lists.offset else lists
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    return row, *(lists.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("s", "e"))
 
 
-def overlaps(spans: Column, s: Column, e: Column) -> Column:
-    """Whether a span of bytes shares a byte with one of the spans."""
-    return F.exists(spans, lambda x: (x.s < e) & (x.e > s))
+def overlaps(spans: Column, tokens: Column) -> Column:
+    """array<boolean>: whether each of ``tokens``, spans too, shares a byte with one of ``spans``.
+
+    One search in the sorted starts of an Arrow batch: of the spans that start before a token's
+    end, does one end after its start?
+    """
+
+    def each(spans: pa.Array, tokens: pa.Array) -> pa.Array:
+        row, s, e = _flat(spans)
+        at, first, last = _flat(tokens)
+        wide = int(max(e.max(initial=0), last.max(initial=0))) + 1
+        order = np.argsort(row * wide + s, kind="stable")
+        starts, reach = (row * wide + s)[order], np.maximum.accumulate(np.concatenate([[-1], (row * wide + e)[order]]))
+        hit = reach[np.searchsorted(starts, at * wide + last)] > at * wide + first
+        ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(tokens)))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hit, pa.bool_()))
+
+    full = lambda x: F.coalesce(x, F.array().cast(SPAN))
+    return F.arrow_udf(each, "array<boolean>").asNondeterministic()(full(spans), full(tokens))
 
 
 # --- the same by rows, for texts of any length: arrays cost the square of their number ------
@@ -53,13 +121,9 @@ def match_rows(docs: DataFrame, patterns: list[str] | tuple[str, ...], id_col: s
     """(doc_id, s, e): a row a match of any pattern; ends are running sums in a window."""
     text = F.col(text_col)
 
-    def lengths(k: int, pattern: str) -> Column:
-        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        return F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.lit(k).alias("k"), F.octet_length(g).alias("g"), F.octet_length(h).alias("n")))
-
     if not patterns:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(0).alias("s"), F.lit(0).alias("e")).limit(0)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.concat(*[lengths(k, p) for k, p in enumerate(patterns)])).alias("pos", "x"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.concat(*[gaps(text, p, k) for k, p in enumerate(patterns)])).alias("pos", "x"))
     upto = W.partitionBy("doc_id", "x.k").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.select("doc_id", F.sum(F.col("x.g") + F.col("x.n")).over(upto).cast("int").alias("e"), F.col("x.n").alias("n"))
     return rows.where("n > 0").select("doc_id", (F.col("e") - F.col("n")).alias("s"), "e")

@@ -6,6 +6,8 @@ twin where an oracle needs the same in SQL.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,6 +122,11 @@ def occurrences_sql(text: str, needle: str) -> str:
     return f"CASE WHEN length({needle}) = 0 THEN 0 ELSE (length({text}) - length(replace({text}, {needle}, ''))) // length({needle}) END"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # --- randomness of tokens -----------------------------------------------------------------
 
 
@@ -239,7 +246,7 @@ def hop_decay_exp(hops: Column, alpha: float = 0.5) -> Column:
     return F.exp(-F.lit(float(alpha)) * F.greatest(hops.cast("double"), F.lit(0.0)))
 
 
-def hop_decay_linear(hops: Column, most: int = 5) -> Column:
+def hop_decay_linear(hops: Column, most: int = 6) -> Column:
     return F.greatest(F.lit(0.0), 1.0 - hops.cast("double") / float(most))
 
 

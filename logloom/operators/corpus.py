@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -43,59 +45,63 @@ def units(text: Column, mode: str) -> Column:
 def pack(sizes: Column, most: int) -> Column:
     """The chunk number of each unit, from 0, for units of the given sizes packed greedily.
 
-    A unit over ``most`` is a chunk by itself. The state is (size of the open chunk, its
-    number, numbers so far); 0 closes the chunk after an oversized unit.
+    A unit over ``most`` is a chunk by itself. Packing begins anew with each chunk, so it is a
+    loop in an Arrow function.
     """
-    start = F.struct(F.lit(0).alias("c"), F.lit(-1).alias("q"), F.array().cast("array<int>").alias("o"))
 
-    def step(a, x):
-        big, new = x > most, (a.c == 0) | (a.c + x > most)
-        q = F.when(big | new, a.q + 1).otherwise(a.q).cast("int")
-        c = F.when(big, F.lit(0)).when(new, x).otherwise(a.c + x).cast("int")
-        return F.struct(c.alias("c"), q.alias("q"), F.concat(a.o, F.array(q)).alias("o"))
+    def each(lists: pa.Array) -> pa.Array:
+        out = []
+        for sizes in lists.to_pylist():
+            room, q, numbers = 0, -1, []
+            for n in sizes or ():
+                if n > room:
+                    q += 1
+                    room = most if n <= most else 0
+                room -= min(n, room)
+                numbers.append(q)
+            out.append(numbers)
+        return pa.array(out, pa.list_(pa.int32()))
 
-    return F.aggregate(sizes, start, step, lambda a: a.o)
+    return F.arrow_udf(each, "array<int>").asNondeterministic()(sizes)
 
 
 def chunked(docs: DataFrame, most: int = 512, mode: str = "log", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, chunk_id, text, n_tokens): units packed to at most ``most`` word tokens; an
     oversized unit is cut to pieces of ``most`` tokens, which follow in its place."""
     rows = docs.select(F.col(id_col).alias("doc_id"), units(F.col(text_col), mode).alias("u"))
-    rows = rows.withColumn("q", pack(F.transform("u", lambda x: F.size(T.word_tokens(x))), most))
-    unit = rows.select("doc_id", F.posexplode(F.arrays_zip("u", "q")).alias("pos", "x")).select("doc_id", "pos", F.col("x.u").alias("u"), F.col("x.q").alias("q"))
+    rows = rows.select("doc_id", "u", F.transform("u", lambda x: F.size(T.word_tokens(x))).alias("n"))
+    rows = rows.select("doc_id", "u", "n", pack(F.col("n"), most).alias("q"))
+    unit = rows.select("doc_id", F.posexplode(F.arrays_zip("u", "n", "q")).alias("pos", "x")).select("doc_id", "pos", "x.u", "x.n", "x.q")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "u"))), lambda x: x.u), SPLITTERS[mode][1])
-    whole = unit.groupBy("doc_id", "q").agg(joined.alias("text"))
+    whole = unit.groupBy("doc_id", "q").agg(joined.alias("text"), F.max("n").alias("n"))
     toks = T.word_tokens(F.col("text"))
-    pieces = F.when(F.size(toks) <= most, F.array("text")).when(F.contains(F.col("text"), F.lit(SPLITTERS[mode][1])), F.array("text")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(toks) - 1, F.lit(most)), lambda i: F.array_join(F.slice(toks, i + 1, F.lit(most)), ""))
-    )
-    cut = whole.select("doc_id", "q", F.posexplode(pieces).alias("piece", "text"))
+    cuts = F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(most)), lambda i: F.array_join(F.slice(toks, i + 1, F.lit(most)), ""))
+    pieces = F.when(F.col("n") <= most, F.array("text")).otherwise(cuts)
+    parts = whole.select("doc_id", "q", F.posexplode(pieces).alias("piece", "text"))
     number = F.row_number().over(W.partitionBy("doc_id").orderBy("q", "piece")) - 1
-    return cut.select("doc_id", number.alias("chunk_id"), "text", T.token_count(F.col("text")).alias("n_tokens"))
+    return parts.select("doc_id", number.alias("chunk_id"), "text", T.token_count(F.col("text")).alias("n_tokens"))
 
 
 def water_fill(pools: dict[str, int], target: int, max_share: float = 0.25) -> dict[str, int]:
     """Fair shares of ``target`` slots: equal, no more than a pool has or ``max_share`` allows.
 
-    A handful of corpora, so it runs on the driver over their counts. The level is found
-    directly: whole shares as long as all open corpora can take one, then the rest singly
-    by most headroom, then name.
+    Shares fill to one level, as water in basins of different depths: the greatest whole level
+    whose sum is within the target, found among the sorted depths. What is left over goes
+    singly to the basins with most depth above it, then by name. There are a handful of
+    corpora, so this runs on the driver over their counts.
     """
-    out = dict.fromkeys(pools, 0)
     if target <= 0 or not pools:
-        return out
-    ceiling = {k: min(n, max(1, int(max_share * target))) for k, n in pools.items()}
-    left = min(target, sum(ceiling.values()))
-    while left and (open_ := sorted(k for k in pools if out[k] < ceiling[k])):
-        if share := left // len(open_):
-            for k in open_:
-                got = min(share, ceiling[k] - out[k])
-                out[k] += got
-                left -= got
-        else:
-            for k in sorted(open_, key=lambda k: (out[k] - ceiling[k], k))[:left]:
-                out[k] += 1
-            left = 0
+        return dict.fromkeys(pools, 0)
+    most = max(1, int(max_share * target))
+    depth = {k: min(n, most) for k, n in pools.items()}
+    goal = min(target, sum(depth.values()))
+    depths = np.sort(np.fromiter(depth.values(), np.int64, len(depth)))
+    full = np.concatenate([[0], np.cumsum(depths)[:-1]])  # what the basins less deep hold
+    levels = (goal - full) // np.arange(len(depths), 0, -1)
+    level = int(levels[np.argmax(levels < depths)]) if (levels < depths).any() else int(depths[-1])
+    out = {k: min(d, level) for k, d in depth.items()}
+    for k in sorted((k for k in depth if depth[k] > level), key=lambda k: (-depth[k], k))[: goal - sum(out.values())]:
+        out[k] += 1
     return out
 
 

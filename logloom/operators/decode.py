@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -48,7 +49,7 @@ def locked(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
 
 def project(spans: Column, token_spans: Column) -> Column:
     """Per token of another tokenizer, whether it shares a byte with a locked span."""
-    return F.transform(token_spans, lambda t: S.overlaps(spans, t.s, t.e))
+    return S.overlaps(spans, token_spans)
 
 
 def groups(rows: DataFrame, by: str = "word") -> DataFrame:
@@ -77,11 +78,22 @@ def budget(rate: float | Column, n: Column, half_even: bool = False) -> Column:
 def greedy(spans: Column, k: Column) -> Column:
     """The g of the spans dropped: by falling score, then g, each whole span that still fits.
 
-    ``spans``: array<struct<neg_score, g, n>>. The fold's state is a count and the list.
+    ``spans``: array<struct<neg, g, n>>. Each choice hangs on all before it, so it is a loop in
+    an Arrow function; a fold would copy what it has at each step.
     """
-    start = F.struct(F.lit(0).alias("t"), F.array().cast("array<int>").alias("out"))
-    take = lambda a, x: F.struct((a.t + x.n).cast("int").alias("t"), F.concat(a.out, F.array(x.g)).alias("out"))
-    return F.aggregate(F.array_sort(spans), start, lambda a, x: F.when(a.t + x.n <= k, take(a, x)).otherwise(a), lambda a: a.out)
+
+    def each(lists: pa.Array, budgets: pa.Array) -> pa.Array:
+        out = []
+        for spans, left in zip(lists.to_pylist(), budgets.to_pylist(), strict=True):
+            gone = []
+            for x in spans or ():
+                if x["n"] <= left:
+                    left -= x["n"]
+                    gone.append(x["g"])
+            out.append(gone)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return F.arrow_udf(each, "array<int>")(F.array_sort(spans), k)
 
 
 def span_decode(scored: DataFrame, rate: float, by: str = "word", reduce: str = "max") -> DataFrame:

@@ -50,7 +50,7 @@ SEMANTIC = r'(?i)\b(' + "|".join(SEMANTIC_QUESTIONS) + r')\s*[=:]\s*"([^"\n]{3,}
 
 def structural_spans(text: Column) -> Column:
     """Merged byte ranges of all structural atoms."""
-    return S.merge(F.flatten(F.array(*[S.match_spans(text, p) for p in STRUCTURAL])))
+    return S.merged_spans(F.concat(*[S.gaps(text, p, k) for k, p in enumerate(STRUCTURAL)]))
 
 
 def floor_lockable(text: Column) -> Column:
@@ -89,11 +89,13 @@ def semantic_candidates(text: Column) -> Column:
 
 
 def best(text: Column, found: Column) -> Column:
-    """The candidate to ask for: of the first of each fact type, the first whose answer is
-    unique in the text; the very first candidate if none is."""
-    first = F.filter(found, lambda c, i: F.array_position(F.transform(found, lambda x: x.fact_type), c.fact_type) == i + 1)
-    unique = F.filter(first, lambda c: T.occurrences(text, c.answer) == 1)
-    return F.coalesce(F.get(unique, 0), F.get(found, 0))
+    """An array of the candidate to ask for, empty without any: of the first of each fact type,
+    the first whose answer is unique in the text; the very first candidate if none is."""
+
+    def first(c: Column) -> Column:
+        return T.bound(F.transform(c, lambda x: x.fact_type), lambda types: F.filter(c, lambda x, i: F.array_position(types, x.fact_type) == i + 1))
+
+    return T.bound(found, lambda c: F.slice(F.concat(F.filter(first(c), lambda x: T.occurrences(text, x.answer) == 1), c), 1, 1))
 
 
 def windows(docs: DataFrame, width: int, stride: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,8 +117,8 @@ def triples(docs: DataFrame, width: int = 40, stride: int = 40, semantic: bool =
     """(doc_id, start, chunk, fact_type, question, answer): at most one triple a window."""
     chunks = windows(docs, width, stride)
     found = (semantic_candidates if semantic else candidates)(F.col("chunk"))
-    rows = chunks.withColumn("found", found).withColumn("b", best(F.col("chunk"), F.col("found")))
-    return rows.where("b is not null").select("doc_id", "start", "chunk", "b.fact_type", "b.question", "b.answer")
+    rows = chunks.select("doc_id", "start", "chunk", F.explode(best(F.col("chunk"), found)).alias("b"))
+    return rows.select("doc_id", "start", "chunk", "b.fact_type", "b.question", "b.answer")
 
 
 # --- prose needles of known log systems ---------------------------------------------------
@@ -166,8 +168,10 @@ def system_triples(lines: DataFrame, width: int = 40, most: int = 200) -> DataFr
     and that is unique in the window around it; the first ``most`` accepted ones a system."""
     rows = centered_windows(lines, width).withColumn("answer", needle(message(F.col("system"), F.col("line"))))
     ok = F.col("answer").isNotNull() & ~floor_lockable(F.col("answer")) & (T.occurrences(F.col("chunk"), F.col("answer")) == 1)
+    # of lines with one answer the first stands for it, so that reruns agree
+    first = rows.where(ok).groupBy("system", "answer").agg(F.min_by(F.struct("doc_id", "line_no", "chunk"), F.struct("doc_id", "line_no")).alias("f")).select("system", "answer", "f.*")
     rank = F.row_number().over(W.partitionBy("system").orderBy("doc_id", "line_no"))
-    return rows.where(ok).dropDuplicates(["system", "answer"]).withColumn("rank", rank).where(F.col("rank") <= most).select(
+    return first.withColumn("rank", rank).where(F.col("rank") <= most).select(
         F.concat(F.lit("loghub:"), F.col("system")).alias("source"), "doc_id", "line_no", "chunk", F.lit(NEEDLE_QUESTION).alias("question"), "answer", F.lit("semantic:prose").alias("fact_type")
     )
 
@@ -181,8 +185,8 @@ def held_out(chunks: DataFrame) -> DataFrame:
     semantic and the best structural fact of each, an answer of a type once, the first."""
     text = F.col("chunk")
     both = [best(text, semantic_candidates(text)), best(text, candidates(text))]
-    rows = chunks.select("chunk_id", "chunk", F.posexplode(F.array(*[F.struct(b.fact_type.alias("fact_type"), b.question.alias("question"), b.answer.alias("answer")) for b in both])).alias("kind", "b"))
-    rows = rows.where("b.answer is not null")
+    slim = lambda kind: lambda c: F.struct(F.lit(kind).alias("kind"), c.fact_type.alias("fact_type"), c.question.alias("question"), c.answer.alias("answer"))
+    rows = chunks.select("chunk_id", "chunk", F.explode(F.concat(*[F.transform(b, slim(k)) for k, b in enumerate(both)])).alias("b")).withColumn("kind", F.col("b.kind"))
     first = F.row_number().over(W.partitionBy("b.fact_type", "b.answer").orderBy("chunk_id", "kind"))
     return rows.withColumn("_n", first).where("_n = 1").select("chunk_id", "chunk", "b.fact_type", "b.question", "b.answer")
 

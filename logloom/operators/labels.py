@@ -10,14 +10,16 @@ import math
 import tokenize
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import spans as S
 from ..functions import text as T
+from ..session import cut
 from . import facts
+from .stats import value_at_rank
 
 
 def qc_metrics(pairs: DataFrame, original: str = "original", compressed: str = "compressed") -> DataFrame:
@@ -30,8 +32,8 @@ def qc_metrics(pairs: DataFrame, original: str = "original", compressed: str = "
 
     def each(original: pa.Array, compressed: pa.Array) -> pa.Array:
         rows = []
-        for o, c in zip(original.to_pylist(), compressed.to_pylist(), strict=True):
-            have, kept = Counter(o or ()), Counter(c or ())
+        for i in range(len(original)):
+            have, kept = Counter(original[i].as_py() or ()), Counter(compressed[i].as_py() or ())
             rows.append((have.total(), kept.total(), sum(n for w, n in kept.items() if w in have), sum(min(n, have[w]) for w, n in kept.items() if w in have)))
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["o", "c", "hits", "matched"])
 
@@ -43,25 +45,24 @@ def qc_metrics(pairs: DataFrame, original: str = "original", compressed: str = "
     return rows.withColumn("ag", F.col("hr") - F.col("mr")).drop("_n")
 
 
-def nearest_rank(rows: DataFrame, column: str, drop_pct: float) -> DataFrame:
-    """One row, cutoff: the value at the nearest rank that leaves out the top ``drop_pct``.
-
-    Values are counted first: a table of distinct values carries the running counts.
-    """
+def nearest_rank(rows: DataFrame, column: str, drop_pct: float) -> float | None:
+    """The value at the nearest rank that leaves out the top ``drop_pct``; None without rows."""
+    n = rows.where(F.col(column).isNotNull()).count()
     keep = 1.0 - drop_pct / 100.0
-    counts = rows.groupBy(column).agg(F.count("*").alias("_n"))
-    total = rows.agg(F.count("*").alias("_total"))
-    running = counts.withColumn("_upto", F.sum("_n").over(W.orderBy(column)))
-    idx = F.greatest(F.lit(1), F.least(F.col("_total"), F.ceil(F.lit(keep) * F.col("_total"))))
-    return running.join(F.broadcast(total)).where(F.col("_upto") >= idx).agg(F.min(column).alias("cutoff"))
+    return value_at_rank(rows, column, max(1, min(n, math.ceil(keep * n)))) if n else None
 
 
 def qc_filter(scored: DataFrame, vr_top: float = 5.0, ag_top: float = 10.0, floor: float = 0.5) -> DataFrame:
     """Pairs with vr at most ``floor``, then without the top ``vr_top`` % by vr, then, of those
-    left, the top ``ag_top`` % by ag; ties with the cutoff stay."""
-    left = scored.where(F.col("vr") <= floor)
-    left = left.join(F.broadcast(nearest_rank(left, "vr", vr_top).withColumnRenamed("cutoff", "_vr"))).where(F.col("vr") <= F.col("_vr")).drop("_vr")
-    return left.join(F.broadcast(nearest_rank(left, "ag", ag_top).withColumnRenamed("cutoff", "_ag"))).where(F.col("ag") <= F.col("_ag")).drop("_ag")
+    left, the top ``ag_top`` % by ag; ties with the cutoff stay.
+
+    ``scored`` is written once, so it should carry no more columns than are wanted.
+    """
+    left = cut(scored).where(F.col("vr") <= floor)
+    for column, top in (("vr", vr_top), ("ag", ag_top)):
+        most = nearest_rank(left, column, top)
+        left = left if most is None else left.where(F.col(column) <= most)
+    return left
 
 
 def histogram(rows: DataFrame, column: str, bins: int = 10, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
@@ -88,17 +89,26 @@ def aligned_bytes(original: bytes, compressed: bytes, least: int = 3) -> list[tu
     return [(m.a, m.a + m.size) for m in matcher.get_matching_blocks() if m.size >= least]
 
 
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+
+
 def kept_tokens(original: bytes, compressed: bytes, spans: list[tuple[int, int]]) -> list[bool]:
-    """Whether each token is kept: all its bytes are, or half of them with one that isn't space."""
-    kept = bytearray(len(original))
+    """Whether each token is kept: all its bytes are, or half of them with one that isn't space.
+
+    Counts come from running sums of kept bytes, and of kept bytes that aren't space.
+    """
+    if not spans:
+        return []
+    edges = np.zeros(len(original) + 1, np.int64)
     for i, j in aligned_bytes(original, compressed):
-        kept[i:j] = b"\1" * (j - i)
-    out = []
-    for s, e in spans:
-        n = sum(kept[s:e])
-        solid = any(kept[i] and not original[i : i + 1].isspace() for i in range(s, e))
-        out.append(e > s and (n == e - s or (2 * n >= e - s and solid)))
-    return out
+        edges[i] += 1
+        edges[j] -= 1
+    kept = np.cumsum(edges)[:-1] > 0
+    solid = kept & ~_SPACE[np.frombuffer(original, np.uint8)]
+    upto, solid_upto = (np.concatenate([[0], np.cumsum(x)]) for x in (kept, solid))
+    s, e = np.array(spans).T
+    n, wide = upto[e] - upto[s], e - s
+    return ((wide > 0) & ((n == wide) | ((2 * n >= wide) & (solid_upto[e] > solid_upto[s])))).tolist()
 
 
 def derive_mask(pairs: DataFrame) -> DataFrame:
@@ -116,10 +126,18 @@ def derive_mask(pairs: DataFrame) -> DataFrame:
 
 def salience_weights(text: Column, token_spans: Column, weight: float) -> Column:
     """``weight`` for tokens over structural atoms or quoted values of salient keys, else 1."""
-    quoted = S.match_spans(text, facts.SEMANTIC)
-    values = F.zip_with(quoted, F.regexp_extract_all(text, F.lit(facts.SEMANTIC), F.lit(2)), lambda x, v: F.struct((x.e - 1 - F.octet_length(v)).cast("int").alias("s"), (x.e - 1).cast("int").alias("e")))
-    spans = F.concat(facts.structural_spans(text), values)
-    return F.transform(token_spans, lambda t: F.when(S.overlaps(spans, t.s, t.e), F.lit(float(weight))).otherwise(F.lit(1.0)))
+    parts = [S.gaps(text, p, k) for k, p in enumerate(facts.STRUCTURAL)]
+    # of a salient key's match, the value alone counts: it ends a quote before the match does
+    values = F.regexp_extract_all(text, F.lit(facts.SEMANTIC), F.lit(2))
+    quoted = F.zip_with(S.gaps(text, facts.SEMANTIC), values, lambda x, v: F.array(
+        F.struct(F.lit(len(parts)).alias("k"), x.g.alias("g"), (x.n - 1 - F.octet_length(v)).alias("n"), F.lit(False).alias("own")),
+        F.struct(F.lit(len(parts)).alias("k"), F.lit(0).alias("g"), F.octet_length(v).alias("n"), F.lit(True).alias("own")),
+        F.struct(F.lit(len(parts)).alias("k"), F.lit(0).alias("g"), F.lit(1).alias("n"), F.lit(False).alias("own")),
+    ))
+    # what isn't the value becomes a gap before it
+    steps = F.transform(F.flatten(quoted), lambda x: F.struct(x.k.alias("k"), F.when(x.own, x.g).otherwise(x.g + x.n).alias("g"), F.when(x.own, x.n).otherwise(0).alias("n")))
+    spans = S.merged_spans(F.concat(*parts, steps))
+    return F.transform(S.overlaps(spans, token_spans), lambda hit: F.when(hit, F.lit(float(weight))).otherwise(F.lit(1.0)))
 
 
 def language_of(path: Column) -> Column:

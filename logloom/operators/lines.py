@@ -13,14 +13,14 @@ from pyspark.sql import Window as W
 from ..functions import text as T
 
 
-def explode_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, line): the ``\\n`` segments; a last newline ends a line, it begins none.
+def explode_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, line_no, line): the ``\\n`` segments; a last newline ends a line, it begins none.
 
     A carriage return stays part of its line. Empty and null texts have no lines.
     """
     t = F.col(text_col)
     body = F.when(t.endswith("\n"), F.expr(f"left(`{text_col}`, length(`{text_col}`) - 1)")).otherwise(t)
-    return docs.where(F.length(t) > 0).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(body, "\n", -1)).alias("line_no", "line"))
+    return docs.where(F.length(t) > 0).select(F.col(id_col).alias("doc_id"), *keep, F.posexplode(F.split(body, "\n", -1)).alias("line_no", "line"))
 
 
 def with_runs(lines: DataFrame, key: Column | None = None) -> DataFrame:
@@ -53,10 +53,20 @@ def groups(lines: DataFrame, head: int = 1, tail: int = 1, min_run: int = 3) ->
     return gone.groupBy("doc_id", "group_idx").agg(F.min("key").alias("key"), F.count("*").cast("int").alias("n_elided"), ordered.alias("elided"))
 
 
+def escaped(key: Column) -> Column:
+    """The key as a quoted string literal shows it: quotes, backslashes and controls escaped."""
+    plain = F.replace(F.replace(F.replace(key, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\t"), F.lit("\\t"))
+    named = {"\r": "\\r", "\n": "\\n", "\0": "\\0"}
+    whole = plain
+    for c in map(chr, (*range(32), *range(127, 160))):
+        if c != "\t":
+            whole = F.replace(whole, F.lit(c), F.lit(named.get(c, f"\\u{{{ord(c):x}}}")))
+    return F.when(key.rlike("[\\x00-\\x08\\x0a-\\x1f\\x7f-\\x9f]"), whole).otherwise(plain)
+
+
 def summary_line(index: Column, count: Column, key: Column) -> Column:
-    """What stands for an elided middle; the key's backslashes and quotes are escaped."""
-    quoted = F.replace(F.replace(F.replace(key, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\t"), F.lit("\\t"))
-    return F.concat(F.lit("⟪elided idx="), index.cast("string"), F.lit(" lines="), count.cast("string"), F.lit(' key="'), quoted, F.lit('"⟫'))
+    """What stands for an elided middle."""
+    return F.concat(F.lit("⟪elided idx="), index.cast("string"), F.lit(" lines="), count.cast("string"), F.lit(' key="'), escaped(key), F.lit('"⟫'))
 
 
 def reduced(docs: DataFrame, head: int = 1, tail: int = 1, min_run: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -45,13 +46,19 @@ def keep_severity(docs: DataFrame, rate: float | Column) -> DataFrame:
     total = docs.select(F.col("doc_id"), F.greatest(F.lit(1), F.rint((F.lit(1.0) - rate) * T.token_count(F.col("text"))).cast("int")).alias("budget"))
     order = F.array_sort(F.collect_list(F.struct(T.severity_rank(F.col("line")).alias("rank"), "line_no", "cost")))
     folded = rows.groupBy("doc_id").agg(order.alias("lines")).join(total, "doc_id")
-    start = F.struct(F.lit(0).alias("spent"), F.array().cast("array<int>").alias("out"))
 
-    def step(a, x):
-        skip = (a.spent + x.cost > F.col("budget")) & (F.size(a.out) > 0)
-        return F.when(skip, a).otherwise(F.struct((a.spent + x.cost).cast("int").alias("spent"), F.concat(a.out, F.array(x.line_no)).alias("out")))
-
-    kept = folded.select("doc_id", F.explode(F.aggregate("lines", start, step, lambda a: a.out)).alias("line_no"))
+    def each(lists: pa.Array, budgets: pa.Array) -> pa.Array:
+        out = []
+        for lines, left in zip(lists.to_pylist(), budgets.to_pylist(), strict=True):
+            kept = []
+            for x in lines:
+                if x["cost"] <= left or not kept:
+                    left -= x["cost"]
+                    kept.append(x["line_no"])
+            out.append(kept)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    kept = folded.select("doc_id", F.explode(F.arrow_udf(each, "array<int>")("lines", "budget")).alias("line_no"))
     return _joined(rows.join(kept, ["doc_id", "line_no"]), F.col("line"))
 
 
@@ -103,8 +110,9 @@ def achieved_drop(original: Column, compressed: Column) -> Column:
 
 def survival_items(triples: DataFrame, rates=(0.2, 0.5, 0.8), methods=DEFAULT_METHODS, survives=T.survives) -> DataFrame:
     """(method, rate, triple_id, fact_type, source, survived, ratio, achieved_drop), one by each
-    method and rate. ``triples``: triple_id, chunk, answer, fact_type, source."""
-    out = None
+    method and rate. ``triples``: triple_id, chunk, answer, fact_type, source; they are computed
+    once, for all methods."""
+    triples, out = cut(triples), None
     for name in methods:
         run, tunable = METHODS[name]
         wanted = F.array(*[F.lit(float(r)) for r in (rates if tunable else (0.0,))])

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import cut
+
 
 def chi2_tail(chi2: Column) -> Column:
     """The upper tail of chi-squared with one degree of freedom, by ``math.erfc``."""
@@ -20,15 +23,39 @@ def chi2_tail(chi2: Column) -> Column:
 
 
 def exact_binomial(n: Column, k: Column) -> Column:
-    """Two-sided binomial p at one half: min(1, 2 * P(X <= k)), summed by a fold of logarithms."""
-    log_half = math.log(0.5)
-    state = F.struct(F.lit(0.0).alias("log_c"), F.lit(0.0).alias("sum"))
-    step = lambda a, i: F.struct(
-        F.when(i == 0, F.lit(0.0)).otherwise(a.log_c + F.ln((n - i + 1).cast("double")) - F.ln(F.greatest(i, F.lit(1)).cast("double"))).alias("log_c"),
-        (a.sum + F.exp(F.when(i == 0, F.lit(0.0)).otherwise(a.log_c + F.ln((n - i + 1).cast("double")) - F.ln(F.greatest(i, F.lit(1)).cast("double"))) + n * log_half)).alias("sum"),
-    )
-    tail = F.aggregate(F.sequence(F.lit(0).cast("bigint"), k.cast("bigint")), state, step, lambda a: a.sum)
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2.0 * tail))
+    """Two-sided binomial p at one half: min(1, 2 * P(X <= k)), the tail as an incomplete beta function.
+
+    P(X <= k) = I(1/2; n - k, k + 1), by its continued fraction, in about sqrt(n) steps.
+    """
+
+    def each(ns: pa.Array, ks: pa.Array) -> pa.Array:
+        rows = zip(ns.to_pylist(), ks.to_pylist(), strict=True)
+        return pa.array([None if a is None or b is None else 1.0 if a == 0 else min(1.0, 2.0 * half_tail(a, b)) for a, b in rows], pa.float64())
+
+    return F.arrow_udf(each, "double")(n.cast("bigint"), k.cast("bigint"))
+
+
+def half_tail(n: int, k: int) -> float:
+    """P(X <= k) of n fair coins."""
+    if k >= n:
+        return 1.0
+    if 2 * k + 1 > n:  # the fraction settles fast on the lesser side only
+        return 1.0 - half_tail(n, n - k - 1)
+    a, b, x = n - k, k + 1, 0.5
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + (a + b) * math.log(0.5)) / a
+    tiny, c = 1e-300, 1.0
+    d = 1.0 / (1.0 - (a + b) * x / (a + 1))
+    out = d
+    for m in range(1, 100_000):
+        up = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        d, c = 1.0 / ((1.0 + up * d) or tiny), (1.0 + up / c) or tiny
+        out *= d * c
+        down = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d, c = 1.0 / ((1.0 + down * d) or tiny), (1.0 + down / c) or tiny
+        out *= d * c
+        if abs(d * c - 1.0) < 1e-15:
+            break
+    return front * out
 
 
 def mcnemar(pairs: DataFrame, *by: str, a: str = "a", b: str = "b", chi2_p: bool = True) -> DataFrame:
@@ -54,14 +81,18 @@ def bootstrap_ci(items: DataFrame, *by: str, value: str = "survived", resamples:
     """(*by, point, lo, hi, n): the percentile interval of the mean of booleans.
 
     A resample of n draws from booleans is, but for order, n draws of a success with the
-    observed share, so a group is carried as two counts, whatever its size: each draw is a
-    hash of seed, group, resample and draw, compared with the count.
+    observed share, so a group is carried as two counts, whatever its size, and a resample is
+    one binomial number, drawn by a generator that seed, group and resample decide.
     """
     groups = items.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col(value)).alias("k"))
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in by]) if by else F.lit("")
     draws = groups.withColumn("_key", key).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    hit = lambda d: F.when(F.pmod(F.xxhash64(F.lit(seed), F.col("_key"), F.col("r"), d), F.col("n")) < F.col("k"), 1).otherwise(0)
-    total = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.col("n")), F.lit(0), lambda a, d: a + hit(d))
+
+    def each(seeds: pa.Array, n: pa.Array, k: pa.Array) -> pa.Array:
+        rows = zip(seeds.to_pylist(), n.to_pylist(), k.to_pylist(), strict=True)
+        return pa.array([int(np.random.default_rng(s & (1 << 64) - 1).binomial(a, b / a)) for s, a, b in rows], pa.int64())
+
+    total = F.arrow_udf(each, "bigint")(F.xxhash64(F.lit(seed), "_key", "r"), "n", "k")
     means = draws.withColumn("mean", total / F.col("n"))
     rank = F.row_number().over(W.partitionBy(*by).orderBy("mean")) - 1
     low, high = min(resamples - 1, int((1 - conf) / 2 * resamples)), min(resamples - 1, int((1 - (1 - conf) / 2) * resamples))
@@ -73,8 +104,6 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / F.when(b == 0, F.lit(1)).otherwise(b))
 
 
-
-
 def ranking(scored: DataFrame, prob: str = "prob", gold: str = "gold", order: str = "i", target_rate: float | None = None) -> DataFrame:
     """One row of ranking metrics of (order, prob, gold 0/1).
 
@@ -120,11 +149,12 @@ def numbered(rows: DataFrame, order: list[Column], name: str, add: str | None =
     """Adds the row's place in a global order, from 1, and the running sum of ``add``.
 
     Rows are dealt by ranges of the order and numbered in their range; the ranges' sizes, a
-    row each, are summed and broadcast.
+    row each, are summed and broadcast. The dealt rows are written once: ranges come from a
+    sample, so that two executions may deal differently.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    dealt = cut(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     w = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     inside = dealt.withColumn(name, F.row_number().over(W.partitionBy("_part").orderBy(*order)))
     if add:
@@ -136,3 +166,26 @@ def numbered(rows: DataFrame, order: list[Column], name: str, add: str | None =
     if add:
         out = out.withColumn(total, F.col(total) + F.col("_s0"))
     return out.drop("_part", "_n0", "_s0")
+
+
+#: Bins that a range of values is counted in at once.
+RANK_BINS = 4_096
+
+
+def value_at_rank(rows: DataFrame, column: str, rank: int) -> float:
+    """The value at a rank, from 1, of the column's values in rising order; nulls have no rank.
+
+    A range of values is counted in bins, and the bin with the rank becomes the range, until
+    it is one value. No task sorts the column; ``rows`` should be cheap to read again.
+    """
+    x = F.col(column).cast("double")
+    low, high, below = *rows.agg(F.min(x), F.max(x)).first(), 0
+    while low < high:
+        at = F.least(F.lit(RANK_BINS - 1), F.floor((x - low) / (high - low) * RANK_BINS))
+        bins = rows.where(x.between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high")).orderBy("bin").collect()
+        for b in bins:
+            if below + b.n >= rank:
+                low, high = b.low, b.high
+                break
+            below += b.n
+    return low

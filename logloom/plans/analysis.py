@@ -52,7 +52,7 @@ def ip_spans(s, d):
 
 @query("WITH" + _raw_spans_sql("documents", "doc_id", "text", _KEYWORDS) + " SELECT id AS doc_id, s, e FROM merged")
 def keyword_intervals(s, d):
-    return S.merge_rows(decode.keyword_spans(I.table(s, d, "documents"), _KEYWORDS))
+    return S.merge_rows(decode.keyword_spans(I.documents(s, d), _KEYWORDS))
 
 
 _CAND = []
@@ -85,8 +85,8 @@ def semantic_candidates(s, d):
 picked AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY (nth = 1 AND uses = 1) DESC, any_nth) AS choice FROM firsts)
 SELECT event_id, fact_type, answer FROM picked WHERE choice = 1""")
 def best_triple(s, d):
-    rows = I.event_lines(s, d).withColumn("b", facts.best(F.col("line"), facts.candidates(F.col("line"))))
-    return rows.where("b is not null").select("event_id", "b.fact_type", "b.answer")
+    rows = I.event_lines(s, d).select("event_id", F.explode(facts.best(F.col("line"), facts.candidates(F.col("line")))).alias("b"))
+    return rows.select("event_id", "b.fact_type", "b.answer")
 
 
 _LINES_OF_DOCS = """WITH split AS (SELECT doc_id, string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS l FROM documents WHERE length(text) > 0)"""
@@ -95,7 +95,7 @@ _LINES_OF_DOCS = """WITH split AS (SELECT doc_id, string_split(CASE WHEN ends_wi
 @query(_LINES_OF_DOCS + """, starts AS (SELECT doc_id, l, unnest(range(0, len(l), 3)) AS start FROM split)
 SELECT doc_id, start::INT AS start, array_to_string(l[start + 1:start + 5], chr(10)) AS chunk FROM starts WHERE start = 0 OR start - 3 + 5 < len(l)""")
 def line_windows(s, d):
-    return facts.windows(I.table(s, d, "documents"), 5, 3)
+    return facts.windows(I.documents(s, d), 5, 3)
 
 
 @query("WITH" + I.lines_sql("documents") + """ SELECT doc_id, line_no, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS chunk FROM lines""")
@@ -119,7 +119,7 @@ _SCORE = "((hash_of % 1000) / 1000.0)"
 
 @query("WITH" + I.tokens_sql("documents") + " SELECT doc_id, i, s, e FROM toks")
 def token_spans(s, d):
-    return decode.tokens(I.table(s, d, "documents")).select("doc_id", "i", "s", "e")
+    return decode.tokens(I.documents(s, d)).select("doc_id", "i", "s", "e")
 
 
 _LOCKED = _TOKS + """, locked AS (
@@ -128,7 +128,7 @@ _LOCKED = _TOKS + """, locked AS (
 
 @query(_LOCKED + " SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (locked) AS n_locked FROM locked GROUP BY doc_id")
 def lock_mask_word(s, d):
-    docs = I.table(s, d, "documents")
+    docs = I.documents(s, d)
     rows = decode.locked(docs, decode.keyword_spans(docs, _KEYWORDS))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if("locked").alias("n_locked"))
 
@@ -311,7 +311,7 @@ _RANKED = _GOLD + """, r AS (SELECT *, row_number() OVER (ORDER BY prob DESC, i)
 
 
 def _gold(s, d):
-    rows = I.table(s, d, "labels").join(I.table(s, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    rows = I.table(s, d, "labels").join(I.documents(s, d).select("doc_id", "n_chars"), "doc_id")
     return rows.select(F.col("doc_id").alias("i"), F.col("quality").alias("gold"), (((F.col("n_chars") * 7919) % 10007) / F.lit(10007.0)).alias("prob"))
 
 
@@ -342,7 +342,7 @@ def token_bce(s, d):
     return stats.ranking(_gold(s, d)).select(F.round("per_token_bce", 6).alias("per_token_bce"), F.round("argmax_drop_rate", 6).alias("argmax_drop_rate"))
 
 
-@query("SELECT doc_id, round(exp(-0.5 * (n_chars % 7)), 9) AS by_exp, round(greatest(0.0, 1 - (n_chars % 7) / 5.0), 9) AS by_line, round(1 / (1 + exp(-((n_chars % 9) - 4.0))), 9) AS squashed FROM documents")
+@query("SELECT doc_id, round(exp(-0.5 * (n_chars % 7)), 9) AS by_exp, round(greatest(0.0, 1 - (n_chars % 7) / 6.0), 9) AS by_line, round(1 / (1 + exp(-((n_chars % 9) - 4.0))), 9) AS squashed FROM documents")
 def decay_kernels(s, d):
     hops = F.col("n_chars") % 7
-    return I.table(s, d, "documents").select("doc_id", F.round(T.hop_decay_exp(hops), 9).alias("by_exp"), F.round(T.hop_decay_linear(hops), 9).alias("by_line"), F.round(T.sigmoid((F.col("n_chars") % 9).cast("double") - 4.0), 9).alias("squashed"))
+    return I.documents(s, d).select("doc_id", F.round(T.hop_decay_exp(hops), 9).alias("by_exp"), F.round(T.hop_decay_linear(hops), 9).alias("by_line"), F.round(T.sigmoid((F.col("n_chars") % 9).cast("double") - 4.0), 9).alias("squashed"))

@@ -12,13 +12,12 @@ from ..sources.readers import byte_chunks, capped, token_windows
 from . import inputs as I
 from .registry import query
 
-_LINES = "WITH corpus_lines AS (SELECT source AS corpus, doc_id, text FROM documents)," + I.lines_sql("corpus_lines", "split_lines").replace("SELECT doc_id, unnest(range", "SELECT corpus, doc_id, unnest(range").replace("FROM (SELECT doc_id, string_split", "FROM (SELECT corpus, doc_id, string_split") + ", lines AS (SELECT corpus, doc_id * 1000000 + line_no AS ord, line FROM split_lines)"
+_LINES = "WITH corpus_lines AS (SELECT source AS corpus, doc_id, text FROM documents)," + I.lines_sql("corpus_lines", "split_lines").replace("SELECT doc_id, unnest(range", "SELECT corpus, doc_id, unnest(range").replace("FROM (SELECT doc_id, string_split", "FROM (SELECT corpus, doc_id, string_split") + ", lines AS (SELECT corpus, doc_id * 4294967296 + line_no AS ord, line FROM split_lines)"
 
 
 def _corpus_lines(s, d):
-    docs = I.table(s, d, "documents")
-    rows = I.lines(s, d).join(docs.select("doc_id", F.col("source").alias("corpus")), "doc_id")
-    return rows.select("corpus", (F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("ord"), "line")
+    rows = I.lines(s, d, ("source",))
+    return rows.select(F.col("source").alias("corpus"), (F.shiftleft("doc_id", 32) + F.col("line_no")).alias("ord"), "line")
 
 
 def _runs_sql(source: str, id_: str, text: str) -> str:
@@ -32,17 +31,17 @@ rated AS (SELECT doc_id, sum(length(r)) AS total, sum(CASE WHEN {T.is_wordlike_s
 
 @query(_SIGNAL + "SELECT d.doc_id, round(CASE WHEN coalesce(total, 0) = 0 THEN 1.0 ELSE good / total::DOUBLE END, 9) AS signal FROM documents d LEFT JOIN rated USING (doc_id)")
 def signal_ratio(s, d):
-    return I.table(s, d, "documents").select("doc_id", F.round(T.signal_ratio(F.col("text")), 9).alias("signal"))
+    return I.documents(s, d).select("doc_id", F.round(T.signal_ratio(F.col("text")), 9).alias("signal"))
 
 
 @query(_SIGNAL + "SELECT d.doc_id, coalesce(total >= 24 AND good / total::DOUBLE < 0.30, false) AS low FROM documents d LEFT JOIN rated USING (doc_id)")
 def low_signal_filter(s, d):
-    return I.table(s, d, "documents").select("doc_id", T.is_low_signal(F.col("text")).alias("low"))
+    return I.documents(s, d).select("doc_id", T.is_low_signal(F.col("text")).alias("low"))
 
 
 @query(f"WITH {_runs_sql('documents', 'doc_id', 'text')} SELECT r AS token, {T.is_random_sql('r')} AS is_random, {T.is_wordlike_sql('r')} AS is_wordlike FROM (SELECT DISTINCT r FROM runs)")
 def random_token_flags(s, d):
-    rows = I.table(s, d, "documents").select(F.explode(T.alnum_runs(F.col("text"))).alias("token")).distinct()
+    rows = I.documents(s, d).select(F.explode(T.alnum_runs(F.col("text"))).alias("token")).distinct()
     return rows.select("token", T.is_random_token(F.col("token")).alias("is_random"), T.is_wordlike(F.col("token")).alias("is_wordlike"))
 
 
@@ -74,14 +73,14 @@ SELECT doc_id, q, count(*) AS n_units, sum(n)::BIGINT AS n_tokens FROM (SELECT d
 
 @query(_PACK)
 def chunk_pack(s, d):
-    rows = I.table(s, d, "documents").select("doc_id", corpus.units(F.col("text"), "log").alias("u")).withColumn("n", F.transform("u", lambda x: F.size(T.word_tokens(x))))
+    rows = I.documents(s, d).select("doc_id", corpus.units(F.col("text"), "log").alias("u")).withColumn("n", F.transform("u", lambda x: F.size(T.word_tokens(x))))
     pairs = rows.select("doc_id", F.explode(F.arrays_zip("n", corpus.pack(F.col("n"), 64).alias("q"))).alias("x"))
     return pairs.groupBy("doc_id", F.col("x.q").alias("q")).agg(F.count("*").alias("n_units"), F.sum("x.n").alias("n_tokens"))
 
 
 @query()
 def chunk_texts(s, d):
-    return corpus.chunked(I.table(s, d, "documents"), 64, "log")
+    return corpus.chunked(I.documents(s, d), 64, "log")
 
 
 @query("""WITH RECURSIVE pools AS (SELECT lang AS corpus, count(*) AS n FROM documents GROUP BY lang),
@@ -92,14 +91,14 @@ fit AS (SELECT max(v) AS v FROM levels WHERE (SELECT sum(least(c, v)) FROM ceil)
 base AS (SELECT corpus, least(c, v) AS a, c, row_number() OVER (ORDER BY (c - least(c, v)) DESC, corpus) AS r FROM ceil, fit)
 SELECT corpus, (a + CASE WHEN a < c AND r <= (SELECT least(target, (SELECT sum(c) FROM ceil)) FROM goal) - (SELECT sum(a) FROM base) THEN 1 ELSE 0 END)::BIGINT AS slots FROM base""")
 def water_fill(s, d):
-    counts = {r.corpus: r["n"] for r in I.table(s, d, "documents").groupBy(F.col("lang").alias("corpus")).agg(F.count("*").alias("n")).collect()}
+    counts = {r.corpus: r["n"] for r in I.documents(s, d).groupBy(F.col("lang").alias("corpus")).agg(F.count("*").alias("n")).collect()}
     slots = corpus.water_fill(counts, sum(counts.values()) // 2, 0.4)
     return s.createDataFrame(sorted(slots.items()), "corpus string, slots bigint")
 
 
 @query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha1(text), doc_id) AS r FROM documents) WHERE r <= 7")
 def stable_select(s, d):
-    docs = I.table(s, d, "documents")
+    docs = I.documents(s, d)
     names = [r.source for r in docs.select("source").distinct().collect()]
     return corpus.stable_select(docs, dict.fromkeys(names, 7), corpus="source", order="doc_id").select("doc_id", "source")
 
@@ -111,7 +110,7 @@ def stable_subsample(s, d):
 
 @query(f"SELECT doc_id, CASE WHEN {T.hash_share_sql(chr(39) + '3:' + chr(39) + ' || source || ' + chr(39) + ':' + chr(39) + ' || doc_id')} < 0.1 THEN 'val' ELSE 'train' END AS split FROM documents")
 def train_val_split(s, d):
-    return I.table(s, d, "documents").select("doc_id", corpus.split_bucket(F.col("source"), F.col("doc_id"), 0.1, 3).alias("split"))
+    return I.documents(s, d).select("doc_id", corpus.split_bucket(F.col("source"), F.col("doc_id"), 0.1, 3).alias("split"))
 
 
 @query(_LINES + """, good AS (SELECT * FROM lines WHERE trim(line) <> ''), ranked AS (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY ord) AS r FROM good)
@@ -136,7 +135,7 @@ def _short():
 
 
 def _pairs(s, d):
-    return I.table(s, d, "documents").select("doc_id", F.col("text").alias("original"), _short().alias("compressed"))
+    return I.documents(s, d).select("doc_id", F.col("text").alias("original"), _short().alias("compressed"))
 
 
 _PAIRS = """WITH w AS (SELECT doc_id, text, string_split(text, ' ') AS w FROM documents),
@@ -161,7 +160,7 @@ f1 AS (SELECT f.* FROM f, v WHERE vr <= cut),
 a AS (SELECT ag AS cut FROM (SELECT ag, row_number() OVER (ORDER BY ag) AS r, count(*) OVER () AS n FROM f1) WHERE r = greatest(1, least(n, ceil((1.0::DOUBLE - 10.0::DOUBLE / 100) * n))))
 SELECT doc_id FROM f1, a WHERE ag <= cut""")
 def qc_filter(s, d):
-    return labels.qc_filter(labels.qc_metrics(_pairs(s, d))).select("doc_id")
+    return labels.qc_filter(labels.qc_metrics(_pairs(s, d)).select("doc_id", "vr", "ag")).select("doc_id")
 
 
 @query(_QC + " SELECT least(9, greatest(0, floor((hr - 0.0) / 0.1)))::INT AS bin, count(*) AS n FROM qa GROUP BY 1")
@@ -187,7 +186,7 @@ def language_of_path(s, d):
 @query()
 def derive_mask(s, d):
     # alignment is quadratic, so documents are aligned a chunk at a time, all of them
-    chunks = corpus.chunked(I.table(s, d, "documents")).repartition(F.col("doc_id"), F.col("chunk_id"))
+    chunks = corpus.chunked(I.documents(s, d)).repartition(F.col("doc_id"), F.col("chunk_id"))
     short = chunks.select("doc_id", "chunk_id", F.col("text").alias("original"), F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 3 != 2), " ").alias("compressed"))
     return labels.derive_mask(short).select("doc_id", "chunk_id", F.size("tokens").alias("n_tokens"), F.size(F.filter("keep", lambda k: k)).alias("n_kept"))
 
@@ -212,13 +211,13 @@ def label_ceiling(s, d):
 @query("""WITH l AS (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE length(text) > 0)),
 t AS (SELECT doc_id, sum(strlen(x) + 1) - 1 AS bytes FROM l GROUP BY doc_id) SELECT doc_id, bytes::BIGINT AS bytes FROM t""")
 def byte_chunk_totals(s, d):
-    rows = byte_chunks(I.table(s, d, "documents"), 2048)
+    rows = byte_chunks(I.documents(s, d), 2048)
     return rows.groupBy("doc_id").agg(F.sum(F.octet_length("chunk")).alias("bytes"))
 
 
 @query()
 def byte_chunk_rows(s, d):
-    return byte_chunks(I.table(s, d, "documents"), 2048).select("doc_id", "chunk_id", F.octet_length("chunk").alias("bytes"))
+    return byte_chunks(I.documents(s, d), 2048).select("doc_id", "chunk_id", F.octet_length("chunk").alias("bytes"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(range(len(p)))::INT AS line_no, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
@@ -226,7 +225,7 @@ own AS (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_
 sizes AS (SELECT doc_id, max(own) AS size FROM kept GROUP BY doc_id), before AS (SELECT doc_id, coalesce(sum(size) OVER (ORDER BY lpad(doc_id::VARCHAR, 12, '0') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM sizes)
 SELECT lpad(doc_id::VARCHAR, 12, '0') AS path, line_no FROM kept JOIN before USING (doc_id) WHERE b + own <= 200000""")
 def byte_caps(s, d):
-    files = I.table(s, d, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), "text")
+    files = I.documents(s, d).select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), "text")
     return capped(files, 1500, 200_000).select("path", "line_no")
 
 

@@ -13,6 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` in as many partitions as there are cores, if a scan gives fewer.
+
+    A table of one row group is one task, however much work its rows need; large tables are
+    left as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+
+
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, user_id, ts, line): events as log lines."""
     u, e, c = F.col("user_id"), F.col("event_type"), lambda x: x.cast("string")
@@ -22,7 +32,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), level, F.lit(" svc="), e, F.lit(" user="), c(u), F.lit(" status="), F.when(e == "error", "503").otherwise("200"),
         F.lit(" request_id="), c(F.col("event_id")), F.lit(" client_ip=10.0."), c(F.floor(u / 256)), F.lit("."), c(u % 256), tail,
     )
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", line.alias("line"))
+    return spread(table(spark, sf_dir, "events")).select("event_id", "user_id", "ts", line.alias("line"))
 
 
 EVENT_LINES = """
@@ -45,8 +55,12 @@ EVENT_DOCS = EVENT_LINES + """,
 logs AS (SELECT user_id AS doc_id, string_agg(line, chr(10) ORDER BY ts, event_id) AS text FROM ev GROUP BY user_id)"""
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explode_lines(table(spark, sf_dir, "documents"))
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
+def lines(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return explode_lines(documents(spark, sf_dir), keep=keep)
 
 
 def lines_sql(source: str, name: str = "lines") -> str:

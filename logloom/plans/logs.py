@@ -53,7 +53,7 @@ def _summary(docs):
 
 @query(_DOC_RUNS + _SUMMARY)
 def dedup_summary(s, d):
-    return _summary(I.table(s, d, "documents"))
+    return _summary(I.documents(s, d))
 
 
 @query(_LOG_RUNS + _SUMMARY)
@@ -62,7 +62,7 @@ def dedup_summary_logs(s, d):
 
 
 _REDUCED = """
-SELECT doc_id, string_agg(CASE WHEN kept THEN line ELSE '⟪elided idx=' || group_idx || ' lines=' || (n - 2) || ' key="' || replace(replace(replace(key, '\\', '\\\\'), '"', '\\"'), chr(9), '\\t') || '"⟫' END, chr(10) ORDER BY line_no)
+SELECT doc_id, string_agg(CASE WHEN kept THEN line ELSE '⟪elided idx=' || group_idx || ' lines=' || (n - 2) || ' key="' || replace(replace(replace(replace(key, '\\', '\\\\'), '"', '\\"'), chr(9), '\\t'), chr(13), '\\r') || '"⟫' END, chr(10) ORDER BY line_no)
        FILTER (kept OR rn = 2) AS reduced, count(*) AS n_lines, count(*) FILTER (NOT kept) AS n_elided, (coalesce(max(group_idx), -1) + 1)::BIGINT AS n_groups
 FROM marked GROUP BY doc_id"""
 
@@ -163,7 +163,7 @@ def archive_nodes(s, d):
     return _nodes(s, d)
 
 
-@query(_ARCHIVE + " SELECT node_id, child_count, total_tokens, roles FROM nodes WHERE conv_id % 2 = 0")
+@query(_ARCHIVE + " SELECT node_id, child_count, total_tokens, roles FROM nodes")
 def node_describe(s, d):
     wanted = timeline.nodes(_archived(s, d)).select("node_id")
     return wanted.join(_nodes(s, d), "node_id").select("node_id", "child_count", "total_tokens", "roles")
@@ -250,4 +250,4 @@ def input_guard(s, d):
 
 @query("SELECT doc_id, len(" + T.word_tokens_sql("text") + ") AS n_tokens, len(" + T.qc_tokens_sql("text") + ") AS n_qc_tokens FROM documents")
 def count_tokens_word(s, d):
-    return I.table(s, d, "documents").select("doc_id", T.token_count(F.col("text")).alias("n_tokens"), F.size(T.qc_tokens(F.col("text"))).alias("n_qc_tokens"))
+    return I.documents(s, d).select("doc_id", T.token_count(F.col("text")).alias("n_tokens"), F.size(T.qc_tokens(F.col("text"))).alias("n_qc_tokens"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.stats import numbered
+
 MAX_FILE_BYTES = 64 << 20
 MAX_TEXT_BYTES = 1 << 20
 PER_FILE_BYTES, TOTAL_BYTES, CHUNK_BYTES = 25 << 20, 64 << 20, 256 << 10
@@ -130,7 +133,7 @@ def must_survive(spark: SparkSession, root: str, texts: DataFrame, glob: str = "
 def byte_chunks(docs: DataFrame, most: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, chunk_id, chunk): whole lines packed to ``most`` bytes; a longer line is cut.
 
-    Packing starts anew with each chunk, so it is a fold over the lines' sizes. A line over
+    Packing starts anew with each chunk, so it is a loop over the lines' sizes. A line over
     ``most`` bytes is cut between characters, to pieces of ``most // 4`` characters, which
     fit whatever the characters are.
     """
@@ -138,15 +141,22 @@ def byte_chunks(docs: DataFrame, most: int = CHUNK_BYTES, id_col: str = "doc_id"
     size = max(1, most // 4)
     pieces = F.flatten(F.transform(lines, lambda x: F.when(F.octet_length(x) <= most, F.array(x)).otherwise(F.transform(F.sequence(F.lit(1), F.length(x), F.lit(size)), lambda i: F.substring(x, i, F.lit(size))))))
     rows = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("doc_id"), pieces.alias("p"))
-    start = F.struct(F.lit(0).alias("c"), F.lit(0).alias("q"), F.array().cast("array<int>").alias("o"))
-
-    def step(a, x):
-        new = (a.c > 0) & (a.c + F.octet_length(x) > most)
-        q = F.when(new, a.q + 1).otherwise(a.q).cast("int")
-        return F.struct(F.when(new, F.octet_length(x)).otherwise(a.c + F.octet_length(x)).cast("int").alias("c"), q.alias("q"), F.concat(a.o, F.array(q)).alias("o"))
 
-    numbers = F.aggregate("p", start, step, lambda a: a.o)
-    unit = rows.select("doc_id", F.posexplode(F.arrays_zip(F.col("p"), numbers.alias("q"))).alias("pos", "x")).select("doc_id", "pos", F.col("x.p").alias("p"), F.col("x.q").alias("chunk_id"))
+    def each(lists: pa.Array) -> pa.Array:
+        out = []
+        for sizes in lists.to_pylist():
+            held, q, numbers = 0, 0, []
+            for n in sizes or ():
+                if held and held + n > most:
+                    held, q = 0, q + 1
+                held += n
+                numbers.append(q)
+            out.append(numbers)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    numbers = F.arrow_udf(each, "array<int>").asNondeterministic()(F.transform("p", F.octet_length))
+    rows = rows.select("doc_id", "p", numbers.alias("q"))
+    unit = rows.select("doc_id", F.posexplode(F.arrays_zip("p", "q")).alias("pos", "x")).select("doc_id", "pos", F.col("x.p").alias("p"), F.col("x.q").alias("chunk_id"))
     return unit.groupBy("doc_id", "chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: x.p), "").alias("chunk"))
 
 
@@ -157,8 +167,8 @@ def capped(files: DataFrame, per_file: int = PER_FILE_BYTES, total: int = TOTAL_
     own = F.sum("_n").over(W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
     lines = lines.withColumn("_own", own).where(F.col("_own") <= per_file)
     sizes = lines.groupBy("path").agg(F.max("_own").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return lines.join(sizes.select("path", before.alias("_before")), "path").where(F.col("_before") + F.col("_own") <= total).select("path", "line_no", "line")
+    placed = numbered(sizes, [F.col("path")], "_place", "_size", "_upto")
+    return lines.join(placed.select("path", (F.col("_upto") - F.col("_size")).alias("_before")), "path").where(F.col("_before") + F.col("_own") <= total).select("path", "line_no", "line")
 
 
 def read_shards(spark: SparkSession, path: str, seed: int | None = None) -> DataFrame:

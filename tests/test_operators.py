@@ -191,10 +191,10 @@ def test_facts(spark):
 
 def test_best_prefers_unique(spark):
     text = "XError XError INC12345"
-    b = spark.createDataFrame([(text,)], "x string").select(facts.best(F.col("x"), facts.candidates(F.col("x"))).alias("b")).first().b
+    b = spark.createDataFrame([(text,)], "x string").select(facts.best(F.col("x"), facts.candidates(F.col("x"))).alias("b")).first().b[0]
     assert (b.fact_type, b.answer) == ("incident", "INC12345")
     text = "XError XError"
-    assert spark.createDataFrame([(text,)], "x string").select(facts.best(F.col("x"), facts.candidates(F.col("x"))).alias("b")).first().b.answer == "XError"
+    assert spark.createDataFrame([(text,)], "x string").select(facts.best(F.col("x"), facts.candidates(F.col("x"))).alias("b")).first().b[0].answer == "XError"
 
 
 def test_needles(spark):
