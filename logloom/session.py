@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: weakref.WeakSet = weakref.WeakSet()
 
-#: Bytes of an Arrow batch, a quarter of Spark's own default: a worker holds its input, its
+#: Bytes of an Arrow batch, an eighth of Spark's own default: a worker holds its input, its
 #: output and what lies between several times over.
-ARROW_BATCH = 16 << 20
+ARROW_BATCH = 8 << 20
 
 #: Settings that every plan of this library is written for.
 DEFAULTS = {
