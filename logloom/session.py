@@ -77,14 +77,19 @@ _SCRATCH = threading.local()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and go on from its reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    """Compute ``df`` once and go on from its reliable checkpoint in the shared folder.
+
+    The estimates of the plan so far are left behind too: a join's is the product of its
+    sides', and over a loop of joins these numbers grow to more digits than can be multiplied.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    plan = df.checkpoint(eager=True)._jdf.logicalPlan()
     for made in getattr(_SCRATCH, "open", []):
-        file = out._jdf.logicalPlan().rdd().getCheckpointFile()
+        file = plan.rdd().getCheckpointFile()
         if file.isDefined():
             made.append(file.get())
-    return out
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.rdd(), plan.schema(), False), spark)
 
 
 def remove(spark: SparkSession, path: str) -> None:
