@@ -21,10 +21,9 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
     edges and either direction are fine; edges with a null end are left out.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    both = cut(e.where("u <> v").unionByName(e.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root"))
-    loops = e.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("root"))
-    labels = cut(labels.unionByName(loops).groupBy("node").agg(F.min("root").alias("root")))
+    # both directions come from one pass over the edges, which may be costly to make
+    both = cut(e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").distinct())
+    labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
     while True:
         seen = both.join(labels.select(F.col("node").alias("v"), F.col("root").alias("offer")), "v")
         offers = seen.groupBy("u").agg(F.min("offer").alias("offer"))

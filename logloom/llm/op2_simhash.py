@@ -19,8 +19,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, utf8, values
+from .common import cut, tidy, utf8, values
 from .components import connected_components
+from .shingles import WORDS, similar_groups
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
@@ -28,6 +29,8 @@ MAX_BITS = 2
 #: The low bit of each two-bit segment.
 LOW_BITS = 0x5555555555555555
 OWN, UP, DOWN = 0, 1, 2
+#: About so many fingerprints are dealt to their cells by one task.
+DEALT = 20_000
 
 
 def fingerprint(text: bytes, size: int = SHINGLE_WORDS) -> int:
@@ -61,7 +64,7 @@ def fingerprints(column: Column) -> Column:
     def each(texts: pa.Array) -> pa.Array:
         return pa.array([fingerprint(x) for x in values(texts)], pa.int64())
 
-    return F.arrow_udf(each, "bigint").asNondeterministic()(column)
+    return F.arrow_udf(tidy(each), "bigint").asNondeterministic()(column)
 
 
 def embedding(fp: Column) -> Column:
@@ -91,20 +94,41 @@ def cells(prints: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
     return prints.select("fp", F.explode(F.array(*dealt)).alias("c")).where("c is not null").select("c.cell", "c.kind", "fp")
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame, count: int | None = None) -> DataFrame:
     """(a, b), a < b: all pairs of the distinct ``fp`` of ``prints`` that differ in 1 or 2 bits.
 
     Every pair within Manhattan distance 2 meets as own/own, up/own, up/down or up/up. A
     pair may come out twice (the two steps of an up/down pair can be taken in either order).
     """
+    count = prints.count() if count is None else count
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // DEALT))
+    prints = prints.select("fp").repartition(tasks, "fp")
     left = cells(prints, (OWN, UP)).select("cell", F.col("kind").alias("k"), F.col("fp").alias("x"))
     right = cells(prints, (OWN, UP, DOWN)).select("cell", F.col("kind").alias("l"), F.col("fp").alias("y"))
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= MAX_BITS
-    once = F.when(F.col("k") == F.col("l"), F.col("x") < F.col("y")).when(F.col("k") == UP, F.col("x") != F.col("y")).otherwise(False)
+    # equal embeddings meet once, as own/own; in other cells only different ones do
+    apart = embedding(F.col("x")) != embedding(F.col("y"))
+    once = F.when(F.col("k") == OWN, (F.col("l") == OWN) & (F.col("x") < F.col("y"))).when(F.col("l") == UP, apart & (F.col("x") < F.col("y"))).otherwise(apart)
     met = left.hint("merge").join(right, (left.cell == right.cell) & near & once)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def similar_documents(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """One row per row of ``docs``: key, doc_id, component_id, kept, by word shingles.
+
+    Linked are texts whose sets of shingles of ``words`` words have a Jaccard similarity of 0.8
+    or more. Fingerprints of such texts differ in up to 17 bits, which no grid can join, so
+    candidates come from shared shingles (see ``shingles``); the bound by segments' counts
+    and the exact check are the same. Of each component the row of the least id stays, then of
+    the least key, then one row. ``key`` tells rows of different texts apart. Null and empty
+    texts link to each other; an empty table gives no rows.
+    """
+    rows = cut(similar_groups(docs, key, text_col, words, (id_col,)).withColumnRenamed(id_col, "doc_id"))
+    least = rows.groupBy("root").agg(F.min(F.struct("doc_id", "key", "node")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    out = rows.join(least, "root", "left")
+    return out.select("key", "doc_id", F.coalesce("least.doc_id", "doc_id").alias("component_id"), (F.col("least").isNull() | (F.col("least.node") == F.col("node"))).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, bits.
 
@@ -117,7 +141,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprints(utf8(text_col)).alias("fp")))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    roots = connected_components(links(prints)).select(F.col("node").alias("fp"), F.col("root"))
+    roots = connected_components(links(prints, prints.count())).select(F.col("node").alias("fp"), F.col("root"))
     grouped = cut(prints.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked")))
     # only fingerprints with a link or with copies need a lookup; other rows stand for themselves
     tops = grouped.where("linked").groupBy("root").agg(F.min("least").alias("top"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import subword
-from .common import remainder, utf8, values
+from .common import remainder, tidy, utf8, values
 
 FEATURES = subword.Features(bits=15, high=3, words=2)
 #: At most so many labelled documents teach the model: those whose hashed id is least.
@@ -22,7 +22,7 @@ def bags_of(features: subword.Features):
         got = [subword.bag(x.decode("utf-8", "replace"), features) for x in values(texts)]
         return pa.StructArray.from_arrays([pa.array([a.tobytes() for a, _ in got], pa.binary()), pa.array([b.tobytes() for _, b in got], pa.binary())], names=["ids", "shares"])
 
-    return F.arrow_udf(each, "struct<ids:binary,shares:binary>").asNondeterministic()
+    return F.arrow_udf(tidy(each), "struct<ids:binary,shares:binary>").asNondeterministic()
 
 
 def fit(rows: list[tuple[bytes, bytes, int]], classes: int, features: subword.Features, **how) -> dict:
@@ -60,7 +60,7 @@ def score_quality(docs: DataFrame, model: dict | None, id_col: str = "doc_id", t
     def each(texts: pa.Array) -> pa.Array:
         return pa.array([float(subword.probabilities(x.decode("utf-8", "replace"), model)[1]) for x in values(texts)], pa.float64())
 
-    score = F.lit(0.5) if model is None else F.arrow_udf(each, "double").asNondeterministic()(utf8(text_col))
+    score = F.lit(0.5) if model is None else F.arrow_udf(tidy(each), "double").asNondeterministic()(utf8(text_col))
     return docs.select(F.col(id_col).alias("doc_id"), score.alias("score")).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 

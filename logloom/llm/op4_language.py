@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import subword
-from .common import cut, remainder, utf8, values
+from .common import cut, remainder, tidy, utf8, values
 from .op3_quality import fit
 
 FEATURES = subword.Features(bits=15, high=3, letters=True)
 UNDETERMINED = "und"
 #: About so many documents of a language teach the model, chosen by a hash of id and text, and at
 #: most this share of them; the others calibrate it.
-PER_LANGUAGE, FIT_SHARE = 1_200, 0.8
+PER_LANGUAGE, FIT_SHARE = 800, 0.8
 MAX_LANGUAGES = 200
 #: Of the calibrating rows this share also gives a text of no language.
 NOISE_SHARE = 0.125
@@ -85,11 +85,13 @@ def train_language(known: DataFrame, counts: dict[str, int], per_language: int =
             rows.append((*subword.bag(text, features), *(subword.bag(noise(text), features) if n else empty)))
         return pa.StructArray.from_arrays([pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in range(4)], names=["ids", "shares", "noise_ids", "noise_shares"])
 
-    bags = F.arrow_udf(each, "struct<ids:binary,shares:binary,noise_ids:binary,noise_shares:binary>").asNondeterministic()
+    bags = F.arrow_udf(tidy(each), "struct<ids:binary,shares:binary,noise_ids:binary,noise_shares:binary>").asNondeterministic()
     u = share_of("id", "text")
     picked = known.where(u < fit_share(F.col("lang"), counts, per_language)).withColumn("u", u)
     picked = picked.select("id", "lang", "u", bags(utf8("text"), share_of("text", "id") < 1 / max(1, len(names))).alias("b"))
-    rows = picked.select("id", "lang", "u", "b.*").orderBy("u", "id", "lang").limit(2 * per_language * max(1, len(names))).collect()
+    # rows equal in id and text teach once, so that a row that is repeated often doesn't crowd out others
+    rows = picked.select("id", "lang", "u", "b.*").dropDuplicates(["u"]).limit(2 * per_language * max(1, len(names))).collect()
+    rows.sort(key=lambda r: (r.u, str(r.id)))
     taught = [(r.ids, r.shares, names.index(r.lang)) for r in rows if len(r.ids)]
     if not taught:
         return None
@@ -112,7 +114,7 @@ def logits(text: Column, also: Column, model: dict) -> Column:
             n.append(of(noise(s)) if f and z[-1] is not None else None)
         return pa.StructArray.from_arrays([pa.array(x, pa.list_(pa.float64())) for x in (z, n)], names=["z", "noise"])
 
-    return F.arrow_udf(each, "struct<z:array<double>,noise:array<double>>").asNondeterministic()(text, also)
+    return F.arrow_udf(tidy(each), "struct<z:array<double>,noise:array<double>>").asNondeterministic()(text, also)
 
 
 def log_total(z: Column, temperature: float) -> Column:

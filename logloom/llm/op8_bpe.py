@@ -104,7 +104,7 @@ class RankQueue:
 
 #: Bytes of texts encoded together; nothing is kept beyond, as a worker may sit idle beside a
 #: full heap while later stages run.
-TOGETHER = 3 << 20
+TOGETHER = 1 << 19
 #: Ids that are decoded at once; it bounds the index arrays.
 DECODED = 1 << 17
 #: Pre-tokens up to so many bytes share one queue; a longer one has its own.
@@ -123,18 +123,18 @@ class Bpe:
         self.octets = np.frombuffer(b"".join(tokens), np.uint8)
         self.octet_count = np.fromiter(map(len, tokens), np.int64, self.n_ranks)
         self.octet_start = np.cumsum(self.octet_count) - self.octet_count
-        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         keys = np.fromiter(pairs, np.int64, len(pairs))
         order = np.argsort(keys)
-        self.pair_keys, self.pair_ranks = keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
+        self.pair_keys, self.pair_ranks = keys[order], np.fromiter(pairs.values(), np.int32, len(pairs))[order]
         self.pieces = Pieces(self.encode, pattern, lasting=False, size=TOGETHER)
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of symbols, -1 without one."""
-        keys = left << 32 | right
+        keys = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], np.int32(-1))
 
     def encode(self, parts: list[str]) -> list[bytes]:
         """The ids of each part, each match of the pattern in it by itself."""
@@ -166,13 +166,13 @@ class Bpe:
             return []
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        owner = np.repeat(np.arange(len(pieces)), sizes)
+        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
         sym, n = self.single[raw], len(raw)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         ends = np.cumsum(sizes)
         after[ends - 1] = -1
         before[ends - sizes] = -1
-        pair = np.full(n, -1)
+        pair = np.full(n, -1, np.int32)
         has = np.flatnonzero(after >= 0)
         pair[has] = self.pair_rank(sym[has], sym[has + 1])
         queue = RankQueue(self.n_ranks)

@@ -8,8 +8,6 @@ encoded, and numpy puts the ids of all texts together.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from .common import release
+
 #: Pieces whose ids a worker keeps before it begins anew, the longest piece kept, and the
 #: bytes of texts encoded together. Bounds of memory only.
 KEPT, KEPT_CHARS, BATCH_BYTES = 800_000, 64, 24 << 20
@@ -26,13 +26,6 @@ _ODD = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]{2}|\x00"
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def release() -> None:
-    """Give freed memory back: a worker may wait long for its next task beside a full heap."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # another C library
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs of ``values`` at ``starts``, one after another."""
     ends = np.cumsum(lengths)

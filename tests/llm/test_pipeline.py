@@ -49,10 +49,20 @@ def test_exact(stages):
 
 
 def test_near(stages):
+    from .test_shingles import shingles, similar
+
     before, after = rows(stages[2]), rows(stages[3])
-    ids = [r[0] for r in before]
-    groups = M.near_groups(ids, [M.fingerprint(r[1]) for r in before])
-    assert sorted(r[0] for r in after) == sorted(i for i in ids if groups[i] == i)
+    sets = [shingles(r[1]) for r in before]
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    pairs = {(a, b) for own in holders.values() for b in own for a in own if a < b}
+    groups = M.components([(a, b) for a, b in pairs if similar(sets[a], sets[b])], range(len(sets)))
+    least = {}
+    for i, r in enumerate(before):
+        least[groups[i]] = min(least.get(groups[i], r[0]), r[0])
+    assert sorted(r[0] for r in after) == sorted(least.values())
 
 
 def test_mixing(stages):
