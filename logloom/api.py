@@ -5,15 +5,18 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import spans as S
 from .functions import text as T
 from .operators import arrays, decode, labels, lines, store, timeline
 
 # Bounds of inputs.
-MAX_TEXT_BYTES, MAX_KEYWORDS, MAX_KEYWORD_BYTES, MAX_ARRAY_ITEMS, MAX_TOKENS = 1 << 20, 256, 1024, 100_000, 262_144
+MAX_TEXT_BYTES, MAX_KEYWORDS, MAX_KEYWORD_BYTES, MAX_ARRAY_ITEMS, MAX_TOKENS = 1 << 20, 256, 4_096, 100_000, 262_144
+MAX_LANGUAGE_BYTES, MAX_ID_BYTES, MAX_ROLE_BYTES, MAX_PATH_BYTES = 16, 256, 64, 4_096
 MAX_SCORED_TOKENS = 65_536
 
 
@@ -54,6 +57,47 @@ def input_errors(text: Column, most: int = MAX_TEXT_BYTES) -> Column:
     return F.when(text.isNull(), "missing_text").when(F.octet_length(text) > most, "text_too_large").when(~F.is_valid_utf8(text), "invalid_utf8")
 
 
+def _too_long(column: str, most: int) -> Column:
+    return F.when(F.octet_length(column) > most, F.lit(f"{column} exceeds max length {most}"))
+
+
+def _keyword_errors(column: str = "keywords") -> Column:
+    long = F.filter(F.transform(column, lambda k, i: F.when(F.octet_length(k) > MAX_KEYWORD_BYTES, i)), lambda i: i.isNotNull())
+    item = F.when(F.size(long) > 0, F.concat(F.lit(f"{column}["), F.get(long, F.lit(0)).cast("string"), F.lit(f"] exceeds max length {MAX_KEYWORD_BYTES}")))
+    return F.coalesce(F.when(F.size(column) > MAX_KEYWORDS, F.lit(f"{column} exceeds max count {MAX_KEYWORDS}")), item)
+
+
+def _array_errors() -> Column:
+    over = lambda n, name: F.when(n > MAX_ARRAY_ITEMS, F.lit(f"{name} exceeds max items {MAX_ARRAY_ITEMS}"))
+    head, tail = F.coalesce("head_keep", F.lit(0)), F.coalesce("tail_keep", F.lit(0))
+    return F.coalesce(over(head, "head_keep"), over(tail, "tail_keep"), over(head.cast("bigint") + tail, "head_keep + tail_keep"), over(F.size("value"), "value array"))
+
+
+def _log_errors() -> Column:
+    text, path = F.col("text").isNotNull(), F.col("path").isNotNull()
+    one = F.when(text & path, "provide exactly one of text or path, not both").when(~text & ~path, "provide one of text or path")
+    rate = F.when(~((F.col("target_rate") > 0) & (F.col("target_rate") < 1)), "target_rate must be a finite number in (0,1)")
+    known = F.lower("language").isin(*labels.LOCKERS, *labels.PLAIN)
+    language = F.when(~known, F.concat(F.lit("unsupported language: "), F.col("language"), F.lit(" (use text|json|python)")))
+    return F.coalesce(one, _too_long("text", MAX_TEXT_BYTES), _too_long("path", MAX_PATH_BYTES), _keyword_errors(), rate, language)
+
+
+#: Call to the error of a row of its arguments, or null.
+GUARDS = {
+    "lock_mask": lambda: F.coalesce(_too_long("text", MAX_TEXT_BYTES), _too_long("language", MAX_LANGUAGE_BYTES), _keyword_errors()),
+    "compress_log": _log_errors,
+    "compress_array": _array_errors,
+    "retrieve_cache": lambda: _too_long("cache_id", MAX_ID_BYTES),
+    "lcm_append": lambda: F.coalesce(_too_long("conversation_id", MAX_ID_BYTES), _too_long("role", MAX_ROLE_BYTES), _too_long("content", MAX_TEXT_BYTES)),
+    "lcm_node": lambda: _too_long("node_id", MAX_ID_BYTES),
+}
+
+
+def call_errors(call: str) -> Column:
+    """The first bound that a row of a call's arguments breaks, in words, or null: columns go by the arguments' names."""
+    return GUARDS[call]()
+
+
 def _locks(docs: DataFrame, language: str, keywords: list[str]) -> DataFrame:
     found = decode.keyword_spans(docs, keywords)
     if language.lower() in labels.PLAIN:
@@ -105,7 +149,7 @@ def retrieve(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     return store.retrieve(store.read(spark, path), wanted)
 
 
-def archive_turns(turns: DataFrame, soft_threshold: int = timeline.THRESHOLD) -> DataFrame:
+def archive_turns(turns: DataFrame, soft_threshold: int | Column = timeline.THRESHOLD) -> DataFrame:
     return timeline.archived(turns, soft_threshold)
 
 
@@ -130,6 +174,41 @@ def bpe_counts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", F.arrow_udf(each, "bigint")("text").alias("n_tokens"))
 
 
+def bpe_tokens(text: Column, ranks_path: str, pattern: str) -> Column:
+    """array<struct<id, s, e>>: the tokens' ids and byte ranges, which tile the text."""
+
+    def each(texts: pa.Array) -> pa.Array:
+        enc, ids, ends, sizes = _encoding(ranks_path, pattern), [], [], [0]
+        for x in texts.to_pylist():
+            own = enc.encode_ordinary(x or "")
+            ids += own
+            ends.append(np.cumsum([len(t) for t in enc.decode_tokens_bytes(own)], dtype=np.int64))
+            sizes.append(len(own))
+        e = np.concatenate([np.empty(0, np.int64), *ends])
+        s = np.concatenate([np.empty(0, np.int64), *[np.concatenate([[0], x[:-1]]) if len(x) else x for x in ends]])
+        rows = pa.StructArray.from_arrays([pa.array(ids, pa.int32()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["id", "s", "e"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), rows)
+
+    return F.arrow_udf(each, "array<struct<id:int,s:int,e:int>>").asNondeterministic()(text)
+
+
+def bpe_decode(ids: Column, ranks_path: str, pattern: str) -> Column:
+    """The text of an array of ids; bytes that are no UTF-8 become replacement characters."""
+
+    def each(lists: pa.Array) -> pa.Array:
+        enc = _encoding(ranks_path, pattern)
+        return pa.array([None if x is None else enc.decode(x) for x in lists.to_pylist()], pa.string())
+
+    return F.arrow_udf(each, "string")(ids)
+
+
+def bpe_lock_mask(docs: DataFrame, ranks_path: str, pattern: str, language: str = "text", keywords: list[str] | None = None) -> DataFrame:
+    """``lock_mask`` on byte-level tokens: (doc_id, i, id, s, e, locked)."""
+    check_inputs(language, keywords)
+    toks = docs.select("doc_id", F.posexplode(bpe_tokens(F.col("text"), ranks_path, pattern)).alias("i", "t")).select("doc_id", "i", "t.*")
+    return S.mark_overlaps(toks, _locks(docs, language, keywords or []), "locked")
+
+
 _ENCODINGS: dict = {}
 
 

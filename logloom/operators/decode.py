@@ -96,16 +96,20 @@ def greedy(spans: Column, k: Column) -> Column:
     return F.arrow_udf(each, "array<int>")(F.array_sort(spans), k)
 
 
-def span_decode(scored: DataFrame, rate: float, by: str = "word", reduce: str = "max") -> DataFrame:
+def span_decode(scored: DataFrame, rate: float | str, by: str = "word", reduce: str = "max") -> DataFrame:
     """Adds dropped to tokens (doc_id, i, token, prob, locked).
 
-    k = round(rate * tokens). Spans with a locked token stay. The fold sees a document's
+    k = round(rate * tokens); a rate a document is named as a column of the tokens. Spans with a locked token stay. The fold sees a document's
     spans, never its tokens.
     """
     rows = groups(scored, by)
     per = rows.groupBy("doc_id", "g").agg(REDUCERS[reduce]("prob").alias("score"), F.count("*").cast("int").alias("n"), F.bool_or("locked").alias("held"))
-    folded = per.groupBy("doc_id").agg(F.sum("n").cast("int").alias("total"), F.collect_list(F.when(~F.col("held"), F.struct((-F.col("score")).alias("neg"), "g", "n"))).alias("spans"))
-    gone = folded.select("doc_id", F.explode(greedy(F.col("spans"), budget(rate, F.col("total")))).alias("g"), F.lit(True).alias("dropped"))
+    if isinstance(rate, str):
+        per = per.join(rows.groupBy("doc_id").agg(F.max(rate).alias("_k")), "doc_id")
+    else:
+        per = per.withColumn("_k", F.lit(float(rate)))
+    folded = per.groupBy("doc_id").agg(F.max("_k").alias("_k"), F.sum("n").cast("int").alias("total"), F.collect_list(F.when(~F.col("held"), F.struct((-F.col("score")).alias("neg"), "g", "n"))).alias("spans"))
+    gone = folded.select("doc_id", F.explode(greedy(F.col("spans"), budget(F.col("_k"), F.col("total")))).alias("g"), F.lit(True).alias("dropped"))
     return rows.join(gone, ["doc_id", "g"], "left").withColumn("dropped", F.coalesce("dropped", F.lit(False)))
 
 

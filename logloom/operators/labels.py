@@ -324,14 +324,3 @@ def split_labels(rows: DataFrame, language: str, text: str = "original", spans:
 
     out = rows.withColumn("_l", F.arrow_udf(each, "struct<d:array<double>,code:boolean>").asNondeterministic()(text, spans))
     return out.withColumn("w_semantic", F.transform("_l.d", lambda d: 1.0 - d)).withColumn("w_dependency", F.col("_l.d")).withColumn("is_code", F.col("_l.code")).drop("_l")
-
-
-def label_ceiling(pairs: DataFrame, rate: float = 0.5) -> DataFrame:
-    """(fact_type, n, teacher, keep_severity): answers that survive in the pair's compressed text,
-    and in the severity method's, of pairs (triple_id, chunk, compressed, answer, fact_type)."""
-    from .methods import keep_severity
-
-    other = keep_severity(pairs.select(F.col("triple_id").alias("doc_id"), F.col("chunk").alias("text")), rate)
-    rows = pairs.join(other.select(F.col("doc_id").alias("triple_id"), F.col("compressed").alias("severe")), "triple_id", "left")
-    yes = lambda c: F.count_if(T.survives(F.col("answer"), F.coalesce(F.col(c), F.lit(""))))
-    return rows.groupBy("fact_type").agg(F.count("*").alias("n"), yes("compressed").alias("teacher"), yes("severe").alias("keep_severity"))

@@ -76,9 +76,9 @@ def random_drop(docs: DataFrame, rate: float | Column, floor: bool = False, span
     """Drop a share of tokens in the order of their CRC; ``floor`` keeps structural atoms."""
     from .decode import rebuilt, span_decode
 
-    if span:
-        return rebuilt(span_decode(crc_scores(docs, floor), rate, span)).select("doc_id", "compressed")
     scored = crc_scores(docs.withColumn("_rate", F.lit(rate)), floor, ("_rate",))
+    if span:
+        return rebuilt(span_decode(scored, "_rate", span)).select("doc_id", "compressed")
     n = F.count("*").over(W.partitionBy("doc_id"))
     rank = F.row_number().over(W.partitionBy("doc_id", "locked").orderBy(F.col("prob").desc(), "i"))
     gone = scored.withColumn("dropped", ~F.col("locked") & (rank <= budget(F.col("_rate"), n, half_even=True)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,13 +26,16 @@ def archived(turns: DataFrame, threshold: int | Column = THRESHOLD, tokens: Colu
     C(i) - C(j - 1) over the threshold. As C never falls, that is a search in a sorted
     sequence: rows are merged with their own targets C(j - 1) + threshold, and one window in
     the order of running sums finds the first turn beyond, in n log n for any length. The
-    last turn never leaves. A threshold by turn is not supported here; the stream has it.
+    last turn never leaves. A column is a threshold a turn, that of the append; sums less
+    thresholds may fall, so a conversation's turns are then worked through in order.
     """
     count = token_count(F.col("text")) if tokens is None else tokens
+    rows = turns.withColumn("tokens", count.cast("bigint"))
+    if not isinstance(threshold, int):
+        return _archived_in_order(rows, threshold)
     by = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
-    rows = turns.withColumn("tokens", count.cast("bigint")).withColumn("_c", F.sum("tokens").over(by))
-    limit = F.lit(threshold) if isinstance(threshold, int) else threshold
-    rows = rows.withColumn("_goal", F.col("_c") - F.col("tokens") + limit)
+    rows = rows.withColumn("_c", F.sum("tokens").over(by))
+    rows = rows.withColumn("_goal", F.col("_c") - F.col("tokens") + F.lit(threshold))
     # a turn sorts at its running sum; a question sorts after all turns of its goal, and looks ahead
     marks = rows.select("conv_id", "turn", F.explode(F.array(
         F.struct(F.col("_c").alias("at"), F.lit(0).alias("ask"), F.col("turn").alias("seen")),
@@ -45,6 +51,28 @@ def archived(turns: DataFrame, threshold: int | Column = THRESHOLD, tokens: Colu
     return out.withColumn("archived_at", at).drop("_c", "_goal", "_next")
 
 
+def _archived_in_order(rows: DataFrame, threshold: Column) -> DataFrame:
+    """One queue a conversation: each append pops the oldest turns while the rest is over its threshold."""
+
+    def each(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("turn", kind="stable")
+        waiting, held, left = deque(), 0, []
+        for turn, tokens, most in part[["turn", "tokens", "most"]].itertuples(index=False, name=None):
+            waiting.append((turn, tokens))
+            held += tokens
+            while held > most and len(waiting) > 1:
+                old, n = waiting.popleft()
+                held -= n
+                left.append((old, turn))
+        at = dict(left)
+        return pd.DataFrame({"conv_id": part["conv_id"], "turn": part["turn"], "archived_at": pd.array([at.get(t) for t in part["turn"]], dtype="Int64")})
+
+    slim = rows.select("conv_id", "turn", "tokens", threshold.cast("bigint").alias("most"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name in ("conv_id", "turn")}
+    found = slim.groupBy("conv_id").applyInPandas(each, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, archived_at bigint")
+    return rows.join(found, ["conv_id", "turn"])
+
+
 def node_id(conv: Column, at: Column) -> Column:
     return F.sha2(F.concat(conv.cast("string"), F.lit(":"), at.cast("string")), 256)
 

@@ -18,7 +18,7 @@ def _union_sql(parts):
     return " UNION ALL ".join(parts)
 
 
-def _raw_spans_sql(source: str, id_: str, text: str, patterns) -> str:
+def raw_spans_sql(source: str, id_: str, text: str, patterns) -> str:
     """All matches of RE2 patterns with byte offsets, from split and extract."""
     out = []
     for k, p in enumerate(patterns):
@@ -35,7 +35,7 @@ islands AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END
 merged AS (SELECT id, min(s) AS s, max(e) AS e FROM islands GROUP BY id, g)"""
 
 
-_STRUCTURAL = _EV + "," + _raw_spans_sql("ev", "event_id", "line", facts.STRUCTURAL)
+_STRUCTURAL = _EV + "," + raw_spans_sql("ev", "event_id", "line", facts.STRUCTURAL)
 
 
 @query(_STRUCTURAL + " SELECT id AS event_id, s, e FROM merged")
@@ -44,13 +44,13 @@ def structural_spans(s, d):
     return rows.select("event_id", F.explode(facts.structural_spans(F.col("line"))).alias("x")).select("event_id", "x.s", "x.e")
 
 
-@query(_EV + "," + _raw_spans_sql("ev", "event_id", "line", [facts.STRUCTURAL[5]]) + " SELECT id AS event_id, count(*) AS n, sum(e - s)::BIGINT AS bytes FROM merged GROUP BY id")
+@query(_EV + "," + raw_spans_sql("ev", "event_id", "line", [facts.STRUCTURAL[5]]) + " SELECT id AS event_id, count(*) AS n, sum(e - s)::BIGINT AS bytes FROM merged GROUP BY id")
 def ip_spans(s, d):
     spans = F.explode(S.match_spans(F.col("line"), facts.STRUCTURAL[5])).alias("x")
     return I.event_lines(s, d).select("event_id", spans).groupBy("event_id").agg(F.count("*").alias("n"), F.sum(F.col("x.e") - F.col("x.s")).alias("bytes"))
 
 
-@query("WITH" + _raw_spans_sql("documents", "doc_id", "text", _KEYWORDS) + " SELECT id AS doc_id, s, e FROM merged")
+@query("WITH" + raw_spans_sql("documents", "doc_id", "text", _KEYWORDS) + " SELECT id AS doc_id, s, e FROM merged")
 def keyword_intervals(s, d):
     return S.merge_rows(decode.keyword_spans(I.documents(s, d), _KEYWORDS))
 
@@ -113,7 +113,7 @@ def floor_lockable(s, d):
 
 # --- locks and decoding -------------------------------------------------------------------
 
-_TOKS = "WITH" + I.tokens_sql("documents") + "," + _raw_spans_sql("documents", "doc_id", "text", _KEYWORDS)
+_TOKS = "WITH" + I.tokens_sql("documents") + "," + raw_spans_sql("documents", "doc_id", "text", _KEYWORDS)
 _SCORE = "((hash_of % 1000) / 1000.0)"
 
 
@@ -141,7 +141,7 @@ def _scored(s, d):
 
 
 _SCORED = (
-    _EV + ", texts AS (SELECT event_id AS doc_id, line AS text FROM ev)," + I.tokens_sql("texts") + "," + _raw_spans_sql("texts", "doc_id", "text", facts.STRUCTURAL)
+    _EV + ", texts AS (SELECT event_id AS doc_id, line AS text FROM ev)," + I.tokens_sql("texts") + "," + raw_spans_sql("texts", "doc_id", "text", facts.STRUCTURAL)
     + """, scored AS (SELECT t.doc_id, t.i, t.token, t.s, t.e, ((length(token) * 37 + i * 61) % 101) / 101.0::DOUBLE AS prob,
   EXISTS (SELECT 1 FROM merged m WHERE m.id = t.doc_id AND m.s < t.e AND m.e > t.s) AS locked FROM toks t)"""
 )
@@ -241,20 +241,60 @@ def _triples(s, d):
     return rows.select(F.concat_ws(":", "doc_id", "start").alias("triple_id"), "chunk", "answer", "fact_type", F.concat(F.lit("loghub:svc"), (F.col("doc_id") % 3).cast("string")).alias("source"))
 
 
-@query()
+# chunks of 20 lines with their best fact; ``logs`` are the chunks, as texts to compress
+_TRIPLES = "WITH" + I.EVENT_DOCS.replace("logs AS", "whole AS") + f""",
+split AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM whole), windows AS (SELECT doc_id, unnest(range(0, len(l), 20)) AS start, l FROM split),
+ev2 AS (SELECT doc_id || ':' || start AS event_id, doc_id % 3 AS svc, array_to_string(l[start + 1:start + 20], chr(10)) AS line FROM windows),
+cands AS (SELECT * FROM ({_union_sql(c.replace("FROM ev", "FROM ev2") for c in _CAND)}) WHERE strlen(answer) >= 2),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY event_id, fact_type ORDER BY prio, pos) AS nth, row_number() OVER (PARTITION BY event_id ORDER BY prio, pos) AS any_nth, {T.occurrences_sql('line', 'answer')} AS uses FROM cands),
+picked AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY (nth = 1 AND uses = 1) DESC, any_nth) AS choice FROM firsts),
+triples AS (SELECT p.event_id AS doc_id, p.fact_type, p.answer, p.line AS text, e.svc FROM picked p JOIN ev2 e USING (event_id) WHERE choice = 1),
+logs AS (SELECT doc_id, text FROM triples)"""
+
+
+def _survival_sql(rates: tuple[float, ...], by: str = "", value: str = "") -> str:
+    """Of the methods that SQL can say: line runs and severities."""
+    runs = I.runs_sql(key=T.normalize_key_sql("line"))
+    made = [f"""SELECT 'deterministic' AS method, 0.0::DOUBLE AS rate, doc_id, string_agg(CASE WHEN n < 3 OR rn = 1 OR rn = n THEN line ELSE '... ' || (n - 2) || ' lines elided ...' END, chr(10) ORDER BY line_no) FILTER (n < 3 OR rn <= 2 OR rn = n) AS compressed FROM runs GROUP BY doc_id"""]
+    parts = [_TRIPLES, I.lines_sql("logs"), runs, f"costs AS (SELECT doc_id, line_no, line, {T.severity_rank_sql('line')} AS sev, len({T.word_tokens_sql('line')})::INT + 1 AS cost FROM lines)",
+             "lists AS (SELECT doc_id, list({'spent': NULL::INT, 'out': []::INT[], 'cost': cost, 'no': line_no} ORDER BY sev, line_no) AS l FROM costs GROUP BY doc_id)"]
+    for k, rate in enumerate(rates):
+        parts.append(f"""budgets{k} AS (SELECT doc_id, greatest(1, round_even((1.0::DOUBLE - {rate}::DOUBLE) * len({T.word_tokens_sql('text')}), 0)::INT) AS budget FROM logs),
+folded{k} AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE WHEN a.spent + x.cost > budget AND len(a.out) > 0 THEN a ELSE {{'spent': a.spent + x.cost, 'out': list_append(a.out, x.no), 'cost': 0, 'no': 0}} END, {{'spent': 0, 'out': []::INT[], 'cost': 0, 'no': 0}}).out AS kept FROM lists JOIN budgets{k} USING (doc_id))""")
+        made.append(f"SELECT 'keep-severity', {rate}::DOUBLE, c.doc_id, string_agg(line, chr(10) ORDER BY line_no) FROM costs c JOIN folded{k} f ON f.doc_id = c.doc_id AND list_contains(f.kept, c.line_no) GROUP BY c.doc_id")
+    n = lambda c: f"len({T.word_tokens_sql(c)})"
+    return ",".join(parts) + f""", made AS ({_union_sql(made)}),
+items AS (SELECT m.method, m.rate, {value}contains({T.survival_norm_sql('m.compressed')}, {T.survival_norm_sql('t.answer')}) AS survived, {n('t.text')} / {n('m.compressed')}::DOUBLE AS ratio, 1.0 - {n('m.compressed')} / {n('t.text')}::DOUBLE AS dropped FROM made m JOIN triples t USING (doc_id))
+SELECT method, rate, {by}round(avg(survived::INT), 6) AS survival, round(avg(ratio), 6) AS mean_ratio, round(avg(dropped), 6) AS mean_drop, count(*) AS n FROM items GROUP BY ALL"""
+
+
+_PLAIN = ("deterministic", "keep-severity")
+
+
+def _rounded(rows):
+    return rows.withColumns({c: F.round(c, 6) for c in ("survival", "mean_ratio", "mean_drop")})
+
+
+@query(_survival_sql((0.2, 0.5, 0.8)))
 def survival_sweep(s, d):
-    return methods.survival_rows(methods.survival_items(_triples(s, d)))
+    return _rounded(methods.survival_rows(methods.survival_items(_triples(s, d), methods=_PLAIN)))
 
 
-@query()
+@query(_survival_sql((0.5,), "fact_type, ", "t.fact_type, "))
 def survival_by_fact_type(s, d):
-    return methods.survival_rows(methods.survival_items(_triples(s, d), rates=(0.5,)), "fact_type")
+    return _rounded(methods.survival_rows(methods.survival_items(_triples(s, d), rates=(0.5,), methods=_PLAIN), "fact_type"))
 
 
-@query()
+@query(_survival_sql((0.5,), "domain, ", "'svc' || t.svc AS domain, "))
 def domain_survival(s, d):
-    items = methods.survival_items(_triples(s, d), rates=(0.5,)).withColumn("domain", facts.domain(F.col("source")))
-    return methods.survival_rows(items, "domain")
+    items = methods.survival_items(_triples(s, d), rates=(0.5,), methods=_PLAIN).withColumn("domain", facts.domain(F.col("source")))
+    return _rounded(methods.survival_rows(items, "domain"))
+
+
+@query()
+def survival_random(s, d):
+    """The methods that drop tokens in the order of their CRC; tests hold them to a plain model."""
+    return methods.survival_rows(methods.survival_items(_triples(s, d), rates=(0.5,), methods=("random", "random+floor", "random+span", "random+span+floor")), "fact_type")
 
 
 _NORM = T.survival_norm_sql

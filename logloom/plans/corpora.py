@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions import text as T
-from ..operators import corpus, facts, labels
+from ..operators import corpus, facts, harness, labels
 from ..sources import sinks
 from ..sources.readers import byte_chunks, capped, token_windows
 from . import inputs as I
+from .analysis import raw_spans_sql
 from .registry import query
 
 _LINES = "WITH corpus_lines AS (SELECT source AS corpus, doc_id, text FROM documents)," + I.lines_sql("corpus_lines", "split_lines").replace("SELECT doc_id, unnest(range", "SELECT corpus, doc_id, unnest(range").replace("FROM (SELECT doc_id, string_split", "FROM (SELECT corpus, doc_id, string_split") + ", lines AS (SELECT corpus, doc_id * 4294967296 + line_no AS ord, line FROM split_lines)"
@@ -51,9 +52,15 @@ def template_dedup(s, d):
     return corpus.template_dedup(_corpus_lines(s, d), T.normalize_line(F.col("line"))).select("corpus", "key", "ord", "line", "n")
 
 
-@query()
+_MASKED = T.normalize_line_sql("line")
+_KEYED = f""", masked AS (SELECT corpus, ord, {_MASKED} AS m FROM lines), cut AS (SELECT corpus, ord, regexp_extract_all(m, '[A-Za-z0-9]+') AS r, regexp_split_to_array(m, '[A-Za-z0-9]+') AS g FROM masked),
+runs AS (SELECT DISTINCT unnest(r) AS t FROM cut), odd AS (SELECT list(t) AS ts FROM runs WHERE {T.is_random_sql('t')}),
+joined AS (SELECT corpus, ord, array_to_string(list_transform(g, lambda x, i: x || coalesce(CASE WHEN i > len(r) THEN '' WHEN list_contains(coalesce(ts, []), r[i]) THEN '<RAND>' ELSE r[i] END, '')), '') AS k FROM cut, odd)
+SELECT corpus, ord, regexp_replace(regexp_replace(k, '\\d+', '<NUM>', 'g'), '<(?:TS|UUID|IP|HEX|NUM|RAND)>(?:\\s+<(?:TS|UUID|IP|HEX|NUM|RAND)>)+', '<RAND>', 'g') AS key FROM joined"""
+
+
+@query(_LINES + _KEYED)
 def sampling_template_key(s, d):
-    """The sampling key, whose callback replacement has no plain SQL form; tests have a brute force."""
     rows = _corpus_lines(s, d)
     return rows.select("corpus", "ord", T.template_key(F.col("line")).alias("key"))
 
@@ -78,7 +85,18 @@ def chunk_pack(s, d):
     return pairs.groupBy("doc_id", F.col("x.q").alias("q")).agg(F.count("*").alias("n_units"), F.sum("x.n").alias("n_tokens"))
 
 
-@query()
+_CHUNKED = f"""WITH u AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS units FROM documents),
+sized AS (SELECT doc_id, units, list_transform(units, lambda x: {{'c': len({T.word_tokens_sql('x')})::INT, 'q': -1, 'o': []::INT[]}}) AS l FROM u WHERE len(units) > 0),
+folded AS (SELECT doc_id, units, list_transform(l, lambda x: x.c) AS sizes, list_reduce(l, lambda a, x: CASE WHEN x.c > 64 THEN {{'c': 0, 'q': a.q + 1, 'o': list_append(a.o, a.q + 1)}}
+  WHEN a.c = 0 OR a.c + x.c > 64 THEN {{'c': x.c, 'q': a.q + 1, 'o': list_append(a.o, a.q + 1)}} ELSE {{'c': a.c + x.c, 'q': a.q, 'o': list_append(a.o, a.q)}} END, {{'c': 0, 'q': -1, 'o': []::INT[]}}).o AS o FROM sized),
+units AS (SELECT doc_id, unnest(range(len(units))) AS pos, unnest(units) AS u, unnest(o) AS q, unnest(sizes) AS n FROM folded),
+whole AS (SELECT doc_id, q, string_agg(u, chr(10) ORDER BY pos) AS t, max(n) AS n FROM units GROUP BY doc_id, q),
+toks AS (SELECT *, {T.word_tokens_sql('t')} AS w FROM whole),
+pieces AS (SELECT doc_id, q, 0 AS piece, t AS text FROM toks WHERE n <= 64 UNION ALL SELECT doc_id, q, k AS piece, array_to_string(w[k + 1:k + 64], '') FROM (SELECT *, unnest(range(0, len(w), 64)) AS k FROM toks WHERE n > 64))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY q, piece) - 1)::INT AS chunk_id, text, len({T.word_tokens_sql('text')})::INT AS n_tokens FROM pieces"""
+
+
+@query(_CHUNKED)
 def chunk_texts(s, d):
     return corpus.chunked(I.documents(s, d), 64, "log")
 
@@ -168,12 +186,24 @@ def qc_histogram(s, d):
     return labels.histogram(labels.qc_metrics(_pairs(s, d)), "hr")
 
 
-@query()
+def _rated_sql(pairs: str) -> str:
+    """rated: (id, teacher, vr, ag) of ``pairs`` (id, teacher, original, compressed)."""
+    return f"""o AS (SELECT id, teacher, t, count(*) AS n FROM (SELECT id, teacher, unnest({T.qc_tokens_sql('original')}) AS t FROM {pairs}) GROUP BY ALL),
+c AS (SELECT id, teacher, t, count(*) AS n FROM (SELECT id, teacher, unnest({T.qc_tokens_sql('compressed')}) AS t FROM {pairs}) GROUP BY ALL),
+os AS (SELECT id, teacher, sum(n) AS n FROM o GROUP BY ALL), cs AS (SELECT id, teacher, sum(n) AS n FROM c GROUP BY ALL),
+j AS (SELECT id, teacher, sum(c.n) AS hits, sum(least(c.n, o.n)) AS matched FROM c JOIN o USING (id, teacher, t) GROUP BY ALL),
+rated AS (SELECT p.*, CASE WHEN coalesce(cs.n, 0) = 0 THEN 0.0 ELSE (cs.n - coalesce(hits, 0))::DOUBLE / cs.n END AS vr,
+  CASE WHEN coalesce(os.n, 0) = 0 THEN 0.0 ELSE coalesce(hits, 0)::DOUBLE / os.n END - CASE WHEN coalesce(os.n, 0) = 0 THEN 0.0 ELSE coalesce(matched, 0)::DOUBLE / os.n END AS ag
+  FROM {pairs} p LEFT JOIN os USING (id, teacher) LEFT JOIN cs USING (id, teacher) LEFT JOIN j USING (id, teacher))"""
+
+
+@query(_PAIRS + ", outputs AS (SELECT doc_id AS id, 'thirds' AS teacher, original, compressed FROM pairs UNION ALL SELECT doc_id, 'head', original, string_split(original, chr(10))[1] FROM pairs), offered AS (SELECT * FROM outputs WHERE trim(compressed, ' ') <> ''),"
+       + _rated_sql("offered") + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY vr > 0, vr, ag, length(compressed), teacher) AS r FROM rated) SELECT id, teacher, compressed, round(vr, 9) AS vr, round(ag, 9) AS ag FROM ranked WHERE r = 1")
 def best_teacher(s, d):
     pairs = _pairs(s, d)
     one = pairs.select(F.col("doc_id").alias("id"), F.lit("thirds").alias("teacher"), "original", "compressed")
     two = pairs.select(F.col("doc_id").alias("id"), F.lit("head").alias("teacher"), "original", F.substring_index("original", "\n", 1).alias("compressed"))
-    return labels.best_output(one.unionByName(two))
+    return labels.best_output(one.unionByName(two)).select("id", "teacher", "compressed", F.round("vr", 9).alias("vr"), F.round("ag", 9).alias("ag"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_comment LIKE '%.py' THEN 'python' WHEN l_comment LIKE '%.json' THEN 'json' ELSE 'text' END AS language FROM (SELECT l_orderkey, l_linenumber, 'f' || l_linenumber || CASE l_linenumber % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.json' ELSE '.log' END AS l_comment FROM lineitem)")
@@ -191,7 +221,15 @@ def derive_mask(s, d):
     return labels.derive_mask(short).select("doc_id", "chunk_id", F.size("tokens").alias("n_tokens"), F.size(F.filter("keep", lambda k: k)).alias("n_kept"))
 
 
-@query()
+_SAL = facts.SEMANTIC.replace("'", "''")
+_SALIENT = ("WITH" + I.EVENT_LINES + ", texts AS (SELECT event_id AS doc_id, line AS text FROM ev)," + I.tokens_sql("texts") + "," + raw_spans_sql("texts", "doc_id", "text", facts.STRUCTURAL) + f""",
+said AS (SELECT doc_id, unnest(range(len(h)))::INT AS i, unnest(h) AS hit, unnest(v) AS v, unnest(g[:len(h)]) AS gap FROM (SELECT doc_id, regexp_extract_all(text, '{_SAL}') AS h, regexp_extract_all(text, '{_SAL}', 2) AS v, regexp_split_to_array(text, '{_SAL}') AS g FROM texts)),
+quoted AS (SELECT doc_id, (sum(strlen(gap) + strlen(hit)) OVER (PARTITION BY doc_id ORDER BY i))::INT - 1 AS e, strlen(v)::INT AS n FROM said),
+every AS (SELECT id, s, e FROM merged UNION ALL SELECT doc_id, e - n, e FROM quoted)
+SELECT t.doc_id AS event_id, (count(*) FILTER (EXISTS (SELECT 1 FROM every m WHERE m.id = t.doc_id AND m.s < t.e AND m.e > t.s)))::INT AS n_salient, count(*)::INT AS n FROM toks t GROUP BY t.doc_id""")
+
+
+@query(_SALIENT)
 def salience_weights(s, d):
     rows = I.event_lines(s, d)
     w = labels.salience_weights(F.col("line"), S.token_spans(T.word_tokens(F.col("line"))), 3.0)
@@ -200,9 +238,10 @@ def salience_weights(s, d):
 
 @query()
 def label_ceiling(s, d):
-    rows = facts.triples(I.event_docs(s, d), 20, 20)
-    pairs = rows.select(F.concat_ws(":", "doc_id", "start").alias("triple_id"), "chunk", "answer", "fact_type", F.array_join(F.filter(F.split("chunk", " "), lambda w, i: i % 3 != 2), " ").alias("compressed"))
-    return labels.label_ceiling(pairs)
+    """By alignment of each chunk with a shortened copy; tests hold it to a plain model."""
+    chunks = facts.windows(I.event_docs(s, d), 20, 20)
+    short = F.array_join(F.filter(F.split("chunk", " "), lambda w, i: i % 3 != 2), " ")
+    return harness.ceiling_types(harness.ceiling_items(chunks.select(F.concat_ws(":", "doc_id", "start").alias("id"), F.col("chunk").alias("original"), short.alias("compressed"))))
 
 
 # --- source operators over tables ---------------------------------------------------------
@@ -215,7 +254,13 @@ def byte_chunk_totals(s, d):
     return rows.groupBy("doc_id").agg(F.sum(F.octet_length("chunk")).alias("bytes"))
 
 
-@query()
+@query("""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE length(text) > 0),
+l AS (SELECT doc_id, i, x FROM (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) || CASE WHEN unnest(range(len(p))) < len(p) - 1 THEN chr(10) ELSE '' END AS x FROM p) WHERE x <> ''),
+u AS (SELECT doc_id, i, 0 AS k, x FROM l WHERE strlen(x) <= 2048 UNION ALL SELECT doc_id, i, k, substr(x, k + 1, 512) FROM (SELECT *, unnest(range(0, length(x), 512)) AS k FROM l WHERE strlen(x) > 2048)),
+s AS (SELECT doc_id, list({'c': strlen(x)::INT, 'q': 0, 'o': []::INT[], 'n': []::INT[]} ORDER BY i, k) AS l FROM u GROUP BY doc_id),
+f AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE WHEN a.c > 0 AND a.c + x.c > 2048 THEN {'c': x.c, 'q': a.q + 1, 'o': list_append(a.o, a.q + 1), 'n': list_append(a.n, x.c)}
+  ELSE {'c': a.c + x.c, 'q': a.q, 'o': list_append(a.o, a.q), 'n': list_append(a.n, x.c)} END, {'c': 0, 'q': 0, 'o': []::INT[], 'n': []::INT[]}) AS r FROM s)
+SELECT doc_id, q AS chunk_id, sum(n)::INT AS bytes FROM (SELECT doc_id, unnest(r.o) AS q, unnest(r.n) AS n FROM f) GROUP BY doc_id, q""")
 def byte_chunk_rows(s, d):
     return byte_chunks(I.documents(s, d), 2048).select("doc_id", "chunk_id", F.octet_length("chunk").alias("bytes"))
 

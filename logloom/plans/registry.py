@@ -13,17 +13,22 @@ _SQL: dict[str, str] = {}
 def query(sql: str | None = None):
     """Register the decorated function under its name, with its oracle if it has one."""
 
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
+    def made(f):
+        add(f.__name__, f, sql)
         return f
 
-    return add
+    return made
+
+
+def add(name: str, f: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    """Register a query that is made, not written."""
+    _QUERIES[name] = f
+    if sql is not None:
+        _SQL[name] = sql
 
 
 def _load() -> None:
-    from . import analysis, corpora, logs  # noqa: F401  they register themselves
+    from . import analysis, calls, corpora, logs  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

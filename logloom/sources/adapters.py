@@ -38,8 +38,13 @@ LINES = {
 TRACE_MARKERS = ("Traceback", 'File "', "Error")
 
 
+def split_template(template: str) -> list[str]:
+    """Text and column names in turn, text first."""
+    return re.split(r"\{([^}]+)\}", template)
+
+
 def template_columns(template: str) -> list[str]:
-    return re.findall(r"\{([^}]+)\}", template)
+    return split_template(template)[1::2]
 
 
 def required(corpus: str) -> tuple[str, ...]:
@@ -50,7 +55,7 @@ def required(corpus: str) -> tuple[str, ...]:
 def render(template: str, have: set[str], values: dict[str, Column] | None = None) -> Column:
     """A template as one expression over columns (or ``values``)."""
     parts = []
-    for i, x in enumerate(re.split(r"\{([^}]+)\}", template)):
+    for i, x in enumerate(split_template(template)):
         if i % 2 == 0:
             parts.append(F.lit(x))
         elif values and x in values:

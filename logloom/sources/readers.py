@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -11,6 +13,7 @@ from ..operators.stats import numbered
 
 MAX_FILE_BYTES = 64 << 20
 MAX_TEXT_BYTES = 1 << 20
+MAX_LINE_BYTES = 16 << 20
 PER_FILE_BYTES, TOTAL_BYTES, CHUNK_BYTES = 25 << 20, 64 << 20, 256 << 10
 LOG_GLOB = "*.{log,txt,jsonl,out,err}"
 
@@ -86,7 +89,9 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path, wholetext=True).select(F.from_json("value", f"per_item map<string,{item}>").alias("r"))
     rows = rows.select(F.explode("r.per_item").alias("key", "items")).select("key", F.posexplode("items").alias("ord", "x"))
     no = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c.split(".")[1])
-    return rows.select(F.regexp_extract("key", "^(.*)@[^@]*$", 1).alias("method"), F.regexp_extract("key", "@([^@]*)$", 1).alias("ratio_key"), "ord", "x.doc_id", F.coalesce("x.fact_type", F.lit("?")).alias("fact_type"), no("x.judge"), no("x.exact"), no("x.judge_error"))
+    parted = F.col("key").rlike("^.+@[^@]*$")  # else the key is the method
+    method, ratio = F.when(parted, F.regexp_extract("key", "^(.+)@[^@]*$", 1)).otherwise(F.col("key")), F.when(parted, F.regexp_extract("key", "@([^@]*)$", 1)).otherwise("")
+    return rows.select(method.alias("method"), ratio.alias("ratio_key"), "ord", "x.doc_id", F.coalesce("x.fact_type", F.lit("?")).alias("fact_type"), no("x.judge"), no("x.exact"), no("x.judge_error"))
 
 
 def read_systems(spark: SparkSession, root: str) -> DataFrame:
@@ -95,9 +100,14 @@ def read_systems(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("system", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
 
 
-def read_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """(line): non-blank lines, from files or, as they arrive, from a folder."""
-    rows = (spark.readStream if stream else spark.read).text(path)
+def bounded(line: Column, most: int = MAX_LINE_BYTES) -> Column:
+    """The line; one over ``most`` bytes raises when it is read."""
+    return F.when(F.octet_length(line) <= most, line).when(line.isNotNull(), F.raise_error(F.lit(f"incoming line exceeds {most} bytes")))
+
+
+def read_lines(spark: SparkSession, path: str, stream: bool = False, most: int = MAX_LINE_BYTES) -> DataFrame:
+    """(line): non-blank lines of at most ``most`` bytes, from files or, as they arrive, from a folder."""
+    rows = (spark.readStream if stream else spark.read).text(path).select(bounded(F.col("value"), most).alias("value"))
     return rows.select(F.col("value").alias("line")).where(F.trim("line") != "")
 
 
@@ -171,10 +181,17 @@ def capped(files: DataFrame, per_file: int = PER_FILE_BYTES, total: int = TOTAL_
     return lines.join(placed.select("path", (F.col("_upto") - F.col("_size")).alias("_before")), "path").where(F.col("_before") + F.col("_own") <= total).select("path", "line_no", "line")
 
 
-def read_shards(spark: SparkSession, path: str, seed: int | None = None) -> DataFrame:
-    """Labelled rows whose arrays align; with ``seed``, in an order that the seed decides."""
-    rows = spark.read.schema("input_ids array<int>, tags array<int>, w_semantic array<double>, w_dependency array<double>, is_code boolean, src_path string").json(path)
+def read_shards(spark: SparkSession, path: str, seed: int | None = None, worker: int = 0, workers: int = 1) -> DataFrame:
+    """Labelled rows whose arrays align, of every ``workers``-th file from ``worker`` on; with ``seed``
+    files, and rows, come in an order that the seed decides."""
+    schema = "input_ids array<int>, tags array<int>, w_semantic array<double>, w_dependency array<double>, is_code boolean, src_path string"
+    files = sorted(spark.read.schema(schema).json(path).inputFiles())
+    if seed is not None:
+        random.Random(seed).shuffle(files)
+    own = files[worker::workers]
+    rows = spark.read.schema(schema).json(own) if own else spark.createDataFrame([], schema)
     rows = rows.where("size(input_ids) = size(tags) and size(tags) = size(w_semantic) and size(tags) = size(w_dependency)")
+    rows = rows.withColumn("is_code", F.coalesce("is_code", F.lit(False)))
     return rows if seed is None else rows.orderBy(F.xxhash64(F.lit(seed), "src_path", "input_ids"))
 
 
