@@ -98,3 +98,83 @@ def test_empty_table(spark, sf, tmp_path):
     for k, (_, stage) in enumerate(P.STAGES):
         stage(spark, spark.read.schema(docs.schema).parquet(str(tmp_path / str(k))) if k == 0 else spark.read.parquet(str(tmp_path / str(k))), sf).write.parquet(str(tmp_path / str(k + 1)))
     assert spark.read.parquet(str(tmp_path / str(len(P.STAGES)))).count() == 0
+
+
+#: Names that operators use for columns of their own.
+CLASHING = ("key", "left", "stays", "root", "node", "k", "h", "s", "n", "truth", "row", "copies", "doc", "pattern", "hash", "__pipeline_key", "__pipeline_keyk", "digest")
+
+
+def test_columns_of_any_name(spark, sf, tmp_path):
+    texts = ["the same words in here", "the same words in here", None, "", "one two three four five six", "1234", "another text with several words"]
+    d = M.table(spark, texts, ids=[1, 2, 3, 4, 5, 6, None]).select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING)])
+    d = d.unionByName(d.where("doc_id = 5"))
+    d.write.parquet(str(tmp_path / "0"))
+    for k, (_, stage) in enumerate(P.STAGES):
+        stage(spark, spark.read.parquet(str(tmp_path / str(k))), sf).write.parquet(str(tmp_path / str(k + 1)))
+        out = spark.read.parquet(str(tmp_path / str(k + 1)))
+        assert k == len(P.STAGES) - 1 or (out.columns == d.columns and all(r[c] == i for r in out.collect() for i, c in enumerate(CLASHING)))
+    left = [r.doc_id for r in spark.read.parquet(str(tmp_path / "3")).collect()]
+    assert sorted(left, key=str) == [2, 5, None]
+
+
+def test_language_equals_the_operator(spark, stages):
+    """The rows that go are those that the language operator rejects, whatever else is equal in them."""
+    from logloom.llm.op4_language import languages
+
+    gone = {r.doc_id for r in languages(stages[0]).where("rejected").collect()}
+    assert Counter(rows(stages[1])) == Counter(r for r in rows(stages[0]) if r[0] not in gone)
+
+
+def test_mixing_meets_its_targets(stages):
+    """Sizes, targets and copies by plain counting."""
+    from logloom.llm.op6_mixing import targets
+
+    before, after = rows(stages[3]), Counter(r[0] for r in rows(stages[4]))
+    words = {r[0]: len(M.WORD.findall(r[1] or "")) for r in before}
+    sizes, taken = Counter(), Counter()
+    for r in before:
+        sizes[r[3]] += words[r[0]]
+        taken[r[3]] += words[r[0]] * after[r[0]]
+    assert max(after.values()) <= 3
+    for s, t in targets(sizes).items():
+        assert abs(taken[s] - t) <= max(words[r[0]] for r in before if r[3] == s) / 2 + 1
+
+
+def test_encoding_equals_the_library(stages):
+    from .test_layout import TIK
+
+    texts = {r.doc_id: r.text for r in stages[4].collect()}
+    for r in stages[5].collect():
+        assert r.ids == TIK.encode_ordinary(texts[r.doc_id])
+
+
+def test_run_leaves_its_last_output_only(spark, sf):
+    import os
+
+    from logloom.session import shared_dir
+
+    shared = shared_dir(spark)
+    before = set(os.listdir(shared))
+    checkpoints = lambda: {d for top in os.listdir(shared) if os.path.isdir(f"{shared}/{top}") and not top.startswith(("pipeline", "token", "ware")) for d in os.listdir(f"{shared}/{top}")}
+    had = checkpoints()
+    assert P.run(spark, sf).count() > 0
+    made = [d for d in os.listdir(shared) if d not in before and d.startswith("pipeline-")]
+    assert len(made) == 1 and os.listdir(f"{shared}/{made[0]}") == [str(len(P.STAGES) - 1)]
+    assert not checkpoints() - had
+
+
+def test_no_shared_folder_raises_on_a_cluster(monkeypatch):
+    from logloom import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {"spark.checkpoint.dir": None}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
