@@ -335,11 +335,6 @@ def mcnemar_exact_p(s, d):
     return stats.mcnemar(few, "user_id", chi2_p=False).select("user_id", "n_discordant", F.round("p_exact", 6).alias("p_exact"))
 
 
-@query()
-def mcnemar_chi2(s, d):
-    return stats.mcnemar(_pairs(s, d), "event_type")
-
-
 @query()
 def bootstrap_ci(s, d):
     few = I.table(s, d, "labels").select("toxic", (F.col("quality") == 1).alias("survived"))

@@ -55,11 +55,11 @@ def template_dedup(s, d):
 _MASKED = T.normalize_line_sql("line")
 _KEYED = f""", masked AS (SELECT corpus, ord, {_MASKED} AS m FROM lines), cut AS (SELECT corpus, ord, regexp_extract_all(m, '[A-Za-z0-9]+') AS r, regexp_split_to_array(m, '[A-Za-z0-9]+') AS g FROM masked),
 runs AS (SELECT DISTINCT unnest(r) AS t FROM cut), odd AS (SELECT list(t) AS ts FROM runs WHERE {T.is_random_sql('t')}),
-joined AS (SELECT corpus, ord, array_to_string(list_transform(g, lambda x, i: x || coalesce(CASE WHEN i > len(r) THEN '' WHEN list_contains(coalesce(ts, []), r[i]) THEN '<RAND>' ELSE r[i] END, '')), '') AS k FROM cut, odd)
-SELECT corpus, ord, regexp_replace(regexp_replace(k, '\\d+', '<NUM>', 'g'), '<(?:TS|UUID|IP|HEX|NUM|RAND)>(?:\\s+<(?:TS|UUID|IP|HEX|NUM|RAND)>)+', '<RAND>', 'g') AS key FROM joined"""
+joined AS (SELECT corpus, ord, array_to_string(list_transform(g, lambda x, i: x || coalesce(CASE WHEN i > len(r) THEN '' WHEN list_contains(coalesce(ts, []), r[i]) THEN '<RAND>' ELSE r[i] END, '')), '') AS k FROM cut, odd),
+keyed AS (SELECT corpus, ord, regexp_replace(regexp_replace(k, '\\d+', '<NUM>', 'g'), '<(?:TS|UUID|IP|HEX|NUM|RAND)>(?:\\s+<(?:TS|UUID|IP|HEX|NUM|RAND)>)+', '<RAND>', 'g') AS key FROM joined)"""
 
 
-@query(_LINES + _KEYED)
+@query(_LINES + _KEYED + " SELECT corpus, ord, key FROM keyed")
 def sampling_template_key(s, d):
     rows = _corpus_lines(s, d)
     return rows.select("corpus", "ord", T.template_key(F.col("line")).alias("key"))
@@ -138,7 +138,28 @@ def manifest_stats(s, d):
     return rows.select("corpus", "line_count", "bytes", F.array_join("samples", "\n").alias("samples"))
 
 
-@query()
+_SAMPLED = _LINES + _KEYED + f""", templates AS (SELECT l.corpus, k.key, min(l.ord) AS ord, arg_min(l.line, l.ord) AS line FROM lines l JOIN keyed k USING (corpus, ord) WHERE trim(l.line) <> '' GROUP BY ALL),
+words AS (SELECT DISTINCT unnest(regexp_extract_all(line, '[A-Za-z0-9]+')) AS r FROM templates), wordlike AS (SELECT r FROM words WHERE {T.is_wordlike_sql('r')}),
+rated AS (SELECT corpus, ord, sum(length(t.r)) AS total, sum(CASE WHEN w.r IS NOT NULL THEN length(t.r) ELSE 0 END) AS good FROM (SELECT corpus, ord, unnest(regexp_extract_all(line, '[A-Za-z0-9]+')) AS r FROM templates) t LEFT JOIN wordlike w USING (r) GROUP BY ALL),
+clean AS (SELECT t.*, row_number() OVER (PARTITION BY t.corpus ORDER BY t.ord) - 1 AS place FROM templates t LEFT JOIN rated USING (corpus, ord) WHERE NOT coalesce(total >= 24 AND good / total::DOUBLE < 0.30, false)),
+u AS (SELECT corpus, place // 10000 AS block, list(line ORDER BY ord) AS units FROM clean GROUP BY ALL),
+sized AS (SELECT corpus, block, units, list_transform(units, lambda x: {{'c': len({T.word_tokens_sql('x')})::INT, 'q': -1, 'o': []::INT[]}}) AS l FROM u),
+folded AS (SELECT corpus, block, units, list_transform(l, lambda x: x.c) AS sizes, list_reduce(l, lambda a, x: CASE WHEN x.c > 256 THEN {{'c': 0, 'q': a.q + 1, 'o': list_append(a.o, a.q + 1)}}
+  WHEN a.c = 0 OR a.c + x.c > 256 THEN {{'c': x.c, 'q': a.q + 1, 'o': list_append(a.o, a.q + 1)}} ELSE {{'c': a.c + x.c, 'q': a.q, 'o': list_append(a.o, a.q)}} END, {{'c': 0, 'q': -1, 'o': []::INT[]}}).o AS o FROM sized),
+units AS (SELECT corpus, block, unnest(range(len(units))) AS pos, unnest(units) AS u, unnest(o) AS q, unnest(sizes) AS n FROM folded),
+whole AS (SELECT corpus, block, q, string_agg(u, chr(10) ORDER BY pos) AS t, max(n) AS n FROM units GROUP BY ALL),
+toks AS (SELECT *, {T.word_tokens_sql('t')} AS w FROM whole WHERE n > 256),
+pieces AS (SELECT corpus, block, q, 0 AS k, t AS text FROM whole WHERE n <= 256 UNION ALL SELECT corpus, block, q, k, array_to_string(w[k + 1:k + 256], '') FROM (SELECT *, unnest(range(0, len(w), 256)) AS k FROM toks)),
+pool AS (SELECT corpus, (block * 4294967296 + row_number() OVER (PARTITION BY corpus, block ORDER BY q, k) - 1)::BIGINT AS ord, text FROM pieces),
+pools AS (SELECT corpus, count(*) AS n FROM pool GROUP BY corpus), caps AS (SELECT corpus, least(n, 15) AS c FROM pools), goal AS (SELECT least(60, sum(c)) AS g FROM caps),
+fit AS (SELECT max(v) AS v FROM (SELECT unnest(range(0, 16)) AS v) WHERE (SELECT sum(least(c, v)) FROM caps) <= (SELECT g FROM goal)),
+base AS (SELECT corpus, least(c, v) AS a, c, row_number() OVER (ORDER BY (c - least(c, v)) DESC, corpus) AS r FROM caps, fit),
+slots AS (SELECT corpus, a + CASE WHEN a < c AND r <= (SELECT g FROM goal) - (SELECT sum(a) FROM base) THEN 1 ELSE 0 END AS slots FROM base),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY sha1(text), ord) AS r FROM pool)
+SELECT corpus, ord, text FROM ranked JOIN slots USING (corpus) WHERE r <= slots"""
+
+
+@query(_SAMPLED)
 def sample_corpus(s, d):
     chosen, _ = corpus.sample(_corpus_lines(s, d), 60, 0.25, 256)
     return chosen
