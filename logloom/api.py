@@ -40,12 +40,17 @@ def check_inputs(language: str = "text", keywords: list[str] | None = None, rate
         raise EngineError("too_many_keywords", str(len(keywords)), f"at most {MAX_KEYWORDS}")
     if any(not k or len(k.encode()) > MAX_KEYWORD_BYTES for k in keywords):
         raise EngineError("invalid_keyword", "", f"1 to {MAX_KEYWORD_BYTES} bytes each")
-    if not 0.0 <= rate <= 1.0:
-        raise EngineError("invalid_rate", str(rate), "from 0 to 1")
+    if not 0.0 < rate < 1.0:
+        raise EngineError("invalid_rate", str(rate), "between 0 and 1")
 
 
-def model_file(path: str | None) -> tuple[str, str | None]:
-    """(status, path) of an optional scorer's file on the driver: unset, empty, missing or found."""
+def model_file(path: str | None, variable: str | None = None) -> tuple[str, str | None]:
+    """(status, path) of an optional scorer's file on the driver: unset, empty, missing or found.
+
+    Without a path, the environment's ``variable`` may name one.
+    """
+    if path is None and variable is not None:
+        path = os.environ.get(variable)
     if path is None:
         return "unset", None
     full = os.path.expanduser(path) if path else ""

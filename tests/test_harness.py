@@ -287,3 +287,29 @@ def test_summary_line_escapes_controls(spark):
 def test_self_test_and_demo(spark):
     assert selftest.run(spark) == {}
     assert len(selftest.demo(spark)) == 4 * len(curated.documents())
+
+
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    from logloom.__main__ import main
+
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text("INFO beat 1\n" * 50 + "ERROR request_id=abc9 status=503\n")
+    (tmp_path / "logs" / "needles.txt").write_text("abc9\n")
+    pair = {"original": "ERROR request_id=abc9 status=503 here and now", "compressed": "ERROR request_id=abc9", "src_path": "x.log", "chunk_id": 1}
+    (tmp_path / "pairs.jsonl").write_text("\n".join(json.dumps(pair | {"chunk_id": i}) for i in range(4)))
+    (tmp_path / "triples.json").write_text(json.dumps({"triples": [{"doc_id": "d", "text": "ERROR disk\nplain line", "question": "q", "answer": "ERROR", "fact_type": "severity", "source": "s"}]}))
+    item = {"doc_id": "d", "fact_type": "x", "judge": True, "exact": True}
+    (tmp_path / "results.json").write_text(json.dumps({"per_item": {"a@1": [item], "b@1": [item]}}))
+
+    def said(*args):
+        assert main([*args], spark) == 0
+        return capsys.readouterr().out
+
+    assert "survival        : 100.00% (1/1)" in said("bench", f"{tmp_path}/logs", "--batches", "2")
+    assert "a vs b" in said("stats", f"{tmp_path}/results.json", "--pairs", "a:b", "--resamples", "20")
+    assert "needle in the original: 4" in said("ceiling", f"{tmp_path}/pairs.jsonl")
+    assert "keep-severity" in said("survival", f"{tmp_path}/triples.json", "--rates", "0.5")
+    assert json.loads(said("triples", f"{tmp_path}/logs").splitlines()[0])["answer"] == "abc9"
+    assert "emitted: 4" in said("shards", f"{tmp_path}/pairs.jsonl", f"{tmp_path}/out")
+    monkeypatch.setenv("SOME_MODEL", str(tmp_path / "pairs.jsonl"))
+    assert api.model_file(None, "SOME_MODEL") == ("found", str(tmp_path / "pairs.jsonl"))
