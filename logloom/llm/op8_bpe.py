@@ -102,9 +102,9 @@ class RankQueue:
         return rank, self.heaps.pop(rank)
 
 
-#: Bytes of texts encoded together; nothing is kept beyond, as a worker may sit idle beside a
-#: full heap while later stages run.
-TOGETHER = 1 << 19
+#: Bytes of texts encoded together, and pieces kept for later ones: few, as a worker may sit
+#: idle beside a full heap while later stages run.
+TOGETHER, KEPT = 1 << 20, 300_000
 #: Ids that are decoded at once; it bounds the index arrays.
 DECODED = 1 << 17
 #: Pre-tokens up to so many bytes share one queue; a longer one has its own.
@@ -128,7 +128,7 @@ class Bpe:
         keys = np.fromiter(pairs, np.int64, len(pairs))
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.fromiter(pairs.values(), np.int32, len(pairs))[order]
-        self.pieces = Pieces(self.encode, pattern, lasting=False, size=TOGETHER)
+        self.pieces = Pieces(self.encode, pattern, most=KEPT, size=TOGETHER)
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of symbols, -1 without one."""

@@ -36,11 +36,11 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 class Pieces:
     """Ids of texts, by an encoder of lists of pieces to little-endian 32-bit integers."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str, lasting: bool = True, size: int = BATCH_BYTES, special: tuple[str, ...] = ()):
-        """``lasting``: whether pieces are kept from one Arrow batch to the next. ``size``: the
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str, most: int = KEPT, size: int = BATCH_BYTES, special: tuple[str, ...] = ()):
+        """``most``: pieces kept, from one Arrow batch to the next, before all are let go. ``size``: the
         bytes of texts encoded together. ``special``: strings that are a token wherever they
         stand, and part what is before them from what follows."""
-        self.encode, self.pattern, self.lasting, self.size, self.kept = encode, regex.compile(pattern), lasting, size, {}
+        self.encode, self.pattern, self.most, self.size, self.kept = encode, regex.compile(pattern), most, size, {}
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
     def matches(self, text: str) -> list[str]:
@@ -68,7 +68,7 @@ class Pieces:
     def known(self, pieces: list[str]) -> list[bytes]:
         """The ids of different pieces, of which new ones are encoded."""
         kept = self.kept
-        if len(kept) > KEPT:
+        if len(kept) > self.most:
             kept.clear()
         new = [p for p in pieces if p not in kept]
         parts = {p: (w, p[len(w) :]) for p in new if p and (w := self.bare(p)) != p}
@@ -110,7 +110,7 @@ class Pieces:
             # a slice is copied to an array of its own, so that offsets begin at 0
             yield self.batch(pa.concat_arrays([texts.slice(at, stop - at)]))
             at = stop
-        if not self.lasting:
+        if len(self.kept) > self.most:
             self.kept = {}
         release()
 
