@@ -17,6 +17,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -36,6 +37,8 @@ END_ID = 2
 CHUNK_IDS = 65_536
 #: A file ends after the document that brings it to so many ids.
 FILE_IDS = 1 << 20
+#: Bytes of rows that are encoded together: the more, the more pieces are found again.
+GATHERED = 16 << 20
 #: Pieces that are joined for one call of the library.
 JOINED = 1_024
 
@@ -154,6 +157,20 @@ def encoder(name: str) -> Encoder:
     return Encoder(name)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int = GATHERED) -> Iterator[pa.Table]:
+    """Batches put together to tables of one chunk and about ``size`` bytes, without empty ones."""
+    held, n = [], 0
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            n += batch.nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, planes: int = 4, files_ids: int = FILE_IDS) -> None:
     """Encode every document and write file images, in ascending order of id, under ``path``.
 
@@ -172,9 +189,9 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
             data = write_image(names, sizes, np.concatenate(parts), planes)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([n], pa.int64()), "image": pa.array([data], pa.binary())})
 
-        for batch in batches:
-            keys, part = batch.column("id").to_pylist(), batch.column("part")[0].as_py() if len(batch) else part
-            for name, ids in zip(keys, encode(batch.column("text")), strict=True):
+        for batch in gathered(batches):
+            keys, part = batch.column("id").to_pylist(), batch.column("part")[0].as_py()
+            for name, ids in zip(keys, encode(batch.column("text").chunk(0)), strict=True):
                 names.append(name)
                 sizes.append(len(ids) + 1)
                 parts += [ids, end]
