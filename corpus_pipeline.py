@@ -1,4 +1,8 @@
-"""From raw documents to encoded training data: five stages, each an operator of ``logloom.llm``."""
+"""From raw documents to encoded training data: five stages, each an operator of ``logloom.llm``.
+
+A stage begins with a collection of the executors' garbage: else the heap that one stage filled
+stands beside the Python workers of the next.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ from logloom.llm.op4_language import languages
 from logloom.llm.op6_mixing import mixed_documents
 from logloom.llm.op8_bpe import encoded
 from logloom.llm.op9_exact import exact_groups
-from logloom.session import remove, scratch, ship
+from logloom.session import remove, scratch, ship, trim
 
 #: So many keys of 16 bytes are broadcast at most.
 BROADCAST_KEYS = 500_000
@@ -57,7 +61,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts and texts without a letter are rejected. The decision follows the text,
     so repeated rows go or stay together. An empty table gives no rows.
     """
-    ship(spark)
+    trim(ship(spark))
     keyed, name = _keyed(docs)
     found = languages(keyed, carry=(name,))
     return _staying(docs, found.select(F.col(name).alias("key"), (~F.col("rejected")).alias("stays")))
@@ -69,7 +73,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null counts as empty, so that one row of all null and empty texts stays; null ids are
     least. An empty table gives no rows.
     """
-    ship(spark)
+    trim(ship(spark))
     keyed, name = _keyed(docs)
     found = exact_groups(keyed, id_col=name)
     return _staying(docs, found.select(F.col("doc_id").alias("key"), F.col("kept").alias("stays")))
@@ -82,7 +86,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fingerprints can't tell: ``similar_documents`` says why. Texts without words are near
     copies of each other; null ids are least. An empty table gives no rows.
     """
-    ship(spark)
+    trim(ship(spark))
     found = similar_documents(*_keyed(docs))
     return _staying(docs, found.select("key", F.col("kept").alias("stays")))
 
@@ -94,7 +98,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     or once more by hash; null is a source like any other. Rows equal in id and text are taken
     alike. An empty table gives no rows.
     """
-    ship(spark)
+    trim(ship(spark))
     return mixed_documents(docs)
 
 
@@ -104,7 +108,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has no ids; every row is encoded, repeated ones too. An empty table
     gives no rows.
     """
-    ship(spark)
+    trim(ship(spark))
     return docs.select("doc_id", "lang", "source", encoded(utf8("text"), with_ids=True).alias("e")).select("doc_id", "lang", "source", "e.*")
 
 

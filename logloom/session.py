@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: weakref.WeakSet = weakref.WeakSet()
 
@@ -56,6 +57,17 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def trim(spark: SparkSession) -> None:
+    """Have the executors collect their garbage, a task a core, so that a heap that earlier work filled shrinks.
+
+    A heap isn't made smaller else, and counts beside the Python workers of whatever comes
+    next. Results don't depend on it, nor on whether a busy executor is reached.
+    """
+    n = spark.sparkContext.defaultParallelism
+    call = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, n, 1, n).select(call.alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

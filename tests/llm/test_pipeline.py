@@ -178,3 +178,13 @@ def test_no_shared_folder_raises_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
+
+
+def test_stages_begin_with_a_collected_heap(spark, sf):
+    """What earlier stages left on the heap doesn't stand beside the workers of the next one."""
+    beans = list(spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    whole = [b for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName()]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = sum(b.getCollectionCount() for b in whole)
+    P.encoding(spark, docs, sf)  # a plan only
+    assert sum(b.getCollectionCount() for b in whole) > before
