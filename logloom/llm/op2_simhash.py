@@ -13,18 +13,15 @@ verified on the whole fingerprints inside the join, so candidates aren't written
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, tidy, utf8, values
 from .components import connected_components
-from .shingles import WORDS, similar_groups
+from .shingles import WORDS, hashes, simhash, similar_groups
 
 SHINGLE_WORDS = 3
-HASH_SEED = 42
 MAX_BITS = 2
 #: The low bit of each two-bit segment.
 LOW_BITS = 0x5555555555555555
@@ -39,23 +36,7 @@ def fingerprint(text: bytes, size: int = SHINGLE_WORDS) -> int:
     A-Z become lower case, words are joined by single spaces to shingles of ``size``
     words, repeats included, and a text of fewer words is one shingle.
     """
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= size:
-        hashes = xxhash.xxh64_digest(joined, HASH_SEED)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_digest
-        hashes = b"".join([digest(joined[i:j], HASH_SEED) for i, j in zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist(), strict=True)])
-    rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(rows), 255 * 64):
-        bits = np.unpackbits(rows[at : at + 255 * 64], axis=1)
-        ones += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(rows)).tobytes(), "big", signed=True)
+    return simhash(hashes(text, size))
 
 
 def fingerprints(column: Column) -> Column:
@@ -117,13 +98,13 @@ def similar_documents(docs: DataFrame, key: str, id_col: str = "doc_id", text_co
     """One row per row of ``docs``: key, doc_id, component_id, kept, by word shingles.
 
     Linked are texts whose sets of shingles of ``words`` words have a Jaccard similarity of 0.8
-    or more. Fingerprints of such texts differ in up to 17 bits, which no grid can join, so
-    candidates come from shared shingles (see ``shingles``); the bound by segments' counts
-    and the exact check are the same. Of each component the row of the least id stays, then of
+    or more. Candidates are the pairs of fingerprints (of such shingles) that ``links`` finds;
+    fingerprints of similar texts differ in up to 17 bits, which no grid can join, so pairs
+    further apart come from shared shingles (see ``shingles``). All pass one exact check. Of each component the row of the least id stays, then of
     the least key, then one row. ``key`` tells rows of different texts apart. Null and empty
     texts link to each other; an empty table gives no rows.
     """
-    rows = cut(similar_groups(docs, key, text_col, words, (id_col,)).withColumnRenamed(id_col, "doc_id"))
+    rows = cut(similar_groups(docs, key, links, text_col, words, (id_col,)).withColumnRenamed(id_col, "doc_id"))
     least = rows.groupBy("root").agg(F.min(F.struct("doc_id", "key", "node")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     out = rows.join(least, "root", "left")
     return out.select("key", "doc_id", F.coalesce("least.doc_id", "doc_id").alias("component_id"), (F.col("least").isNull() | (F.col("least.node") == F.col("node"))).alias("kept"))

@@ -1,4 +1,7 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, by a complete prefix join.
+"""Near-duplicates by the Jaccard similarity of word shingles: by SimHash, then by a complete prefix join.
+
+Pairs whose fingerprints the grid links are verified first. Similar texts whose fingerprints
+lie further apart, which no grid joins, come from the prefix join, so that no link is lost.
 
 Two sets of similarity 0.8 or more share a shingle among the first fifth (and one) of each,
 in any order that is the same for all sets, so candidates are found through those alone.
@@ -16,6 +19,8 @@ compare exactly is nearly only what is similar.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -41,21 +46,42 @@ PARTS = 8
 BROADCAST_KEYS = 500_000
 
 
-def shingles(text: bytes, size: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes of one UTF-8 text's shingles, as signed longs.
+def hashes(text: bytes, size: int = WORDS) -> bytes:
+    """The digests of one UTF-8 text's shingles, one after another, repeats included.
 
-    A-Z become lower case. A text of fewer words is one shingle, one without words the empty one.
+    A-Z become lower case, words are joined by single spaces to shingles of ``size`` words,
+    and a text of fewer words is one shingle. A text without words has none.
     """
     words = text.lower().split()
     joined = b" ".join(words)
+    digest = xxhash.xxh64_digest
     if len(words) <= size:
-        hashes = xxhash.xxh64_digest(joined, HASH_SEED)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_digest
-        hashes = b"".join([digest(joined[i:j], HASH_SEED) for i, j in zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist(), strict=True)])
-    return np.unique(np.frombuffer(hashes, ">i8").astype(np.int64))
+        return digest(joined, HASH_SEED) if words else b""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return b"".join([digest(joined[i:j], HASH_SEED) for i, j in zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist(), strict=True)])
+
+
+def distinct(digests: bytes) -> np.ndarray:
+    """The sorted distinct hashes as signed longs; that of the empty shingle where there is none."""
+    return np.unique(np.frombuffer(digests or xxhash.xxh64_digest(b"", HASH_SEED), ">i8").astype(np.int64))
+
+
+def simhash(digests: bytes) -> int:
+    """The fingerprint of a text's shingles as a signed long; zero without any."""
+    if not digests:
+        return 0
+    rows = np.frombuffer(digests, np.uint8).reshape(-1, 8)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(rows), 255 * 64):
+        bits = np.unpackbits(rows[at : at + 255 * 64], axis=1)
+        ones += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(rows)).tobytes(), "big", signed=True)
+
+
+def shingles(text: bytes, size: int = WORDS) -> np.ndarray:
+    """The sorted distinct hashes of one UTF-8 text's shingles; a text without words has the empty one."""
+    return distinct(hashes(text, size))
 
 
 def prefix(found: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -108,19 +134,21 @@ def shingle_sets(column: Column, size: int = WORDS) -> Column:
 
 
 def sketches(column: Column, frequent: np.ndarray, rank: np.ndarray, size: int = WORDS) -> Column:
-    """struct of n, the set's size, p, its prefix, and s, its parities."""
+    """struct of n, the set's size, f, the text's fingerprint, p, its set's prefix, and s, its parities."""
 
     def each(texts: pa.Array) -> pa.Array:
-        n, p, s = [], [], []
+        n, f, p, s = [], [], [], []
         for x in values(texts):
-            found = shingles(x, size)
+            digests = hashes(x, size)
+            found = distinct(digests)
             n.append(len(found))
+            f.append(simhash(digests))
             p.append(prefix(found, frequent, rank))
             s.append(parities(found))
         lists = [pa.array(x, pa.list_(pa.int64())) for x in (p, s)]
-        return pa.StructArray.from_arrays([pa.array(n, pa.int32()), *lists], names=["n", "p", "s"])
+        return pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(f, pa.int64()), *lists], names=["n", "f", "p", "s"])
 
-    return F.arrow_udf(tidy(each), "struct<n:int,p:array<bigint>,s:array<bigint>>").asNondeterministic()(column)
+    return F.arrow_udf(tidy(each), "struct<n:int,f:bigint,p:array<bigint>,s:array<bigint>>").asNondeterministic()(column)
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,9 +196,24 @@ def similar(docs: DataFrame, rows: DataFrame, pairs: DataFrame, key: str, text_c
     return left.join(one, "b").join(two, "a").where(DEN * both >= NUM * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, key: str, text_col: str = "text", size: int = WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+def by_fingerprints(rows: DataFrame, grid: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """(a, b), a < b: pairs of nodes of ``rows`` (k, f) that fingerprints make candidates.
+
+    Of each fingerprint the least node meets the others of it, and the least ones of the
+    fingerprints that ``grid`` links.
+    """
+    prints = cut(rows.groupBy(F.col("f").alias("fp")).agg(F.min("k").alias("node"), F.count("*").alias("n")))
+    of = lambda end: prints.select(F.col("fp").alias(end), F.col("node").alias(f"{end}k"))
+    near = grid(prints, prints.count()).join(of("a"), "a").join(of("b"), "b").select(F.least("ak", "bk").alias("a"), F.greatest("ak", "bk").alias("b"))
+    same = rows.join(prints.where("n > 1"), F.col("f") == F.col("fp")).where("k > node").select(F.col("node").alias("a"), F.col("k").alias("b"))
+    return near.unionByName(same).distinct()
+
+
+def similar_groups(docs: DataFrame, key: str, grid: Callable[[DataFrame, int], DataFrame], text_col: str = "text", size: int = WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, *carry, node, root), a row a row of ``docs``: root is the least node that links reach.
 
+    ``grid`` gives the pairs (a, b) of distinct fingerprints that are near, of a table (fp) and
+    its number of rows; what is near by it is verified, then what shares a shingle of a prefix.
     Rows whose sets of shingles have a Jaccard similarity of 0.8 or more are linked. Null
     counts as empty; texts without words link. ``key`` tells rows of different texts apart and
     may be of any type; rows of one key have one root. No rows: no rows.
@@ -184,22 +227,24 @@ def similar_groups(docs: DataFrame, key: str, text_col: str = "text", size: int
     every = rows.join(again, "key", "left").withColumn("least", F.coalesce("least", "k"))
     if repeated := not again.isEmpty():
         rows = cut(every.where("k = least").drop("least"))
-    # one exchange, of three longs a row: n and pos share one
+    near = cut(by_fingerprints(rows.select("k", "f"), grid))
+    links = cut(similar(docs, rows, near, key, text_col, size, repeated))
+    # what fingerprints can't tell. One exchange, of three longs a row: n and pos share one
     entries = rows.select("k", "n", F.posexplode("p").alias("pos", "h")).select("h", "k", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
     by = W.partitionBy("h")
     met = entries.withColumn("x", F.min(F.struct("k", "at")).over(by)).withColumn("c", F.count("*").over(by)).where("c > 1")
     shared = cut(met.select("h", "k", "at", F.col("x.k").alias("xk"), F.col("x.at").alias("xat"), "c"))
     n_of, pos_of = lambda at: F.shiftright(at, 32), lambda at: at.bitwiseAND(0xFFFFFFFF)
     able = lambda a, b: may(n_of(F.col(a)), pos_of(F.col(a)), n_of(F.col(b)), pos_of(F.col(b)))
-    first = cut(shared.where((F.col("xk") < F.col("k")) & able("xat", "at")).select(F.col("xk").alias("a"), F.col("k").alias("b")).distinct())
-    links = cut(similar(docs, rows, first, key, text_col, size, repeated))
+    first = cut(shared.where((F.col("xk") < F.col("k")) & able("xat", "at")).select(F.col("xk").alias("a"), F.col("k").alias("b")).distinct().join(near, ["a", "b"], "left_anti"))
+    links = cut(links.unionByName(similar(docs, rows, first, key, text_col, size, repeated)))
     roots = connected_components(links)
     # a shingle's other pairs, which have no part in its least set; parities, folded to four longs,
     # go with its sets, so that pairs meet their bound before they are written
     few = [F.get("s", F.lit(i)).bitwiseXOR(F.get("s", F.lit(i + 4))).bitwiseXOR(F.get("s", F.lit(i + 8))).bitwiseXOR(F.get("s", F.lit(i + 12))).alias(f"q{i}") for i in range(4)]
     parity = [f"q{i}" for i in range(4)]
     others = shared.where("c > 2 and k <> xk").select("h", "at", F.col("k").alias("node"))
-    done = first
+    done = near.unionByName(first)
     # a part of the shingles joins most of a group, so that the others leave few pairs of it
     for part in (F.pmod("h", F.lit(PARTS)) == 0, F.pmod("h", F.lit(PARTS)) != 0):
         nodes = rows.select(F.col("k").alias("node"), *few).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *parity)

@@ -2,7 +2,10 @@
 
 import random
 
+import xxhash
+
 import corpus_pipeline as P
+from logloom.llm import op2_simhash
 
 from . import models as M
 
@@ -47,3 +50,44 @@ def test_rows_that_repeat_often(spark, sf, tmp_path):
     sets = [shingles(t) for t in dict.fromkeys(texts)]
     groups = M.components([(a, b) for b in range(3) for a in range(b) if similar(sets[a], sets[b])], range(3))
     assert sorted(r.doc_id for r in out) == sorted({min(i for i, g in zip((7, 8, 9), groups.values(), strict=True) if g == root) for root in set(groups.values())})
+
+
+def fingerprint(text):
+    """SimHash of five-word shingles, repeats included, by counting votes."""
+    words = text.lower().split()
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), 42) for i in range(max(1, len(words) - 4))] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_give_candidates(spark, sf, tmp_path, monkeypatch):
+    """The stage makes SimHash fingerprints of five words, and the grid joins them to every near pair."""
+    rng = random.Random(6)
+    texts = ["", "one two three", "one  two three"]
+    for _ in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        for _ in range(4):  # a word more at the end changes few bits
+            texts.append(" ".join(base))
+            base.append(f"w{rng.randrange(10**6)}")
+    M.table(spark, texts).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "d"))
+    seen, plain = [], op2_simhash.links
+
+    def grid(prints, count=None):
+        found = plain(prints, count)
+        seen.append(({r.fp % 2**64 for r in prints.collect()}, {(r.a % 2**64, r.b % 2**64) for r in found.collect()}))
+        return found
+
+    monkeypatch.setattr(op2_simhash, "links", grid)
+    P.near_dedup(spark, spark.read.parquet(str(tmp_path / "d")), sf).collect()
+    ((prints, pairs),) = seen
+    want = {fingerprint(t) for t in texts}
+    assert prints == want
+    near = {frozenset((a, b)) for a in want for b in want if 0 < (a ^ b).bit_count() <= 2}
+    assert near and {frozenset(p) for p in pairs} == near
+
+
+def test_candidates_hold_groups_of_equal_fingerprints(spark):
+    from logloom.llm.shingles import by_fingerprints
+
+    rows = spark.createDataFrame([(0, 7), (1, 7), (2, 7), (3, 6), (4, 6), (5, 5), (6, 1 << 40 | 0xFF)], "k bigint, f bigint")
+    pairs = {(r.a, r.b) for r in by_fingerprints(rows, op2_simhash.links).collect()}
+    assert pairs == {(0, 1), (0, 2), (3, 4), (0, 3), (0, 5), (3, 5)}
