@@ -7,13 +7,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stats import value_at_rank
 from .common import cut, tidy, utf8, values
 
 WINDOW = 3
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: The forest: trees, rows a tree, and the bounded sample that rows are drawn from.
-TREES, ROWS, SAMPLE = 128, 256, 8_192
+#: The forest: trees, and the rows that each draws of all.
+TREES, ROWS = 128, 256
 SEED = 11
 BINS = 4_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -80,14 +81,19 @@ def shares(stats: np.ndarray) -> np.ndarray:
     ], 1)
 
 
-#: The columns of ``shares`` in which ordinary documents vary most, and the share of the
-#: forest's sample, at either end, that isn't ordinary.
+#: The columns of ``shares`` in which ordinary documents vary most, and the share of all
+#: rows, at either end, that isn't ordinary.
 VARIED, TAIL = slice(4, 7), 0.002
 
 
-def ordinary(x: np.ndarray) -> np.ndarray:
-    """The least and greatest ordinary value of the varied columns of a sample's ``shares``."""
-    return np.quantile(x[:, VARIED], [TAIL, 1 - TAIL], axis=0)
+def ordinary(rows: DataFrame, n: int) -> np.ndarray:
+    """The least and greatest ordinary value of the varied columns of the ``shares`` of all ``n`` rows."""
+    words = F.greatest(F.col("n_words"), F.lit(1))
+    varied = rows.select((F.col("n_repeat_words") / words).alias("a"), (F.col("n_dup_lines") / words).alias("b"), words.alias("c"))
+    beyond = int(TAIL * (n - 1))
+    ends = np.array([[value_at_rank(varied, c, rank) for c in varied.columns] for rank in (1 + beyond, n - beyond)])
+    ends[:, 2] = np.log(ends[:, 2])
+    return ends
 
 
 def features(stats: np.ndarray, usual: np.ndarray) -> np.ndarray:
@@ -103,12 +109,15 @@ def features(stats: np.ndarray, usual: np.ndarray) -> np.ndarray:
 class Forest:
     """Isolation forest. Trees are arrays of (feature, split, left child, path length)."""
 
-    def __init__(self, x: np.ndarray, trees: int = TREES, rows: int = ROWS, seed: int = SEED):
+    def __init__(self, x: np.ndarray | list[np.ndarray], trees: int = TREES, rows: int = ROWS, seed: int = SEED):
+        """``x``: all rows, of which each tree draws some, or a list of the rows of each tree."""
         rng = np.random.default_rng(seed)
-        rows = min(rows, len(x))
+        if not isinstance(x, list):
+            x = [x[rng.choice(len(x), min(rows, len(x)), replace=False)] for _ in range(trees)]
+        rows = len(x[0])
         self.deepest = max(1, int(np.ceil(np.log2(max(2, rows)))))
         self.usual = average_path(rows)
-        self.trees = [self._grow(x[rng.choice(len(x), rows, replace=False)], rng) for _ in range(trees)]
+        self.trees = [self._grow(own, rng) for own in x]
 
     def _grow(self, x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
         nodes, waiting = [], [(np.arange(len(x)), 0, None)]
@@ -176,27 +185,66 @@ def calibrate(scored: DataFrame, cost: float = COST) -> float:
     return int(len(gain) - 1 - np.argmax(gain[::-1])) / BINS
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+def tree_hash(h: np.ndarray, tree: int) -> np.ndarray:
+    """A hash, of 53 bits, of 64-bit hashes of rows and a tree (the finisher of SplitMix64)."""
+    z = h.view(np.uint64) + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.int64)
+
+
+def drawn(rows: DataFrame, n: int, trees: int = TREES, size: int = ROWS) -> list[np.ndarray]:
+    """For each tree its own ``size`` of all ``n`` rows (h, ``STATS``), those of least hash of h and tree.
+
+    Only rows whose hash is under a bound come to the driver; it rises until every tree has
+    its rows. Rows that are the same come as one with their number.
+    """
+
+    def under(limit: int) -> Column:
+        def each(hashes: pa.Array) -> pa.Array:
+            h = hashes.to_numpy(zero_copy_only=False)
+            us = [tree_hash(h, t) for t in range(trees)]
+            at = [np.flatnonzero(u < limit) for u in us]
+            row = np.concatenate(at)
+            order = np.argsort(row, kind="stable")
+            tree = np.repeat(np.arange(trees, dtype=np.int32), [len(i) for i in at])
+            hashed = np.concatenate([u[i] for u, i in zip(us, at, strict=True)])
+            ends = np.cumsum(np.bincount(row, minlength=len(h)))
+            items = pa.StructArray.from_arrays([pa.array(tree[order]), pa.array(hashed[order])], names=["t", "u"])
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), items)
+
+        return F.arrow_udf(tidy(each), "array<struct<t:int,u:bigint>>").asNondeterministic()("h")
+
+    size, share = min(size, n), min(1.0, 1.5 * size / n)
+    while True:
+        near = rows.select(*STATS, F.explode(under(int(share * (1 << 53)))).alias("e"))
+        own: list[list[tuple[int, ...]]] = [[] for _ in range(trees)]
+        for t, u, *stats, copies in sorted(near.groupBy("e.t", "e.u", *STATS).agg(F.count("*").alias("copies")).collect()):
+            own[t] += [tuple(stats)] * min(copies, size - len(own[t]))
+        if share == 1.0 or all(len(x) == size for x in own):
+            return [np.array(x, np.int64) for x in own]
+        share = min(1.0, 4 * share)
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", seed: int = SEED) -> DataFrame:
     """One row per row of ``docs``: doc_id, the base statistics, base_failed, score, kept.
 
     base_failed: under ``MIN_WORDS`` words, or more than half of the words in repeated
-    windows. Others are kept unless the forest's score reaches the threshold. The forest is
-    fitted on about ``sample`` rows, never twice that, of the least hash of id and statistics;
-    the threshold comes from all labelled rows that pass the base rules, good and bad. Null
+    windows. Others are kept unless the forest's score reaches the threshold. Each tree
+    of the forest draws its ``ROWS`` of all rows that pass the base rules, by a hash of id and
+    statistics; what is ordinary is counted over all of them, and the threshold comes from all
+    labelled ones, good and bad. Null
     and empty texts have no words and fail. Repeated rows have the same verdict; a label counts
     for each row of its id. No rows: no rows. Without a row to fit on, or without labels of both kinds, the base rules decide alone.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), with_statistics(utf8(text_col)).alias("s")).select("doc_id", "s.*")
     rows = cut(rows.withColumn("base_failed", base_failed()))
     good = rows.where("not base_failed")
-    share = sample / max(1, good.count())
-    u = F.shiftrightunsigned(F.xxhash64("doc_id", *STATS), 11) / F.lit(float(1 << 53))
-    fit = sorted(good.where(u < share).select(*STATS).limit(2 * sample).collect())
-    if not fit:
+    n = good.count()
+    if not n:
         return rows.select("doc_id", *BASE, "base_failed", F.lit(0.0).alias("score"), (~F.col("base_failed")).alias("kept"))
-    some = np.array(fit, np.int64)
-    usual = ordinary(shares(some))
-    forest = Forest(features(some, usual), seed=seed)
+    usual = ordinary(good, n)
+    forest = Forest([features(x, usual) for x in drawn(good.select(F.xxhash64("doc_id", *STATS).alias("h"), *STATS), n)], seed=seed)
 
     def each(*columns: pa.Array) -> pa.Array:
         return pa.array(forest.scores(features(np.stack([c.to_numpy(zero_copy_only=False) for c in columns], 1), usual)), pa.float64())

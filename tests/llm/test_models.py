@@ -233,3 +233,22 @@ def test_forest_isolates_outliers():
     assert s.argmax() == 500 and ((0 < s) & (s < 1)).all()
     same = op10_rules.Forest(np.ones((5, 2))).scores(np.ones((2, 2)))
     assert same[0] == same[1]
+
+
+def test_forest_draws_of_all_rows(spark):
+    """Each tree's rows are the least of all rows by its hash, and tails are counted over all rows."""
+    n = 12_000  # more than any pool of 8,192
+    stats = [F.expr(e).alias(c) for c, e in zip(op10_rules.STATS, ("50 + id % 997", "id", "id % 7", "id % 11", "id % 13", "id % 5", "id % 3"), strict=True)]
+    rows = spark.range(n).select(F.xxhash64("id").alias("h"), *stats).cache()
+    every = rows.collect()
+    h, x = np.array([r.h for r in every]), np.array([tuple(r)[1:] for r in every], np.int64)
+    got = op10_rules.drawn(rows, n, trees=128)
+    for t, own in enumerate(got):
+        least = np.argsort(op10_rules.tree_hash(h, t))[: op10_rules.ROWS]
+        assert np.array_equal(own, x[least])
+    assert len({r for own in got for r in own[:, 1].tolist()}) > 10_000  # the trees' rows come from everywhere
+    varied = op10_rules.shares(x)[:, op10_rules.VARIED]
+    at = int(op10_rules.TAIL * (n - 1))
+    assert np.array_equal(op10_rules.ordinary(rows, n), np.sort(varied, axis=0)[[at, n - 1 - at]])
+    same = spark.range(600).select(F.lit(5).cast("long").alias("h"), *[F.lit(60).cast("long").alias(c) for c in op10_rules.STATS])
+    assert [len(own) for own in op10_rules.drawn(same, 600, trees=3)] == [256] * 3
