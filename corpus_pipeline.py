@@ -17,7 +17,7 @@ from logloom.llm.op4_language import languages
 from logloom.llm.op6_mixing import mixed_documents
 from logloom.llm.op8_bpe import encoded
 from logloom.llm.op9_exact import exact_groups
-from logloom.session import remove, scratch, ship, trim
+from logloom.session import remove, scratch, ship, tidy_shuffles, trim
 
 #: So many keys of 16 bytes are broadcast at most.
 BROADCAST_KEYS = 500_000
@@ -87,8 +87,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies of each other; null ids are least. An empty table gives no rows.
     """
     trim(ship(spark))
-    found = similar_documents(*_keyed(docs))
-    return _staying(docs, found.select("key", F.col("kept").alias("stays")))
+    with tidy_shuffles(spark):
+        found = similar_documents(*_keyed(docs))
+        return _staying(docs, found.select("key", F.col("kept").alias("stays")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

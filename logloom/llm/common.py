@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_dir
+from ..session import Tables, cut, shared_dir
 
-__all__ = ["WORD", "cut", "documents", "release", "remainder", "shared_dir", "tidy", "utf8", "values"]
+__all__ = ["WORD", "Tables", "cut", "documents", "release", "remainder", "shared_dir", "tidy", "utf8", "values"]
 
 #: A word: a run of anything but ASCII white space. ``bytes.split()`` splits the same way.
 WORD = r"[^\x20\x09-\x0D]+"

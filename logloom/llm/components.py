@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Tables, cut
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
@@ -21,22 +21,23 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
     edges and either direction are fine; edges with a null end are left out.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    # both directions come from one pass over the edges, which may be costly to make
-    both = cut(e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").distinct())
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("v"), F.col("root").alias("offer")), "v")
-        offers = seen.groupBy("u").agg(F.min("offer").alias("offer"))
-        offers = labels.join(offers, labels.node == offers.u, "left").select("node", "root", F.least("root", "offer").alias("offer"))
-        offers = cut(offers)
-        hooks = (
-            offers.select("node", "offer")
-            .unionByName(offers.where("offer < root").select(F.col("root").alias("node"), "offer"))
-            .groupBy("node").agg(F.min("offer").alias("offer"))
-        )
-        hooked = cut(labels.join(hooks, "node").select("node", F.col("root").alias("was"), F.least("root", "offer").alias("root")))
-        above = hooked.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        jumped = cut(hooked.join(above, "root", "left").select("node", "was", F.least("root", "top").alias("root")))
-        labels = jumped.select("node", "root")
-        if jumped.where("root <> was").isEmpty():
-            return labels
+    with Tables(edges.sparkSession) as tables:
+        # both directions come from one pass over the edges, which may be costly to make
+        both = tables.put(e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").distinct())
+        labels = tables.put(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
+        while True:
+            seen = both.join(labels.select(F.col("node").alias("v"), F.col("root").alias("offer")), "v")
+            offers = seen.groupBy("u").agg(F.min("offer").alias("offer"))
+            offers = labels.join(offers, labels.node == offers.u, "left").select("node", "root", F.least("root", "offer").alias("offer"))
+            offers = tables.put(offers)
+            hooks = (
+                offers.select("node", "offer")
+                .unionByName(offers.where("offer < root").select(F.col("root").alias("node"), "offer"))
+                .groupBy("node").agg(F.min("offer").alias("offer"))
+            )
+            hooked = tables.put(labels.join(hooks, "node").select("node", F.col("root").alias("was"), F.least("root", "offer").alias("root")))
+            above = hooked.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            jumped = tables.put(hooked.join(above, "root", "left").select("node", "was", F.least("root", "top").alias("root")))
+            labels = jumped.select("node", "root")
+            if jumped.where("root <> was").isEmpty():
+                return cut(labels)

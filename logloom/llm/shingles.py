@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, tidy, utf8, values
+from .common import Tables, cut, tidy, utf8, values
 from .components import connected_components
 
 WORDS = 5
@@ -167,33 +167,37 @@ def may(n: Column, i: Column, m: Column, j: Column) -> Column:
     return (NUM * F.greatest(n, m) <= DEN * F.least(n, m)) & ((NUM + DEN) * rest >= NUM * (n + m))
 
 
-def similar(docs: DataFrame, rows: DataFrame, pairs: DataFrame, key: str, text_col: str, size: int, repeated: bool = False) -> DataFrame:
+def similar(tables: Tables, docs: DataFrame, rows: DataFrame, pairs: DataFrame, key: str, text_col: str, size: int, repeated: bool = False) -> DataFrame:
     """Those of ``pairs`` (a, b) of nodes of ``rows`` whose texts' sets reach the similarity.
 
-    The bound by parities leaves few pairs, so that few sets are made and shuffled.
+    The bound by parities leaves few pairs, so that few sets are made and shuffled. The result
+    is one of ``tables``; what it takes on the way is gone at the end.
     """
     def within(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
         """Those of the pairs that the parities of ``sketch`` (k, n, s) let pass."""
+        sketch = own.put(sketch)
         light = lambda k, x: sketch.select(F.col("k").alias(k), F.struct("n", "s").alias(x))
         both = pairs.join(light("b", "y"), "b").join(light("a", "x"), "a")
-        return cut(both.where((NUM + DEN) * differ(F.col("x.s"), F.col("y.s")) <= (DEN - NUM) * (F.col("x.n") + F.col("y.n"))).select("a", "b"))
+        return own.put(both.where((NUM + DEN) * differ(F.col("x.s"), F.col("y.s")) <= (DEN - NUM) * (F.col("x.n") + F.col("y.n"))).select("a", "b"))
 
     def named(pairs: DataFrame, *columns: str) -> DataFrame:
         ends = [pairs.select(F.col(c).alias("k")).distinct() for c in ("a", "b")]  # each combined before they meet
-        return cut(rows.select("k", *columns).join(ends[0].unionByName(ends[1]).distinct(), "k"))
+        return rows.select("k", *columns).join(ends[0].unionByName(ends[1]).distinct(), "k")
 
     def of_texts(names: DataFrame, value: Column, *columns: str) -> DataFrame:
         """(k, *columns, s): ``value`` of the nodes' texts; of rows of one key one is read."""
+        names = cut(names)  # a key may be of a type that Parquet hasn't
         few = names.count() <= BROADCAST_KEYS
         texts = docs.select(F.col(key).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(names) if few else names.hint("merge"), "key")
         return (texts.dropDuplicates(["k"]) if repeated else texts).select("k", *columns, value.alias("s"))
 
-    left = within(pairs, named(pairs, "n", "s"))
-    left = within(left, cut(of_texts(named(left, "n", "key"), finer(utf8("text"), size), "n")))
-    sets = cut(of_texts(named(left, "key"), shingle_sets(utf8("text"), size)))
-    one, two = sets.select(F.col("k").alias("b"), F.col("s").alias("y")), sets.select(F.col("k").alias("a"), F.col("s").alias("x"))
-    both = F.size(F.array_intersect("x", "y"))
-    return left.join(one, "b").join(two, "a").where(DEN * both >= NUM * (F.size("x") + F.size("y") - both)).select("a", "b")
+    with Tables(docs.sparkSession) as own:
+        left = within(pairs, named(pairs, "n", "s"))
+        left = within(left, of_texts(named(left, "n", "key"), finer(utf8("text"), size), "n"))
+        sets = own.put(of_texts(named(left, "key"), shingle_sets(utf8("text"), size)))
+        one, two = sets.select(F.col("k").alias("b"), F.col("s").alias("y")), sets.select(F.col("k").alias("a"), F.col("s").alias("x"))
+        both = F.size(F.array_intersect("x", "y"))
+        return tables.put(left.join(one, "b").join(two, "a").where(DEN * both >= NUM * (F.size("x") + F.size("y") - both)).select("a", "b"))
 
 
 def by_fingerprints(rows: DataFrame, grid: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
@@ -227,39 +231,40 @@ def similar_groups(docs: DataFrame, key: str, grid: Callable[[DataFrame, int], D
     every = rows.join(again, "key", "left").withColumn("least", F.coalesce("least", "k"))
     if repeated := not again.isEmpty():
         rows = cut(every.where("k = least").drop("least"))
-    near = cut(by_fingerprints(rows.select("k", "f"), grid))
-    links = cut(similar(docs, rows, near, key, text_col, size, repeated))
-    # what fingerprints can't tell. One exchange, of three longs a row: n and pos share one
-    entries = rows.select("k", "n", F.posexplode("p").alias("pos", "h")).select("h", "k", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
-    by = W.partitionBy("h")
-    met = entries.withColumn("x", F.min(F.struct("k", "at")).over(by)).withColumn("c", F.count("*").over(by)).where("c > 1")
-    shared = cut(met.select("h", "k", "at", F.col("x.k").alias("xk"), F.col("x.at").alias("xat"), "c"))
-    n_of, pos_of = lambda at: F.shiftright(at, 32), lambda at: at.bitwiseAND(0xFFFFFFFF)
-    able = lambda a, b: may(n_of(F.col(a)), pos_of(F.col(a)), n_of(F.col(b)), pos_of(F.col(b)))
-    first = cut(shared.where((F.col("xk") < F.col("k")) & able("xat", "at")).select(F.col("xk").alias("a"), F.col("k").alias("b")).distinct().join(near, ["a", "b"], "left_anti"))
-    links = cut(links.unionByName(similar(docs, rows, first, key, text_col, size, repeated)))
-    roots = connected_components(links)
-    # a shingle's other pairs, which have no part in its least set; parities, folded to four longs,
-    # go with its sets, so that pairs meet their bound before they are written
-    few = [F.get("s", F.lit(i)).bitwiseXOR(F.get("s", F.lit(i + 4))).bitwiseXOR(F.get("s", F.lit(i + 8))).bitwiseXOR(F.get("s", F.lit(i + 12))).alias(f"q{i}") for i in range(4)]
-    parity = [f"q{i}" for i in range(4)]
-    others = shared.where("c > 2 and k <> xk").select("h", "at", F.col("k").alias("node"))
-    done = near.unionByName(first)
-    # a part of the shingles joins most of a group, so that the others leave few pairs of it
-    for part in (F.pmod("h", F.lit(PARTS)) == 0, F.pmod("h", F.lit(PARTS)) != 0):
-        nodes = rows.select(F.col("k").alias("node"), *few).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *parity)
-        open_ = others.where(part).join(nodes, "node").withColumn("r", F.min("root").over(by)).withColumn("z", F.max("root").over(by))
-        open_ = cut(open_.where("r < z").select("h", "node", "at", "root", *parity))
-        x = open_.select("h", F.col("node").alias("a"), F.col("at").alias("ax"), F.col("root").alias("r"), *[F.col(c).alias(f"x{c}") for c in parity])
-        y = open_.select(F.col("h").alias("g"), F.col("node").alias("b"), F.col("at").alias("by"), F.col("root").alias("z"), *[F.col(c).alias(f"y{c}") for c in parity])
-        apart = sum((F.bit_count(F.col(f"x{c}").bitwiseXOR(F.col(f"y{c}"))) for c in parity[1:]), F.bit_count(F.col("xq0").bitwiseXOR(F.col("yq0"))))
-        bound = (NUM + DEN) * apart <= (DEN - NUM) * (n_of(F.col("ax")) + n_of(F.col("by")))
-        rest = x.hint("merge").join(y, (F.col("h") == F.col("g")) & (F.col("a") < F.col("b")) & (F.col("r") != F.col("z")) & able("ax", "by") & bound)
-        rest = cut(rest.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            links = cut(links.unionByName(similar(docs, rows, rest, key, text_col, size, repeated)))
-            roots = connected_components(links)
-            done = done.unionByName(rest)
+    with Tables(docs.sparkSession) as tables:
+        near = tables.put(by_fingerprints(rows.select("k", "f"), grid))
+        links = similar(tables, docs, rows, near, key, text_col, size, repeated)
+        # what fingerprints can't tell. One exchange, of three longs a row: n and pos share one
+        entries = rows.select("k", "n", F.posexplode("p").alias("pos", "h")).select("h", "k", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
+        by = W.partitionBy("h")
+        met = entries.withColumn("x", F.min(F.struct("k", "at")).over(by)).withColumn("c", F.count("*").over(by)).where("c > 1")
+        shared = tables.put(met.select("h", "k", "at", F.col("x.k").alias("xk"), F.col("x.at").alias("xat"), "c"))
+        n_of, pos_of = lambda at: F.shiftright(at, 32), lambda at: at.bitwiseAND(0xFFFFFFFF)
+        able = lambda a, b: may(n_of(F.col(a)), pos_of(F.col(a)), n_of(F.col(b)), pos_of(F.col(b)))
+        first = tables.put(shared.where((F.col("xk") < F.col("k")) & able("xat", "at")).select(F.col("xk").alias("a"), F.col("k").alias("b")).distinct().join(near, ["a", "b"], "left_anti"))
+        links = links.unionByName(similar(tables, docs, rows, first, key, text_col, size, repeated))
+        roots = connected_components(links)
+        # a shingle's other pairs, which have no part in its least set; parities, folded to four longs,
+        # go with its sets, so that pairs meet their bound before they are written
+        few = [F.get("s", F.lit(i)).bitwiseXOR(F.get("s", F.lit(i + 4))).bitwiseXOR(F.get("s", F.lit(i + 8))).bitwiseXOR(F.get("s", F.lit(i + 12))).alias(f"q{i}") for i in range(4)]
+        parity = [f"q{i}" for i in range(4)]
+        others = shared.where("c > 2 and k <> xk").select("h", "at", F.col("k").alias("node"))
+        done = near.unionByName(first)
+        # a part of the shingles joins most of a group, so that the others leave few pairs of it
+        for part in (F.pmod("h", F.lit(PARTS)) == 0, F.pmod("h", F.lit(PARTS)) != 0):
+            nodes = rows.select(F.col("k").alias("node"), *few).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *parity)
+            open_ = others.where(part).join(nodes, "node").withColumn("r", F.min("root").over(by)).withColumn("z", F.max("root").over(by))
+            open_ = tables.put(open_.where("r < z").select("h", "node", "at", "root", *parity))
+            x = open_.select("h", F.col("node").alias("a"), F.col("at").alias("ax"), F.col("root").alias("r"), *[F.col(c).alias(f"x{c}") for c in parity])
+            y = open_.select(F.col("h").alias("g"), F.col("node").alias("b"), F.col("at").alias("by"), F.col("root").alias("z"), *[F.col(c).alias(f"y{c}") for c in parity])
+            apart = sum((F.bit_count(F.col(f"x{c}").bitwiseXOR(F.col(f"y{c}"))) for c in parity[1:]), F.bit_count(F.col("xq0").bitwiseXOR(F.col("yq0"))))
+            bound = (NUM + DEN) * apart <= (DEN - NUM) * (n_of(F.col("ax")) + n_of(F.col("by")))
+            rest = x.hint("merge").join(y, (F.col("h") == F.col("g")) & (F.col("a") < F.col("b")) & (F.col("r") != F.col("z")) & able("ax", "by") & bound)
+            rest = tables.put(rest.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"))
+            if not rest.isEmpty():
+                links = links.unionByName(similar(tables, docs, rows, rest, key, text_col, size, repeated))
+                roots = connected_components(links)
+                done = done.unionByName(rest)
     carried = [F.col(f"c{i}").alias(c) for i, c in enumerate(carry)]
     found = every.select("key", *[f"c{i}" for i in range(len(carry))], F.col("k").alias("node"), "least").join(roots.select(F.col("node").alias("least"), "root"), "least", "left")
     return found.select("key", *carried, "node", F.coalesce("root", "least").alias("root"))

@@ -7,6 +7,7 @@ import os
 import re
 import tempfile
 import threading
+import uuid
 import weakref
 import zipfile
 from collections.abc import Iterator
@@ -111,6 +112,49 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Tables:
+    """Small tables that one piece of work needs, as Parquet in the shared folder until its end.
+
+    ``put`` computes a table once, as ``cut`` does. A checkpoint runs its last stage twice and
+    keeps a file and a task for each partition ever after, however empty; these tables are
+    written at once, empty partitions leave no file, and a reader puts small files together
+    and knows their size. What is returned from the work has to be computed within.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.made = spark, f"{shared_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.base)
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path, self.made = f"{self.base}/{self.made}", self.made + 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+#: Spark's own setting: the shuffle files of a query are deleted when it ends.
+TIDY_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run within delete their shuffle files at their end.
+
+    Else these stay until the driver happens to collect its garbage, which many steps over
+    small tables hardly make it do, while each of their tasks leaves three files.
+    """
+    was = spark.conf.get(TIDY_SHUFFLES, None)
+    spark.conf.set(TIDY_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(TIDY_SHUFFLES) if was is None else spark.conf.set(TIDY_SHUFFLES, was)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Removes at its end the checkpoints that this thread's ``cut`` made within.

@@ -91,3 +91,58 @@ def test_candidates_hold_groups_of_equal_fingerprints(spark):
     rows = spark.createDataFrame([(0, 7), (1, 7), (2, 7), (3, 6), (4, 6), (5, 5), (6, 1 << 40 | 0xFF)], "k bigint, f bigint")
     pairs = {(r.a, r.b) for r in by_fingerprints(rows, op2_simhash.links).collect()}
     assert pairs == {(0, 1), (0, 2), (3, 4), (0, 3), (0, 5), (3, 5)}
+
+
+def test_many_partitions_leave_few_files(spark, sf, tmp_path):
+    """Steps over small tables don't fill the disk with a file for each of their partitions."""
+    import os
+    import time
+
+    from logloom.session import shared_dir
+
+    rng = random.Random(7)
+    texts = [f"w{i} a b c" for i in range(4)]
+    for _ in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        for _ in range(12):
+            texts.append(" ".join(base))
+            base[rng.randrange(60)] = f"w{rng.randrange(10**6)}"
+    M.table(spark, texts).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "d"))
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        shuffles = {x for d in disk.localDirs() for _, _, names in os.walk(d.getPath()) for x in names if x.startswith("shuffle_")}
+        return shuffles | {f"{d}/{x}" for d, _, names in os.walk(shared_dir(spark)) for x in names if x.startswith("part-")}
+
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        before = files()
+        out = P.near_dedup(spark, spark.read.parquet(str(tmp_path / "d")), sf)
+        sets = [shingles(t) for t in texts]
+        groups = M.components([(a, b) for b in range(len(sets)) for a in range(b) if similar(sets[a], sets[b])], range(len(sets)))
+        assert sorted(r.doc_id for r in out.collect()) == [i for i in groups if groups[i] == i]
+        time.sleep(2)  # shuffle files are deleted in the background
+        made = files() - before
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(made) < 40 * 30
+
+
+def test_tables_go_with_their_work(spark):
+    import os
+
+    import pytest
+
+    from logloom.session import Tables
+
+    with pytest.raises(ZeroDivisionError), Tables(spark) as tables:
+        table = tables.put(spark.createDataFrame([(1, [2], None), (None, None, "x")], "a bigint, b array<bigint>, c string"))
+        none = tables.put(table.where("a > 1"))
+        assert sorted(table.collect(), key=str) == [(1, [2], None), (None, None, "x")]
+        assert none.count() == 0 and none.columns == ["a", "b", "c"] and len(os.listdir(tables.base)) == 2
+        1 / 0  # noqa: B018
+    assert not os.path.exists(tables.base)
