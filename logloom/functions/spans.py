@@ -16,12 +16,22 @@ PARTS = "array<struct<k:int,g:int,n:int>>"
 
 
 def gaps(text: Column, pattern: str, kind: int = 0) -> Column:
-    """array<struct<k, g, n>> of a pattern's matches: the bytes before each since the last one, and its own."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.lit(kind).alias("k"), F.octet_length(g).alias("g"), F.octet_length(h).alias("n")))
+    """array<struct<k, g, n>> of a pattern's matches: the bytes before each since the last one, and its own.
+
+    A text without a match isn't split.
+    """
+    part = lambda g, h: F.struct(F.lit(kind).alias("k"), F.octet_length(g).alias("g"), F.octet_length(h).alias("n"))
+    between = lambda hits: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, part)
+    found = F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), lambda hits: F.when(F.size(hits) > 0, between(hits)).otherwise(F.array().cast(PARTS)))
+    return F.get(found, F.lit(0))
+
+
+def parts_of(text: Column, patterns: list[str] | tuple[str, ...]) -> Column:
+    """The parts of all patterns, a kind each."""
+    return F.concat(*[gaps(text, p, k) for k, p in enumerate(patterns)]) if patterns else F.array().cast(PARTS)
 
 
-def _spans(parts: pa.Array, merged: bool) -> pa.Array:
+def spans_of(parts: pa.Array, merged: bool = False) -> pa.Array:
     """Running sums of all rows' parts at once; a kind starts at 0, and so does a row."""
     parts = pa.concat_arrays([parts]) if parts.offset else parts
     sizes = np.diff(parts.offsets.to_numpy())
@@ -56,7 +66,7 @@ def tile(parts: Column) -> Column:
     """
 
     def each(x: pa.Array) -> pa.Array:
-        return _spans(x, False)
+        return spans_of(x)
 
     return F.arrow_udf(each, SPAN).asNondeterministic()(F.coalesce(parts, F.array().cast(PARTS)))
 
@@ -65,7 +75,7 @@ def merged_spans(parts: Column) -> Column:
     """The union of the spans of parts, whose kinds each tile the text: those that overlap or touch made one."""
 
     def each(x: pa.Array) -> pa.Array:
-        return _spans(x, True)
+        return spans_of(x, True)
 
     return F.arrow_udf(each, SPAN).asNondeterministic()(F.coalesce(parts, F.array().cast(PARTS)))
 
@@ -93,6 +103,21 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, *(lists.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("s", "e"))
 
 
+def as_lists(row: np.ndarray, values: pa.Array, n: int) -> pa.Array:
+    """A list for each of ``n`` rows; ``row`` is the row of each value, in rising order."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def hits(spans: pa.Array, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether each token, from ``first`` to ``last`` in row ``at``, shares a byte with a span of its row."""
+    row, s, e = _flat(spans)
+    wide = int(max(e.max(initial=0), last.max(initial=0))) + 1
+    order = np.argsort(row * wide + s, kind="stable")
+    starts, reach = (row * wide + s)[order], np.maximum.accumulate(np.concatenate([[-1], (row * wide + e)[order]]))
+    return reach[np.searchsorted(starts, at * wide + last)] > at * wide + first
+
+
 def overlaps(spans: Column, tokens: Column) -> Column:
     """array<boolean>: whether each of ``tokens``, spans too, shares a byte with one of ``spans``.
 
@@ -101,20 +126,24 @@ def overlaps(spans: Column, tokens: Column) -> Column:
     """
 
     def each(spans: pa.Array, tokens: pa.Array) -> pa.Array:
-        row, s, e = _flat(spans)
         at, first, last = _flat(tokens)
-        wide = int(max(e.max(initial=0), last.max(initial=0))) + 1
-        order = np.argsort(row * wide + s, kind="stable")
-        starts, reach = (row * wide + s)[order], np.maximum.accumulate(np.concatenate([[-1], (row * wide + e)[order]]))
-        hit = reach[np.searchsorted(starts, at * wide + last)] > at * wide + first
-        ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(tokens)))])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hit, pa.bool_()))
+        return as_lists(at, pa.array(hits(spans, at, first, last), pa.bool_()), len(tokens))
 
     full = lambda x: F.coalesce(x, F.array().cast(SPAN))
     return F.arrow_udf(each, "array<boolean>").asNondeterministic()(full(spans), full(tokens))
 
 
-# --- the same by rows, for texts of any length: arrays cost the square of their number ------
+def touched(parts: Column, tokens: Column) -> Column:
+    """``overlaps`` with the spans of ``parts``."""
+
+    def each(parts: pa.Array, tokens: pa.Array) -> pa.Array:
+        at, first, last = _flat(tokens)
+        return as_lists(at, pa.array(hits(spans_of(parts), at, first, last), pa.bool_()), len(tokens))
+
+    return F.arrow_udf(each, "array<boolean>").asNondeterministic()(F.coalesce(parts, F.array().cast(PARTS)), F.coalesce(tokens, F.array().cast(SPAN)))
+
+
+# --- the same by rows, where spans come as a table ------------------------------------------
 
 
 def match_rows(docs: DataFrame, patterns: list[str] | tuple[str, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,7 +152,7 @@ def match_rows(docs: DataFrame, patterns: list[str] | tuple[str, ...], id_col: s
 
     if not patterns:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(0).alias("s"), F.lit(0).alias("e")).limit(0)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.concat(*[gaps(text, p, k) for k, p in enumerate(patterns)])).alias("pos", "x"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(parts_of(text, patterns)).alias("pos", "x"))
     upto = W.partitionBy("doc_id", "x.k").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.select("doc_id", F.sum(F.col("x.g") + F.col("x.n")).over(upto).cast("int").alias("e"), F.col("x.n").alias("n"))
     return rows.where("n > 0").select("doc_id", (F.col("e") - F.col("n")).alias("s"), "e")

@@ -50,7 +50,7 @@ SEMANTIC = r'(?i)\b(' + "|".join(SEMANTIC_QUESTIONS) + r')\s*[=:]\s*"([^"\n]{3,}
 
 def structural_spans(text: Column) -> Column:
     """Merged byte ranges of all structural atoms."""
-    return S.merged_spans(F.concat(*[S.gaps(text, p, k) for k, p in enumerate(STRUCTURAL)]))
+    return S.merged_spans(S.parts_of(text, STRUCTURAL))
 
 
 def floor_lockable(text: Column) -> Column:

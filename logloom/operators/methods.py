@@ -2,127 +2,170 @@
 
 from __future__ import annotations
 
+import functools
+import zlib
+from collections.abc import Callable
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import spans as S
 from ..functions import text as T
 from ..session import cut
 from . import facts
-from .decode import budget, groups, tokens
-from .lines import with_runs
+from .decode import Tokens, dropped, fitting
 
 
-def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, line), carriage returns before a newline left out; empty text: no row."""
-    body = F.regexp_replace(F.col(text_col), "\r?\n$", "")
-    return docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(body, "\r?\n", -1)).alias("line_no", "line"))
+def lines_of(text: Column) -> Column:
+    """The lines of a text, carriage returns before a newline left out."""
+    return F.split(F.regexp_replace(text, "\r?\n$", ""), "\r?\n", -1)
 
 
-def _joined(rows: DataFrame, shown: Column) -> DataFrame:
-    lines = F.transform(F.array_sort(F.collect_list(F.when(shown.isNotNull(), F.struct("line_no", shown.alias("x"))))), lambda x: x.x)
-    return rows.groupBy("doc_id").agg(F.array_join(lines, "\n").alias("compressed"))
+def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    lists = pa.concat_arrays([lists]) if lists.offset else lists
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()
 
 
-def deterministic(docs: DataFrame, rate: float = 0.0, min_run: int = 3) -> DataFrame:
-    """Runs of a template keep their first and last line; the rate has no effect."""
-    rows = with_runs(split_lines(docs), T.normalize_key(F.col("line")))
-    long = F.col("n") >= min_run
-    shown = F.when(~long | (F.col("rn") == 1) | (F.col("rn") == F.col("n")), F.col("line"))
-    note = F.concat(F.lit("... "), (F.col("n") - 2).cast("string"), F.lit(" lines elided ..."))
-    shown = F.coalesce(shown, F.when(F.col("rn") == 2, note))
-    return _joined(rows, shown)
+def runs_collapsed(text: Column, rate: Column | None = None, min_run: int = 3) -> Column:
+    """The text with runs of a template reduced to their first and last line; the rate has no effect."""
 
+    def each(lists: pa.Array, keys: pa.Array) -> pa.Array:
+        (row, lines), key = _flat(lists), _flat(keys)[1].dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])) if len(row) else row
+        size = np.diff(np.append(at, len(row)))
+        n, rn = np.repeat(size, size), np.arange(len(row)) - np.repeat(at, size) + 1
+        shown = (n < min_run) | (rn == 1) | (rn == n)
+        note = ~shown & (rn == 2)
+        notes = pc.binary_join_element_wise("... ", pa.array(n[note] - 2).cast(pa.string()), " lines elided ...", "")
+        lines, stays = pc.replace_with_mask(lines, pa.array(note), notes.cast(lines.type)), shown | note
+        return pc.binary_join(S.as_lists(row[stays], lines.filter(pa.array(stays)), len(lists)), "\n")
 
-def keep_severity(docs: DataFrame, rate: float | Column) -> DataFrame:
+    lines = lines_of(text)
+    return F.arrow_udf(each, "string").asNondeterministic()(lines, F.transform(lines, T.normalize_key))
+
+
+def severest(text: Column, rate: Column) -> Column:
     """Lines by severity, then place, until the budget of tokens is spent; in order again.
 
     A line that doesn't fit is passed over once something is kept; spending stops when the
     budget is reached.
     """
-    rows = split_lines(docs).withColumn("cost", T.token_count(F.col("line")) + 1)
-    total = docs.select(F.col("doc_id"), F.greatest(F.lit(1), F.rint((F.lit(1.0) - rate) * T.token_count(F.col("text"))).cast("int")).alias("budget"))
-    order = F.array_sort(F.collect_list(F.struct(T.severity_rank(F.col("line")).alias("rank"), "line_no", "cost")))
-    folded = rows.groupBy("doc_id").agg(order.alias("lines")).join(total, "doc_id")
-
-    def each(lists: pa.Array, budgets: pa.Array) -> pa.Array:
-        out = []
-        for lines, left in zip(lists.to_pylist(), budgets.to_pylist(), strict=True):
-            kept = []
-            for x in lines:
-                if x["cost"] <= left or not kept:
-                    left -= x["cost"]
-                    kept.append(x["line_no"])
-            out.append(kept)
-        return pa.array(out, pa.list_(pa.int32()))
-
-    kept = folded.select("doc_id", F.explode(F.arrow_udf(each, "array<int>")("lines", "budget")).alias("line_no"))
-    return _joined(rows.join(kept, ["doc_id", "line_no"]), F.col("line"))
-
-
-def crc_scores(docs: DataFrame, floor: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Tokens with prob from the CRC-32 of the text's CRC-32 and the place; structural atoms locked."""
-    seed = F.crc32(F.col("text").cast("binary"))
-    rows = docs.withColumn("_seed", seed)
-    toks = tokens(rows, keep=("_seed", *keep))
-    crc = F.crc32(F.concat(F.col("_seed").cast("string"), F.lit(":"), F.col("i").cast("string")).cast("binary"))
-    toks = toks.withColumn("prob", 1.0 - crc / float(1 << 32)).drop("_seed")
-    return S.mark_overlaps(toks, S.match_rows(docs, facts.STRUCTURAL), "locked") if floor else toks.withColumn("locked", F.lit(False))
+
+    def each(lists: pa.Array, cells: pa.Array, budgets: pa.Array) -> pa.Array:
+        (row, lines), cells = _flat(lists), _flat(cells)[1]
+        rank, cost = (cells.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rank", "cost"))
+        order, kept = np.lexsort((rank, row)), np.zeros(len(row), bool)
+        kept[order] = fitting(row, cost[order], budgets.to_numpy(zero_copy_only=False).astype(np.int64), one=True)
+        return pc.binary_join(S.as_lists(row[kept], lines.filter(pa.array(kept)), len(lists)), "\n")
+
+    lines = lines_of(text)
+    cells = F.transform(lines, lambda x: F.struct(T.severity_rank(x).alias("rank"), (T.token_count(x) + 1).alias("cost")))
+    budget = F.greatest(F.lit(1), F.rint((F.lit(1.0) - rate) * T.token_count(text)).cast("int"))
+    return F.arrow_udf(each, "string").asNondeterministic()(lines, cells, budget)
+
+
+_CRC = np.array([functools.reduce(lambda c, _: (c >> 1) ^ (0xEDB88320 if c & 1 else 0), range(8), n) for n in range(256)], np.int64)
+
+
+def crc_probs(seeds: np.ndarray, toks: Tokens) -> np.ndarray:
+    """A probability a token: from the CRC-32 of its text's seed, a colon and its place."""
+    c = np.array([zlib.crc32(b"%d:" % x) for x in seeds.tolist()], np.int64)[toks.row] ^ 0xFFFFFFFF
+    digits = len(str(int(toks.i.max(initial=0))))
+    for k in reversed(range(digits)):
+        has = (toks.i >= 10**k) | (k == 0)
+        c = np.where(has, _CRC[(c ^ (48 + toks.i // 10**k % 10)) & 255] ^ (c >> 8), c)
+    return 1.0 - (c ^ 0xFFFFFFFF) / float(1 << 32)
+
+
+def random_dropped(text: Column, rate: Column, floor: bool = False, span: str | None = None, atoms: Column | None = None) -> Column:
+    """The text less a share of its tokens, in the order of their CRC; ``floor`` keeps structural
+    atoms, whose parts ``atoms`` may give."""
+
+    def each(seeds: pa.Array, lists: pa.Array, rates: pa.Array, parts: pa.Array) -> pa.Array:
+        toks = Tokens.of(lists)
+        locked = toks.locked(parts if floor else None)
+        gone = dropped(toks, crc_probs(seeds.to_numpy(zero_copy_only=False), toks), locked, rates.to_numpy(zero_copy_only=False), span or "token", half_even=span is None)
+        return toks.joined(~gone)
+
+    parts = S.parts_of(text, ()) if not floor else S.parts_of(text, facts.STRUCTURAL) if atoms is None else atoms
+    return F.arrow_udf(each, "string").asNondeterministic()(F.crc32(text.cast("binary")), T.word_tokens(text), rate.cast("double"), parts)
+
+
+#: name: (function of a text and a rate, both columns; whether the rate has an effect; whether it takes
+#: ``atoms``). All work on a text in its row, so that nothing is shuffled.
+TEXTS = {
+    "deterministic": (runs_collapsed, False, False),
+    "keep-severity": (severest, True, False),
+    "random": (random_dropped, True, False),
+    "random+floor": (functools.partial(random_dropped, floor=True), True, True),
+    "random+span": (functools.partial(random_dropped, span="word"), True, False),
+    "random+span+floor": (functools.partial(random_dropped, floor=True, span="word"), True, True),
+}
+
+
+def _made(docs: DataFrame, made: Column) -> DataFrame:
+    return docs.where(F.length("text") > 0).select("doc_id", made.alias("compressed"))
+
+
+def deterministic(docs: DataFrame, rate: float = 0.0, min_run: int = 3) -> DataFrame:
+    """(doc_id, compressed): ``runs_collapsed`` of each text that isn't empty, as the others below."""
+    return _made(docs, runs_collapsed(F.col("text"), None, min_run))
+
+
+def keep_severity(docs: DataFrame, rate: float | Column) -> DataFrame:
+    return _made(docs, severest(F.col("text"), F.lit(rate)))
 
 
 def random_drop(docs: DataFrame, rate: float | Column, floor: bool = False, span: str | None = None) -> DataFrame:
-    """Drop a share of tokens in the order of their CRC; ``floor`` keeps structural atoms."""
-    from .decode import rebuilt, span_decode
+    return _made(docs, random_dropped(F.col("text"), F.lit(rate), floor, span))
 
-    scored = crc_scores(docs.withColumn("_rate", F.lit(rate)), floor, ("_rate",))
-    if span:
-        return rebuilt(span_decode(scored, "_rate", span)).select("doc_id", "compressed")
-    n = F.count("*").over(W.partitionBy("doc_id"))
-    rank = F.row_number().over(W.partitionBy("doc_id", "locked").orderBy(F.col("prob").desc(), "i"))
-    gone = scored.withColumn("dropped", ~F.col("locked") & (rank <= budget(F.col("_rate"), n, half_even=True)))
-    return rebuilt(gone).select("doc_id", "compressed")
+
+def _over(run: Callable[[Column, Column], Column]) -> Callable[[DataFrame, float | Column], DataFrame]:
+    return lambda docs, rate: _made(docs, run(F.col("text"), F.lit(rate)))
 
 
 #: name: (function of documents and rate, whether the rate has an effect)
-METHODS = {
-    "deterministic": (deterministic, False),
-    "keep-severity": (keep_severity, True),
-    "random": (random_drop, True),
-    "random+floor": (lambda d, r: random_drop(d, r, floor=True), True),
-    "random+span": (lambda d, r: random_drop(d, r, span="word"), True),
-    "random+span+floor": (lambda d, r: random_drop(d, r, floor=True, span="word"), True),
-}
+METHODS = {name: (_over(run), tunable) for name, (run, tunable, _) in TEXTS.items()}
 DEFAULT_METHODS = ("deterministic", "keep-severity", "random", "random+floor")
 
 
+def _ratio(n: Column, left: Column) -> Column:
+    return F.when(left == 0, F.lit(float("inf"))).otherwise(n / F.greatest(left, F.lit(1)))
+
+
+def _drop(n: Column, left: Column) -> Column:
+    return F.when(n == 0, F.lit(0.0)).otherwise(1.0 - left / F.greatest(n, F.lit(1)))
+
+
 def ratio(original: Column, compressed: Column) -> Column:
     """Tokens before over tokens after; infinite if nothing is left."""
-    out = T.token_count(compressed)
-    return F.when(out == 0, F.lit(float("inf"))).otherwise(T.token_count(original) / F.greatest(out, F.lit(1)))
+    return _ratio(T.token_count(original), T.token_count(compressed))
 
 
 def achieved_drop(original: Column, compressed: Column) -> Column:
-    n = T.token_count(original)
-    return F.when(n == 0, F.lit(0.0)).otherwise(1.0 - T.token_count(compressed) / F.greatest(n, F.lit(1)))
+    return _drop(T.token_count(original), T.token_count(compressed))
 
 
 def survival_items(triples: DataFrame, rates=(0.2, 0.5, 0.8), methods=DEFAULT_METHODS, survives=T.survives) -> DataFrame:
     """(method, rate, triple_id, fact_type, source, survived, ratio, achieved_drop), one by each
-    method and rate. ``triples``: triple_id, chunk, answer, fact_type, source; they are computed
-    once, for all methods."""
-    triples, out = cut(triples), None
+    method and rate. ``triples``: triple_id, chunk, answer, fact_type, source; all methods work
+    on a triple in its row."""
+    text, made = F.col("chunk"), []
     for name in methods:
-        run, tunable = METHODS[name]
-        wanted = F.array(*[F.lit(float(r)) for r in (rates if tunable else (0.0,))])
-        items = triples.withColumn("rate", F.explode(wanted)).withColumn("_id", F.concat_ws("@", "triple_id", "rate"))
-        made = run(items.select(F.col("_id").alias("doc_id"), F.col("chunk").alias("text"), "rate"), F.col("rate"))
-        rows = items.join(made.select(F.col("doc_id").alias("_id"), "compressed"), "_id", "left").withColumn("compressed", F.coalesce("compressed", F.col("chunk")))
-        text, short = F.col("chunk"), F.col("compressed")
-        part = rows.select(F.lit(name).alias("method"), "rate", "triple_id", "fact_type", "source", survives(F.col("answer"), short).alias("survived"), ratio(text, short).alias("ratio"), achieved_drop(text, short).alias("achieved_drop"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        run, tunable, floor = TEXTS[name]
+        have = {"atoms": F.col("_atoms")} if floor else {}
+        for rate in map(float, rates if tunable else (0.0,)):
+            short = F.coalesce(F.when(F.length(text) > 0, run(text, F.lit(rate), **have)), text)
+            made.append((f"_{len(made)}", F.struct(F.lit(name).alias("method"), F.lit(rate).alias("rate"), short.alias("short"))))
+    if any(TEXTS[name][2] for name in methods):
+        triples = triples.withColumn("_atoms", S.parts_of(text, facts.STRUCTURAL))  # once for all methods
+    rows = triples.select("*", *[column.alias(c) for c, column in made])
+    rows = rows.select("triple_id", "fact_type", "source", "answer", T.token_count(text).alias("_n"), F.explode(F.array(*[c for c, _ in made])).alias("m"))
+    rows = rows.select("*", "m.*").withColumn("_left", T.token_count(F.col("short")))
+    return rows.select("method", "rate", "triple_id", "fact_type", "source", survives(F.col("answer"), F.col("short")).alias("survived"), _ratio(F.col("_n"), F.col("_left")).alias("ratio"), _drop(F.col("_n"), F.col("_left")).alias("achieved_drop"))
 
 
 def survival_rows(items: DataFrame, *by: str) -> DataFrame:
