@@ -13,18 +13,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` in as many partitions as there are cores, if a scan gives fewer.
+#: Rows that a task gets of a table that is dealt again.
+ROWS = 100_000
 
-    A table of one row group is one task, however much work its rows need; large tables are
-    left as they are.
+
+def spread(rows: DataFrame, key: str | None = None) -> DataFrame:
+    """``rows`` in as many partitions as there are cores, if a scan gives fewer or uneven ones.
+
+    A table of one row group is one task, however much work its rows need and however many
+    splits its file has; tables of many even splits are left as they are. A large table is dealt by its
+    first column in tasks of about ``ROWS`` rows. With a ``key`` rows are dealt by it in any case.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+    if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        return rows.repartition(cores, *([key] if key else []))
+    sizes = [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()]  # from the files' own counts
+    if key is None and max(sizes, default=0) * cores <= 2 * sum(sizes):
+        return rows
+    return rows.repartition(max(cores, sum(sizes) // ROWS + 1), key or rows.columns[0])
 
 
-def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, user_id, ts, line): events as log lines."""
+def event_lines(spark: SparkSession, sf_dir: str, key: str | None = None) -> DataFrame:
+    """(event_id, user_id, ts, line): events as log lines, dealt by ``key``."""
     u, e, c = F.col("user_id"), F.col("event_type"), lambda x: x.cast("string")
     level = F.when(e == "error", "ERROR").when(e == "purchase", "WARN").otherwise("INFO")
     tail = F.when(e == "error", ' raised TimeoutError msg="upstream pool exhausted"').otherwise(' msg="handled"')
@@ -32,7 +42,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), level, F.lit(" svc="), e, F.lit(" user="), c(u), F.lit(" status="), F.when(e == "error", "503").otherwise("200"),
         F.lit(" request_id="), c(F.col("event_id")), F.lit(" client_ip=10.0."), c(F.floor(u / 256)), F.lit("."), c(u % 256), tail,
     )
-    return spread(table(spark, sf_dir, "events")).select("event_id", "user_id", "ts", line.alias("line"))
+    return spread(table(spark, sf_dir, "events"), key).select("event_id", "user_id", "ts", line.alias("line"))
 
 
 EVENT_LINES = """
@@ -48,7 +58,7 @@ ev AS (
 def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): a log a user."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "line"))), lambda x: x.line)
-    return event_lines(spark, sf_dir).groupBy(F.col("user_id").alias("doc_id")).agg(F.array_join(lines, "\n").alias("text"))
+    return event_lines(spark, sf_dir, "user_id").groupBy(F.col("user_id").alias("doc_id")).agg(F.array_join(lines, "\n").alias("text"))
 
 
 EVENT_DOCS = EVENT_LINES + """,
