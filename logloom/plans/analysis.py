@@ -128,16 +128,15 @@ _LOCKED = _TOKS + """, locked AS (
 
 @query(_LOCKED + " SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (locked) AS n_locked FROM locked GROUP BY doc_id")
 def lock_mask_word(s, d):
-    docs = I.documents(s, d)
-    rows = decode.locked(docs, decode.keyword_spans(docs, _KEYWORDS))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if("locked").alias("n_locked"))
+    text = F.col("text")
+    rows = I.documents(s, d).where(F.length(text) > 0).select("doc_id", decode.placed(T.word_tokens(text), decode.keyword_parts(text, _KEYWORDS)).alias("t"))
+    return rows.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.size(F.filter("t", lambda x: x.locked)).cast("bigint").alias("n_locked"))
 
 
 def _scored(s, d):
-    """Tokens of event lines with a made-up drop score, structural atoms locked."""
-    rows = I.event_lines(s, d).select(F.col("event_id").alias("doc_id"), F.col("line").alias("text"))
-    toks = decode.locked(rows, S.match_rows(rows, facts.STRUCTURAL))
-    return toks.withColumn("prob", ((F.length("token") * 37 + F.col("i") * 61) % 101) / 101.0)
+    """Event lines as arrays of tokens t with a made-up drop score each, prob, and the parts of structural atoms."""
+    rows = I.event_lines(s, d).select(F.col("event_id").alias("doc_id"), T.word_tokens(F.col("line")).alias("t"), S.parts_of(F.col("line"), facts.STRUCTURAL).alias("parts"))
+    return rows.withColumn("prob", F.transform("t", lambda x, i: ((F.length(x) * 37 + i * 61) % 101) / 101.0))
 
 
 _SCORED = (
@@ -152,12 +151,12 @@ _CHUNKS = ", grouped AS (SELECT *, i // 4 AS g FROM scored)"
 
 @query(_SCORED + _WORDS + " SELECT doc_id, i, g::INT AS g FROM grouped")
 def word_groups(s, d):
-    return decode.groups(_scored(s, d), "word").select("doc_id", "i", "g")
+    return _scored(s, d).select("doc_id", F.posexplode(decode.group_numbers(F.col("t"), "word")).alias("i", "g"))
 
 
 @query(_SCORED + _CHUNKS + " SELECT doc_id, g::INT AS g, count(*) AS n FROM grouped GROUP BY doc_id, g")
 def chunk_groups(s, d):
-    return decode.groups(_scored(s, d), "chunk:4").groupBy("doc_id", "g").agg(F.count("*").alias("n"))
+    return _scored(s, d).select("doc_id", F.posexplode(decode.group_sizes(F.col("t"), "chunk:4")).alias("g", "n"))
 
 
 @query(_SCORED + " SELECT doc_id, count(*) AS n, count(*) FILTER (locked) AS n_locked FROM scored GROUP BY doc_id")
@@ -170,7 +169,8 @@ def project_locks(s, d):
 @query(_SCORED + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, locked ORDER BY prob DESC, i) AS r, count(*) FILTER (NOT locked) OVER (PARTITION BY doc_id) AS u FROM scored)
 SELECT doc_id, i, (NOT locked AND r <= round(0.3 * u)) AS dropped FROM ranked""")
 def topk_drop(s, d):
-    return decode.top_k_drop(_scored(s, d), 0.3).select("doc_id", "i", "dropped")
+    gone = decode.drop_flags(F.col("t"), F.col("prob"), F.col("parts"), 0.3)
+    return _scored(s, d).select("doc_id", F.posexplode(gone).alias("i", "dropped"))
 
 
 def _decode_sql(groups: str, agg: str, rate: float) -> str:
@@ -182,19 +182,24 @@ SELECT s.doc_id, count(*) AS n_in, count(*) FILTER (NOT coalesce(list_contains(f
 FROM grouped s LEFT JOIN folded f ON f.doc_id = s.doc_id GROUP BY s.doc_id"""
 
 
+def _decoded(s, d, *how):
+    made = decode.span_decoded(F.col("t"), F.col("prob"), F.col("parts"), *how)
+    return _scored(s, d).select("doc_id", made.alias("m")).select("doc_id", "m.*")
+
+
 @query(_decode_sql(_WORDS, "max", 0.4))
 def span_decode_word(s, d):
-    return decode.rebuilt(decode.span_decode(_scored(s, d), 0.4, "word", "max"))
+    return _decoded(s, d, 0.4, "word", "max")
 
 
 @query(_decode_sql(_CHUNKS, "max", 0.4))
 def span_decode_chunk(s, d):
-    return decode.rebuilt(decode.span_decode(_scored(s, d), 0.4, "chunk:4", "max"))
+    return _decoded(s, d, 0.4, "chunk:4", "max")
 
 
 @query(_decode_sql(_WORDS, "min", 0.5))
 def span_decode_min(s, d):
-    return decode.rebuilt(decode.span_decode(_scored(s, d), 0.5, "word", "min"))
+    return _decoded(s, d, 0.5, "word", "min")
 
 
 # --- methods and survival -----------------------------------------------------------------
