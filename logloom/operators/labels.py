@@ -126,18 +126,18 @@ def derive_mask(pairs: DataFrame) -> DataFrame:
 
 def salience_weights(text: Column, token_spans: Column, weight: float) -> Column:
     """``weight`` for tokens over structural atoms or quoted values of salient keys, else 1."""
-    parts = [S.gaps(text, p, k) for k, p in enumerate(facts.STRUCTURAL)]
+    k = len(facts.STRUCTURAL)
     # of a salient key's match, the value alone counts: it ends a quote before the match does
     values = F.regexp_extract_all(text, F.lit(facts.SEMANTIC), F.lit(2))
     quoted = F.zip_with(S.gaps(text, facts.SEMANTIC), values, lambda x, v: F.array(
-        F.struct(F.lit(len(parts)).alias("k"), x.g.alias("g"), (x.n - 1 - F.octet_length(v)).alias("n"), F.lit(False).alias("own")),
-        F.struct(F.lit(len(parts)).alias("k"), F.lit(0).alias("g"), F.octet_length(v).alias("n"), F.lit(True).alias("own")),
-        F.struct(F.lit(len(parts)).alias("k"), F.lit(0).alias("g"), F.lit(1).alias("n"), F.lit(False).alias("own")),
+        F.struct(F.lit(k).alias("k"), x.g.alias("g"), (x.n - 1 - F.octet_length(v)).alias("n"), F.lit(False).alias("own")),
+        F.struct(F.lit(k).alias("k"), F.lit(0).alias("g"), F.octet_length(v).alias("n"), F.lit(True).alias("own")),
+        F.struct(F.lit(k).alias("k"), F.lit(0).alias("g"), F.lit(1).alias("n"), F.lit(False).alias("own")),
     ))
     # what isn't the value becomes a gap before it
     steps = F.transform(F.flatten(quoted), lambda x: F.struct(x.k.alias("k"), F.when(x.own, x.g).otherwise(x.g + x.n).alias("g"), F.when(x.own, x.n).otherwise(0).alias("n")))
-    spans = S.merged_spans(F.concat(*parts, steps))
-    return F.transform(S.overlaps(spans, token_spans), lambda hit: F.when(hit, F.lit(float(weight))).otherwise(F.lit(1.0)))
+    hit = S.touched(F.concat(S.parts_of(text, facts.STRUCTURAL), steps), token_spans)
+    return F.transform(hit, lambda x: F.when(x, F.lit(float(weight))).otherwise(F.lit(1.0)))
 
 
 def language_of(path: Column) -> Column:
