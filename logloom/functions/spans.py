@@ -96,7 +96,7 @@ def merge(spans: Column) -> Column:
     return merged_spans(F.transform(spans, lambda x, i: F.struct(i.alias("k"), x.s.alias("g"), (x.e - x.s).alias("n"))))
 
 
-def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The row, start and end of every span of a column of lists."""
     lists = pa.concat_arrays([lists]) if lists.offset else lists
     row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
@@ -111,7 +111,7 @@ def as_lists(row: np.ndarray, values: pa.Array, n: int) -> pa.Array:
 
 def hits(spans: pa.Array, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Whether each token, from ``first`` to ``last`` in row ``at``, shares a byte with a span of its row."""
-    row, s, e = _flat(spans)
+    row, s, e = flat(spans)
     wide = int(max(e.max(initial=0), last.max(initial=0))) + 1
     order = np.argsort(row * wide + s, kind="stable")
     starts, reach = (row * wide + s)[order], np.maximum.accumulate(np.concatenate([[-1], (row * wide + e)[order]]))
@@ -126,7 +126,7 @@ def overlaps(spans: Column, tokens: Column) -> Column:
     """
 
     def each(spans: pa.Array, tokens: pa.Array) -> pa.Array:
-        at, first, last = _flat(tokens)
+        at, first, last = flat(tokens)
         return as_lists(at, pa.array(hits(spans, at, first, last), pa.bool_()), len(tokens))
 
     full = lambda x: F.coalesce(x, F.array().cast(SPAN))
@@ -137,7 +137,7 @@ def touched(parts: Column, tokens: Column) -> Column:
     """``overlaps`` with the spans of ``parts``."""
 
     def each(parts: pa.Array, tokens: pa.Array) -> pa.Array:
-        at, first, last = _flat(tokens)
+        at, first, last = flat(tokens)
         return as_lists(at, pa.array(hits(spans_of(parts), at, first, last), pa.bool_()), len(tokens))
 
     return F.arrow_udf(each, "array<boolean>").asNondeterministic()(F.coalesce(parts, F.array().cast(PARTS)), F.coalesce(tokens, F.array().cast(SPAN)))

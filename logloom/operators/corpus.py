@@ -74,8 +74,8 @@ def chunked(docs: DataFrame, most: int = 512, mode: str = "log", id_col: str = "
     unit = rows.select("doc_id", F.posexplode(F.arrays_zip("u", "n", "q")).alias("pos", "x")).select("doc_id", "pos", "x.u", "x.n", "x.q")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "u"))), lambda x: x.u), SPLITTERS[mode][1])
     whole = unit.groupBy("doc_id", "q").agg(joined.alias("text"), F.max("n").alias("n"))
-    toks = T.word_tokens(F.col("text"))
-    cuts = F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(most)), lambda i: F.array_join(F.slice(toks, i + 1, F.lit(most)), ""))
+    # bound, so that a long unit is cut to tokens once and not for each of its pieces
+    cuts = T.bound(T.word_tokens(F.col("text")), lambda toks: F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(most)), lambda i: F.array_join(F.slice(toks, i + 1, F.lit(most)), "")))
     pieces = F.when(F.col("n") <= most, F.array("text")).otherwise(cuts)
     parts = whole.select("doc_id", "q", F.posexplode(pieces).alias("piece", "text"))
     number = F.row_number().over(W.partitionBy("doc_id").orderBy("q", "piece")) - 1

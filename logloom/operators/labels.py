@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import difflib
 import io
 import json
 import math
@@ -12,9 +11,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import align
 from ..functions import spans as S
 from ..functions import text as T
 from ..session import cut
@@ -85,43 +86,67 @@ def best_output(outputs: DataFrame) -> DataFrame:
 
 def aligned_bytes(original: bytes, compressed: bytes, least: int = 3) -> list[tuple[int, int]]:
     """Byte runs of the original that the compressed text keeps, of ``least`` bytes at least."""
-    matcher = difflib.SequenceMatcher(None, original, compressed, autojunk=False)
-    return [(m.a, m.a + m.size) for m in matcher.get_matching_blocks() if m.size >= least]
+    a, b = (np.frombuffer(x, np.uint8) for x in (original, compressed))
+    i, _, k = align.blocks(a, b, np.array([len(a)]), np.array([len(b)]), least)
+    return list(zip(i.tolist(), (i + k).tolist(), strict=True))
 
 
 _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+#: Bytes of originals that are aligned together.
+ALIGNED = 400_000
 
 
 def kept_tokens(original: bytes, compressed: bytes, spans: list[tuple[int, int]]) -> list[bool]:
-    """Whether each token is kept: all its bytes are, or half of them with one that isn't space.
+    """Whether each token is kept: all its bytes are, or half of them with one that isn't space."""
+    s, e = np.array(spans, np.int64).reshape(-1, 2).T
+    a, b = (np.frombuffer(x, np.uint8) for x in (original, compressed))
+    return _kept(a, b, np.array([len(a)]), np.array([len(b)]), s, e).tolist()
+
+
+def _kept(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """``kept_tokens`` of pairs one after another; spans are in the bytes of all originals.
 
     Counts come from running sums of kept bytes, and of kept bytes that aren't space.
     """
-    if not spans:
-        return []
-    edges = np.zeros(len(original) + 1, np.int64)
-    for i, j in aligned_bytes(original, compressed):
-        edges[i] += 1
-        edges[j] -= 1
+    i, _, k = align.blocks(a, b, ends_a, ends_b)
+    edges = np.zeros(len(a) + 1, np.int64)
+    edges[i] += 1  # blocks of a pair don't overlap, and each has a start and an end of its own
+    np.subtract.at(edges, i + k, 1)
     kept = np.cumsum(edges)[:-1] > 0
-    solid = kept & ~_SPACE[np.frombuffer(original, np.uint8)]
+    solid = kept & ~_SPACE[a]
     upto, solid_upto = (np.concatenate([[0], np.cumsum(x)]) for x in (kept, solid))
-    s, e = np.array(spans).T
     n, wide = upto[e] - upto[s], e - s
-    return ((wide > 0) & ((n == wide) | ((2 * n >= wide) & (solid_upto[e] > solid_upto[s])))).tolist()
+    return (wide > 0) & ((n == wide) | ((2 * n >= wide) & (solid_upto[e] > solid_upto[s])))
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings one after another, and where each begins, with the last end; null is empty."""
+    x = pc.fill_null(texts, "").cast(pa.large_binary())
+    x = pa.concat_arrays([x]) if x.offset else x
+    at = np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1] if len(x) else np.zeros(1, np.int64)
+    data = np.frombuffer(x.buffers()[2], np.uint8) if x.buffers()[2] else np.empty(0, np.uint8)
+    return data[at[0] : at[-1]], at - at[0]
 
 
 def derive_mask(pairs: DataFrame) -> DataFrame:
-    """Adds tokens, spans and keep to pairs, which should be chunks: alignment is quadratic."""
+    """Adds tokens, spans and keep to pairs. Alignment is of many pairs at once, in about n log n
+    for texts whose words mostly differ; the worst of a single pair is its square, in bounded memory."""
     rows = pairs.withColumn("tokens", T.word_tokens(F.col("original"))).withColumn("spans", S.token_spans(F.col("tokens")))
 
     def each(original: pa.Array, compressed: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for o, c, s in zip(original.to_pylist(), compressed.to_pylist(), spans.to_pylist(), strict=True):
-            out.append(kept_tokens((o or "").encode(), (c or "").encode(), [(x["s"], x["e"]) for x in s or []]))
-        return pa.array(out, pa.list_(pa.bool_()))
-
-    return rows.withColumn("keep", F.arrow_udf(each, "array<boolean>")("original", "compressed", "spans"))
+        (a, at), (b, bt) = _bytes(original), _bytes(compressed)
+        row, s, e = S.flat(spans)
+        upto = np.searchsorted(row, np.arange(len(original) + 1))  # the first span of each row
+        keep, n = np.zeros(len(row), bool), 0
+        while n < len(original):
+            m = max(n + 1, int(np.searchsorted(at, at[n] + ALIGNED, side="right")) - 1)
+            own = slice(upto[n], upto[m])
+            base = at[row[own]] - at[n]
+            keep[own] = _kept(a[at[n] : at[m]], b[bt[n] : bt[m]], at[n + 1 : m + 1] - at[n], bt[n + 1 : m + 1] - bt[n], s[own] + base, e[own] + base)
+            n = m
+        return S.as_lists(row, pa.array(keep, pa.bool_()), len(original))
+
+    return rows.withColumn("keep", F.arrow_udf(each, "array<boolean>").asNondeterministic()("original", "compressed", "spans"))
 
 
 def salience_weights(text: Column, token_spans: Column, weight: float) -> Column:
