@@ -10,7 +10,7 @@ from ..api import input_errors
 from ..functions import text as T
 from ..operators import arrays, store, timeline
 from ..operators import lines as L
-from ..session import shared_dir
+from ..session import is_folder, shared_dir
 from ..sources import adapters
 from ..streaming import timeline as stream
 from . import inputs as I
@@ -169,10 +169,13 @@ def archive_nodes(s, d):
 
 @query(_ARCHIVE + " SELECT node_id, conv_id, archived_at, child_count, total_tokens, roles, child_turns FROM nodes")
 def archive_stream(s, d):
-    """The same archive steps from a stream over the table's file, run until it has read all."""
+    """The same archive steps from a stream over the table, a file or a folder of files, run until it has read all."""
     s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     base = f"{shared_dir(s).rstrip('/')}/archive-stream-{uuid.uuid4().hex}"
-    turns = s.readStream.schema(I.table(s, d, "conversations").schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    reader = s.readStream.schema(I.table(s, d, "conversations").schema)
+    path = f"{d.rstrip('/')}/conversations.parquet"
+    # a stream reads folders: that of the table's files, or the one that its only file is in
+    turns = reader.parquet(path) if is_folder(s, path) else reader.option("pathGlobFilter", "conversations.parquet").parquet(d)
     steps = stream.archive_stream(turns.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", T.token_count(F.col("text")).cast("bigint").alias("tokens")), _T)
     steps.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
     rows = s.read.schema(stream.OUT).parquet(f"{base}/out")

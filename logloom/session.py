@@ -105,6 +105,13 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.rdd(), plan.schema(), False), spark)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any store that Spark reaches is a folder."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of any store that Spark reaches, if it is there."""
     sc = spark.sparkContext

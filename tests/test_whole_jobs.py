@@ -43,3 +43,11 @@ def test_bootstrap_takes_all_resamples(spark, sf):
     rows = spark.read.parquet(f"{sf}/labels.parquet").select("toxic", (F.col("quality") == 1).alias("survived"))
     want = stats.bootstrap_ci(rows, "toxic", resamples=1000)
     assert sorted(registry.queries()["bootstrap_ci"](spark, sf).collect()) == sorted(want.collect())
+
+
+def test_stream_reads_a_table_of_many_files(spark, sf, tmp_path):
+    """A folder's own name was asked of its files, so that none was read."""
+    spark.read.parquet(f"{sf}/conversations.parquet").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    queries, columns = registry.queries(), ("node_id", "child_count", "total_tokens", "roles", "child_turns")
+    want = sorted(queries["archive_nodes"](spark, sf).select(*columns).collect())
+    assert want and sorted(queries["archive_stream"](spark, str(tmp_path)).select(*columns).collect()) == want
