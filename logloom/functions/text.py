@@ -33,9 +33,14 @@ QC_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
 
 def _mask(line: Column, masks) -> Column:
-    for pattern, name in masks:
-        line = F.regexp_replace(line, "(?U)" + pattern, name)
-    return line
+    def replaced(masks) -> Column:
+        out = line
+        for pattern, name in masks:
+            out = F.regexp_replace(out, "(?U)" + pattern, name)
+        return out
+
+    # without a digit only a number of hexadecimal letters alone may be there
+    return F.when(line.rlike(r"(?U)\d"), replaced(masks)).otherwise(replaced([m for m in masks if m[1] in ("<UUID>", "<HEX>")]))
 
 
 def _mask_sql(line: str, masks) -> str:
@@ -173,6 +178,7 @@ def is_random_token(token: Column) -> Column:
 
 
 ALNUM = "[A-Za-z0-9]+"
+LONG_ALNUM = "[A-Za-z0-9]{12,}"  # the runs that may be random
 
 
 def alnum_runs(text: Column) -> Column:
@@ -180,15 +186,16 @@ def alnum_runs(text: Column) -> Column:
 
 
 def mask_random(text: Column) -> Column:
-    """Random runs become ``<RAND>``: runs and the gaps between them are zipped again."""
-    runs, gaps = alnum_runs(text), F.split(text, ALNUM, -1)
+    """Random runs become ``<RAND>``: long runs and what is between them are zipped again."""
+    runs, gaps = F.regexp_extract_all(text, F.lit(LONG_ALNUM), F.lit(0)), F.split(text, LONG_ALNUM, -1)
     masked = F.transform(runs, lambda r: F.when(is_random_token(r), F.lit("<RAND>")).otherwise(r))
-    return F.array_join(F.zip_with(gaps, masked, lambda g, r: F.concat(g, F.coalesce(r, F.lit("")))), "")
+    whole = F.array_join(F.zip_with(gaps, masked, lambda g, r: F.concat(g, F.coalesce(r, F.lit("")))), "")
+    return F.when(text.rlike(LONG_ALNUM), whole).otherwise(text)
 
 
 def template_key(line: Column) -> Column:
     """The sampling key: masks, random runs, digits, then runs of placeholders made one."""
-    key = F.regexp_replace(mask_random(normalize_line(line)), "(?U)\\d+", "<NUM>")
+    key = F.regexp_replace(bound(normalize_line(line), mask_random), "(?U)\\d+", "<NUM>")
     one = "<(?:" + "|".join(PLACEHOLDERS) + ")>"
     return F.regexp_replace(key, rf"{one}(?:\s+{one})+", "<RAND>")
 
