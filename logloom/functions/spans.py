@@ -103,6 +103,12 @@ def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, *(lists.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("s", "e"))
 
 
+def items(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row of every item of a column of lists, and the items."""
+    lists = pa.concat_arrays([lists]) if lists.offset else lists
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()
+
+
 def as_lists(row: np.ndarray, values: pa.Array, n: int) -> pa.Array:
     """A list for each of ``n`` rows; ``row`` is the row of each value, in rising order."""
     ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])

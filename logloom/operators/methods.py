@@ -24,16 +24,11 @@ def lines_of(text: Column) -> Column:
     return F.split(F.regexp_replace(text, "\r?\n$", ""), "\r?\n", -1)
 
 
-def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    lists = pa.concat_arrays([lists]) if lists.offset else lists
-    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()
-
-
 def runs_collapsed(text: Column, rate: Column | None = None, min_run: int = 3) -> Column:
     """The text with runs of a template reduced to their first and last line; the rate has no effect."""
 
     def each(lists: pa.Array, keys: pa.Array) -> pa.Array:
-        (row, lines), key = _flat(lists), _flat(keys)[1].dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        (row, lines), key = S.items(lists), S.items(keys)[1].dictionary_encode().indices.to_numpy(zero_copy_only=False)
         at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])) if len(row) else row
         size = np.diff(np.append(at, len(row)))
         n, rn = np.repeat(size, size), np.arange(len(row)) - np.repeat(at, size) + 1
@@ -55,7 +50,7 @@ def severest(text: Column, rate: Column) -> Column:
     """
 
     def each(lists: pa.Array, cells: pa.Array, budgets: pa.Array) -> pa.Array:
-        (row, lines), cells = _flat(lists), _flat(cells)[1]
+        (row, lines), cells = S.items(lists), S.items(cells)[1]
         rank, cost = (cells.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rank", "cost"))
         order, kept = np.lexsort((rank, row)), np.zeros(len(row), bool)
         kept[order] = fitting(row, cost[order], budgets.to_numpy(zero_copy_only=False).astype(np.int64), one=True)
