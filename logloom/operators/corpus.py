@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import spans as S
 from ..functions import text as T
 from ..session import cut
 from .stats import numbered
@@ -70,16 +72,24 @@ def chunked(docs: DataFrame, most: int = 512, mode: str = "log", id_col: str = "
     oversized unit is cut to pieces of ``most`` tokens, which follow in its place."""
     rows = docs.select(F.col(id_col).alias("doc_id"), units(F.col(text_col), mode).alias("u"))
     rows = rows.select("doc_id", "u", F.transform("u", lambda x: F.size(T.word_tokens(x))).alias("n"))
-    rows = rows.select("doc_id", "u", "n", pack(F.col("n"), most).alias("q"))
-    unit = rows.select("doc_id", F.posexplode(F.arrays_zip("u", "n", "q")).alias("pos", "x")).select("doc_id", "pos", "x.u", "x.n", "x.q")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "u"))), lambda x: x.u), SPLITTERS[mode][1])
-    whole = unit.groupBy("doc_id", "q").agg(joined.alias("text"), F.max("n").alias("n"))
+
+    def each(lists: pa.Array, sizes: pa.Array, numbers: pa.Array) -> pa.Array:
+        (row, unit), n, q = S.items(lists), *(S.items(x)[1].to_numpy(zero_copy_only=False).astype(np.int64) for x in (sizes, numbers))
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (q[1:] != q[:-1])
+        at, chunk = np.flatnonzero(new), np.cumsum(new) - 1
+        texts = pc.binary_join(S.as_lists(chunk, unit, len(at)), SPLITTERS[mode][1])
+        most_ = np.maximum.reduceat(n, at) if len(at) else n
+        return S.as_lists(row[at], pa.StructArray.from_arrays([texts, pa.array(most_, pa.int32())], names=["text", "n"]), len(lists))
+
+    # units are put together in their text's row, so that nothing is shuffled
+    joined = F.arrow_udf(each, "array<struct<text:string,n:int>>").asNondeterministic()("u", "n", "q")
+    rows = rows.select("doc_id", "u", "n", pack(F.col("n"), most).alias("q")).select("doc_id", joined.alias("c"))
     # bound, so that a long unit is cut to tokens once and not for each of its pieces
-    cuts = T.bound(T.word_tokens(F.col("text")), lambda toks: F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(most)), lambda i: F.array_join(F.slice(toks, i + 1, F.lit(most)), "")))
-    pieces = F.when(F.col("n") <= most, F.array("text")).otherwise(cuts)
-    parts = whole.select("doc_id", "q", F.posexplode(pieces).alias("piece", "text"))
-    number = F.row_number().over(W.partitionBy("doc_id").orderBy("q", "piece")) - 1
-    return parts.select("doc_id", number.alias("chunk_id"), "text", T.token_count(F.col("text")).alias("n_tokens"))
+    cuts = lambda c: T.bound(T.word_tokens(c.text), lambda toks: F.transform(F.sequence(F.lit(0), c.n - 1, F.lit(most)), lambda i: F.array_join(F.slice(toks, i + 1, F.lit(most)), "")))
+    pieces = F.flatten(F.transform("c", lambda c: F.when(c.n <= most, F.array(c.text)).otherwise(cuts(c))))
+    parts = rows.select("doc_id", F.posexplode(pieces).alias("chunk_id", "text"))
+    return parts.select("doc_id", "chunk_id", "text", T.token_count(F.col("text")).alias("n_tokens"))
 
 
 def water_fill(pools: dict[str, int], target: int, max_share: float = 0.25) -> dict[str, int]:
@@ -146,7 +156,8 @@ def sample(lines: DataFrame, target: int, max_share: float = 0.25, most: int = 5
     """
     templates = template_dedup(lines)
     good = without_trash(templates)
-    placed = numbered(cut(good), [F.col("corpus"), F.col("ord"), F.col("line"), F.col("key")], "_place")
+    # a line has one key, so the key isn't carried on
+    placed = numbered(cut(good.select("corpus", "ord", "line")), [F.col("corpus"), F.col("ord"), F.col("line")], "_place")
     before = placed.groupBy("corpus").agg(F.min("_place").alias("_first"))  # a handful
     place = F.col("_place") - F.col("_first")
     good = placed.join(F.broadcast(before), "corpus").withColumn("_block", F.floor(place / BLOCK).cast("long"))
@@ -154,6 +165,7 @@ def sample(lines: DataFrame, target: int, max_share: float = 0.25, most: int = 5
     texts = good.groupBy("corpus", "_block").agg(F.array_join(ordered, "\n").alias("text"))
     chunks = chunked(texts.select(F.struct("corpus", "_block").alias("id"), "text"), most, "log", id_col="id")
     pool = chunks.select(F.col("doc_id.corpus").alias("corpus"), (F.col("doc_id._block") * (1 << 32) + F.col("chunk_id")).alias("ord"), "text")
+    pool = cut(pool)  # counted, then chosen from
     counts = {r.corpus: r["n"] for r in pool.groupBy("corpus").agg(F.count("*").alias("n")).collect()}
     slots = water_fill(counts, target, max_share)
     raw = lines.groupBy("corpus").agg(F.count("*").alias("raw_lines"))

@@ -154,9 +154,11 @@ def numbered(rows: DataFrame, order: list[Column], name: str, add: str | None =
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    w = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    inside = dealt.withColumn(name, F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    # sorted and numbered where they are dealt to: the number's high bits are the range, the low ones the place
+    at = F.monotonically_increasing_id()
+    dealt = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", at).withColumn("_part", F.shiftright("_at", 33).cast("int")))
+    w = W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    inside = dealt.withColumn(name, F.col("_at").bitwiseAND((1 << 33) - 1).cast("int") + 1)
     if add:
         inside = inside.withColumn(total, F.sum(add).over(w))
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"), (F.sum(add) if add else F.lit(0)).alias("_s"))
@@ -165,7 +167,7 @@ def numbered(rows: DataFrame, order: list[Column], name: str, add: str | None =
     out = inside.join(F.broadcast(begins), "_part").withColumn(name, F.col(name) + F.col("_n0"))
     if add:
         out = out.withColumn(total, F.col(total) + F.col("_s0"))
-    return out.drop("_part", "_n0", "_s0")
+    return out.drop("_part", "_at", "_n0", "_s0")
 
 
 #: Bins that a range of values is counted in at once.

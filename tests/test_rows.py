@@ -96,3 +96,27 @@ def test_crc_of_many_places(spark):
     order = sorted(range(len(toks)), key=lambda i: (zlib.crc32(f"{seed}:{i}".encode()), i))
     gone = set(order[: round(0.5 * len(toks))])
     assert methods.random_drop(r, 0.5).first().compressed == "".join(x.token for x in toks if x.i not in gone)
+
+
+def test_chunks_are_made_in_their_row(spark, sf):
+    """Units were shuffled to chunks and chunks to their places; one deal of chunks to the cores stays."""
+    assert exchanges(registry.queries()["chunk_texts"](spark, sf)) <= 1
+    assert exchanges(registry.queries()["derive_mask"](spark, sf)) <= 2
+
+
+def test_places_are_numbered_where_rows_are_dealt_to(spark):
+    from logloom.operators import stats
+
+    rows = spark.createDataFrame([(k * 7919 % 1_000, k) for k in range(1_000)], "x int, k int")
+    out = stats.numbered(rows, [F.col("x")], "place")
+    assert exchanges(out.drop("place")) <= 2  # of the ranges' sizes alone
+    assert sorted((r.x, r.place) for r in out.collect()) == [(x, x + 1) for x in range(1_000)]
+
+
+def test_keys_of_lines_without_digits_or_long_runs(spark):
+    import re
+
+    lines = ["plain words only", "deadbeefdeadbeefab rest", "aaaaaaaa-bbbb-cccc-dddd-eeeeeeeeeeee", "qxzkvbnmwrtplkjh ends", "٣ at", "abc123def456ghi789 x", "short a1b2", ""]
+    got = [r.k for r in spark.createDataFrame(list(enumerate(lines)), "i int, line string").orderBy("i").select(T.mask_random(T.normalize_line(F.col("line"))).alias("k")).collect()]
+    assert got[0] == lines[0] and got[7] == "" and got[1].startswith("<HEX>") and got[2] == "<UUID>" and got[4] == "<NUM> at" and got[6] == "short a1b2"
+    assert [re.sub("<RAND>", "", k) for k in (got[3], got[5])] == [" ends", " x"]
